@@ -1,0 +1,26 @@
+"""Connected components of an edge table, in Spark: least labels spread along edges and through labels of labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelspark.llm.shared import drop_stored, stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, label for every node of edges (a, b: long): the least id reachable. Each round is stored, so a round is never run again."""
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels["id"] == near["a"], "left").select("id", "label", F.least("label", "near").alias("next"))
+        far = labels.select(F.col("id").alias("hop"), F.col("label").alias("hop_label"))
+        jumped = step.join(far, step["next"] == far["hop"], "left").select("id", F.least("next", "hop_label").alias("label"), (F.least("next", "hop_label") != F.col("label")).alias("changed"))
+        new = stored(jumped)
+        moved = new.where("changed").limit(1).count()
+        drop_stored(labels)
+        labels = new
+        if not moved:
+            drop_stored(both)
+            return labels.select("id", "label")
