@@ -7,7 +7,8 @@ language has seen falls back to the weight of its context and the next shorter n
 
 Prediction: the language with the lowest cross-entropy per character over the whole text. A fifth of the sample is kept
 from the counts to calibrate rejection: a text is rejected if its entropy lies further above its language's mean than
-`margin` times the furthest of those texts, on a scale that widens for short texts. Map-only: nothing is shuffled.
+`margin` times the furthest of those texts and two thirds of the way to even noise over the alphabet, on a scale that
+widens for short texts. So a text in two of the languages stays and random letters go. Map-only: nothing is shuffled.
 
 Texts are lower-cased letters; runs of anything else are one space. Nulls: a null text, or one without letters, is `und`
 with score 0 and not rejected by entropy but as undetermined. Null languages and null ids are not learned from. Without
@@ -75,6 +76,7 @@ class LanguageModels:
     languages: list[str]
     levels: list[Level]  # by order, from 1
     unseen: np.ndarray  # log P of a character that no language has seen
+    alphabet: int = 1
     mean: np.ndarray | None = None
     limit: np.ndarray | None = None
 
@@ -124,7 +126,7 @@ def _kneser_ney(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageMode
             grams = {k: tuple(np.unique(g[:, 1:], axis=0, return_counts=True)) for k, (g, _) in grams.items()}
         by_order.insert(0, grams)
     alphabet = len(np.unique(np.concatenate([g for g, _ in by_order[0].values()]))) + 1
-    models = LanguageModels(languages, [], np.zeros(len(languages), np.float32))
+    models = LanguageModels(languages, [], np.zeros(len(languages), np.float32), alphabet)
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([g for g, _ in by_order[order - 1].values()]), axis=0)
         keys = _hashes(list(union.T))
@@ -194,7 +196,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         e = held[held["lang"] == language]
         if len(e) >= 20:
             mean[k] = e["entropy"].median()
-            limit[k] = margin * max(1e-3, ((e["entropy"] - mean[k]) * _scale(e["n_symbols"].to_numpy())).max())
+            noise = 2 / 3 * (np.log(models.alphabet) - mean[k]) * _scale(np.array([400]))[0]
+            limit[k] = max(noise, margin * ((e["entropy"] - mean[k]) * _scale(e["n_symbols"].to_numpy())).max())
     models.mean, models.limit = mean, limit
     return models
 
