@@ -6,11 +6,14 @@ put in one order, rare before frequent, they share at least k among the first n
 1. Frequent shingles are found by counts in each batch (a heuristic: the order may be any, results never depend on it).
 2. One pass makes each text's set, its 64-bit signature and its 3-prefix. Texts with equal sets become one node.
 3. Rare shingles are indexed singly: nodes that share a shingle of their 1-prefixes are a bucket. In each bucket every node
-   is first compared with its neighbour in order of size only. That joins groups of near copies with a link for each copy.
-4. Pairs are still open only between nodes of one bucket that no links connect yet. Small buckets list them. In a bucket
+   is first compared with its neighbour in order of size only. Where a bucket still holds several groups, all pairs between
+   groups follow if it is small, else those near each other in a few random orders. That joins groups of near copies with
+   a few links for each copy.
+4. Pairs are still open only between nodes of larger buckets that no links connect yet. They are listed, but in a bucket
    of over `bucket` nodes its shingle counts as frequent: the nodes are indexed by combinations of it with each later
-   shingle of their 2-prefixes, and combinations that are still too frequent by three shingles of their 3-prefixes. What
-   stays together after three is listed all the same, so nothing is lost.
+   shingle of their 2-prefixes, and combinations that are still too frequent by three shingles of their 3-prefixes. A
+   bucket whose combinations would make more pairs than it has, and what stays together after three, is listed as it is,
+   so nothing is lost.
 5. Every candidate pair is first bounded from its prefixes, then verified on the whole sets.
 
 Pairs inside a connected group are not all listed, but no two nodes that link end in different groups.
@@ -35,6 +38,10 @@ from voxelspark.llm.shared import drop_stored, stored
 
 #: Sets with a Jaccard of 0.8 that differ share four shingles at least, so combinations of three are always there.
 LONGEST = 3
+#: Random orders in which the nodes of a bucket are compared with those before them, and with how many.
+ORDERS, NEAR = 4, 8
+#: Bound of the shingles that are put last as frequent (16 bytes each). Those beyond it are ordered as rare ones are.
+MOST_FREQUENT = 1 << 19
 _SLOTS = 1 << 20
 _FILTER = 22
 
@@ -104,15 +111,21 @@ def _sets(n: int, shared):
 class JaccardJoin:
     """The join over one table of texts."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bucket: int = 64):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bucket: int = 128):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.n, self.percent, self.bucket = n, percent, bucket
 
     def sketches(self) -> DataFrame:
-        rows = self.docs.count()
-        # at most 1024 mean set sizes of these, however many texts there are
-        least = max(32, rows // 1024)
-        often = self.docs.select("text").mapInArrow(_common(self.n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+        often = stored(self.docs.select("text").mapInArrow(_common(self.n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8"))
+        # the most frequent by powers of two, as many as fit the bound of the broadcast
+        power = F.floor(F.log2("n"))
+        fit, least = 0, 64
+        for p, count in sorted(often.groupBy(power.alias("p")).count().collect(), reverse=True):
+            fit += count
+            if fit > MOST_FREQUENT:
+                break
+            least = p
+        often = often.where(power >= least).toArrow()
         keys, count = often.column("token").to_numpy().view(np.uint64), often.column("n").to_numpy()
         order = np.argsort(keys)
         rank = np.empty(len(keys), np.int64)
@@ -146,25 +159,54 @@ class JaccardJoin:
     def _sized(self, small, large):
         return 100 * small >= self.percent * large
 
-    def _open_pairs(self, posts: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of nodes in one bucket that no links connect."""
-        labelled = posts.select("token", "node", "n", "pos").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        out = None
+    def _labelled(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
+        """The posts of buckets that hold nodes of several groups."""
+        named = posts.select("token", "node", "n", "pos").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return self._open(named)
+
+    def _open(self, named: DataFrame) -> DataFrame:
+        of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "size")
+        return stored(named.join(of, "token"))
+
+    def _listed(self, live: DataFrame) -> DataFrame:
+        """All pairs of unconnected nodes of each bucket."""
+        a, b = (live.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label"))) for x in "ab")
+        first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+        pairs = a.join(b, "token").where(first & (F.col("label_a") != F.col("label_b")) & self._sized(F.col("n_a"), F.col("n_b")))
+        return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    def _neighbours(self, live: DataFrame) -> DataFrame:
+        """All unconnected pairs of small buckets, and those near each other in larger ones, each in one of a few random orders."""
+        order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(ORDERS))), "node").rowsBetween(-NEAR, -1)
+        near = live.where(F.col("size") > 2 * NEAR).withColumn("before", F.collect_list(F.struct("node", "n", "label")).over(order))
+        near = near.withColumn("before", F.expr("filter(before, o -> o.label <> label)")).select("node", "n", F.explode("before").alias("o"))
+        near = near.where(self._sized(F.least("n", "o.n"), F.greatest("n", "o.n"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
+        listed = self._listed(live.where(F.col("size") <= 2 * NEAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return near.union(listed).distinct()
+
+    def _open_pairs(self, live: DataFrame, nodes: DataFrame) -> DataFrame:
+        """All pairs of nodes in one bucket that no links connect."""
+        out, live = None, live.where(F.col("size") > 2 * NEAR)  # the others have been listed
         for k in range(1, LONGEST + 1):
-            of = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "size")
-            live = stored(labelled.join(of, "token"))
-            listed = live if k == LONGEST else live.where(F.col("size") <= self.bucket)
-            a, b = (listed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label"))) for x in "ab")
-            first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-            pairs = a.join(b, "token").where(first & (F.col("label_a") != F.col("label_b")) & self._sized(F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-            out = pairs if out is None else out.union(pairs)
-            large = live.where(F.col("size") > self.bucket)
+            large, listed = live.where(F.col("size") > self.bucket), live.where(F.col("size") <= self.bucket)
             if k == LONGEST or not large.limit(1).count():
+                listed, large = live, None
+            else:
+                longer = large.withColumnRenamed("token", "parent").join(nodes.select("node", "prefix"), "node")
+                end = F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + k + 1)
+                later = longer.select("parent", "node", "n", "label", "pos", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2")).where("pos2 > pos")
+                finer = self._open(later.select("parent", F.xxhash64("parent", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label"))
+                # a dense bucket, whose nodes share many shingles, makes more pairs by combinations than without
+                finer_cost = finer.groupBy("parent").agg(F.sum("size").alias("cost")).withColumnRenamed("parent", "token")
+                plain = large.select("token", "size").distinct().join(finer_cost, "token", "left").where(F.coalesce("cost", F.lit(0)) >= F.col("size") * F.col("size"))
+                plain = stored(plain.select("token"))
+                listed = listed.unionByName(large.join(plain, "token", "left_semi"))
+                large = stored(finer.join(plain.withColumnRenamed("token", "parent"), "parent", "left_anti").drop("parent"))
+            pairs = self._listed(listed)
+            out = pairs if out is None else out.union(pairs)
+            if large is None:
                 break
-            longer = large.join(nodes.select("node", "prefix"), "node")
-            end = F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + k + 1)
-            later = longer.select("node", "n", "label", "token", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2"), "pos").where("pos2 > pos")
-            labelled = later.select(F.xxhash64("token", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label")
+            live = large
         return out.distinct()
 
     def groups(self) -> DataFrame:
@@ -180,10 +222,14 @@ class JaccardJoin:
         near = posts.where(self._sized(F.col("n_before"), F.col("n"))).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
         links = self._verified(stored(self._bounded(near, nodes)), nodes)
         labels = components(links)
-        rest = stored(self._bounded(self._open_pairs(posts, labels, nodes), nodes))
-        more = self._verified(rest, nodes)
-        if more.limit(1).count():
-            labels = components(links.union(more))
+        for pairs in (self._neighbours, lambda live: self._open_pairs(live, nodes)):
+            live = self._labelled(posts, labels)
+            found = stored(self._bounded(pairs(live), nodes))
+            more = self._verified(found, nodes) if found.limit(1).count() else None
+            drop_stored(live, found)
+            if more is not None and more.limit(1).count():
+                links = links.union(more)
+                labels = components(links)
         named = nodes.select("node", "doc_id").join(labels, nodes["node"] == labels["id"], "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
         names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = named.join(names, "label").select("node", "component_id")
