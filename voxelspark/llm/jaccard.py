@@ -159,6 +159,10 @@ class JaccardJoin:
     def _sized(self, small, large):
         return 100 * small >= self.percent * large
 
+    def _room(self, n, pos, n2, pos2, k: int = 1):
+        """Whether enough shingles can be common if the k-th common one stands at these positions (from 0) of both orders."""
+        return (100 + self.percent) * (F.least(n - pos, n2 - pos2) + k - 1) >= self.percent * (n + n2)
+
     def _labelled(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
         """The posts of buckets that hold nodes of several groups."""
         named = posts.select("token", "node", "n", "pos").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -168,11 +172,11 @@ class JaccardJoin:
         of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "size")
         return stored(named.join(of, "token"))
 
-    def _listed(self, live: DataFrame) -> DataFrame:
+    def _listed(self, live: DataFrame, k: int = 1) -> DataFrame:
         """All pairs of unconnected nodes of each bucket."""
-        a, b = (live.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label"))) for x in "ab")
+        a, b = (live.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label", "pos"))) for x in "ab")
         first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-        pairs = a.join(b, "token").where(first & (F.col("label_a") != F.col("label_b")) & self._sized(F.col("n_a"), F.col("n_b")))
+        pairs = a.join(b, "token").where(first & (F.col("label_a") != F.col("label_b")) & self._sized(F.col("n_a"), F.col("n_b")) & self._room(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), k))
         return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     def _neighbours(self, live: DataFrame) -> DataFrame:
@@ -202,7 +206,7 @@ class JaccardJoin:
                 plain = stored(plain.select("token"))
                 listed = listed.unionByName(large.join(plain, "token", "left_semi"))
                 large = stored(finer.join(plain.withColumnRenamed("token", "parent"), "parent", "left_anti").drop("parent"))
-            pairs = self._listed(listed)
+            pairs = self._listed(listed, k)
             out = pairs if out is None else out.union(pairs)
             if large is None:
                 break
