@@ -33,7 +33,7 @@ since AS (
   SELECT a.page_id, a.url, a.fetched, a.pattern, max(e.since_day) AS listed_since FROM active a
   JOIN (SELECT pattern, since_day, action, lag(action) OVER (PARTITION BY pattern ORDER BY since_day) AS was FROM by_day) e
     ON e.pattern = a.pattern AND e.since_day <= a.fetched AND e.action = 'add' AND (e.was IS NULL OR e.was = 'remove') GROUP BY 1, 2, 3, 4)
-SELECT o.page_id, o.url, o.fetched, o.host, s.pattern IS NOT NULL AS blocked, s.pattern, s.listed_since, CAST(count(*) AS BIGINT) AS copies
+SELECT o.page_id, o.url, CAST(o.fetched AS VARCHAR) AS fetched, o.host, s.pattern IS NOT NULL AS blocked, s.pattern, CAST(s.listed_since AS VARCHAR) AS listed_since, CAST(count(*) AS BIGINT) AS copies
 FROM own o LEFT JOIN since s ON s.page_id = o.page_id AND s.url = o.url AND s.fetched = o.fetched GROUP BY 1, 2, 3, 4, 5, 6, 7
 """
 

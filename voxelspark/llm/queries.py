@@ -49,7 +49,7 @@ def captures_and_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op2_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = captures_and_entries(_table(spark, sf_dir, "pages"))
-    return url_lists.judge(captures, entries)
+    return url_lists.judge(captures, entries).withColumns({c: F.col(c).cast("string") for c in ("fetched", "listed_since")})
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
