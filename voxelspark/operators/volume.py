@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from voxelspark.config import VOLUME_VOXEL_UM
 from voxelspark.operators.spatial import gaussian_weights
 
-_ALL = Window.partitionBy()
+def _all():
+    """Over small tables only: one row for each section."""
+    return Window.partitionBy()
 
 
 def resolve_voxel(target_um: float | None = None, thickness_um: float | None = None, interval: int | None = None) -> tuple[float, float | None]:
@@ -27,7 +29,7 @@ def resolve_voxel(target_um: float | None = None, thickness_um: float | None = N
 
 def section_z(sections: DataFrame, *, spacing_um: float | None = None, thickness_col: str | None = None, default_um: float = VOLUME_VOXEL_UM) -> DataFrame:
     """section_index, z_um: by section number times spacing from the first, or the thicknesses of the sections before."""
-    order = _ALL.orderBy("section_index")  # one row for each section
+    order = _all().orderBy("section_index")  # one row for each section
     if spacing_um is not None:
         z = (F.col("section_number") - F.first("section_number").over(order)) * float(spacing_um)
     else:
@@ -38,7 +40,7 @@ def section_z(sections: DataFrame, *, spacing_um: float | None = None, thickness
 
 def check_numbers(sections: DataFrame) -> DataFrame:
     """The sections whose number does not follow the one before; empty if numbers rise strictly."""
-    was = F.lag("section_number").over(_ALL.orderBy("section_index"))
+    was = F.lag("section_number").over(_all().orderBy("section_index"))
     return sections.withColumn("previous", was).where(F.col("previous") >= F.col("section_number"))
 
 
@@ -47,7 +49,7 @@ def plane_sources(placed: DataFrame, *, voxel_um: float) -> DataFrame:
 
     The pitch is the voxel or the least step between sections, whichever is larger. Planes and sections are small tables.
     """
-    facts = placed.withColumn("step", F.col("z_um") - F.lag("z_um").over(_ALL.orderBy("section_index"))).agg(F.max("z_um").alias("last"), F.greatest(F.lit(float(voxel_um)), F.coalesce(F.min("step"), F.lit(0.0))).alias("pitch"))
+    facts = placed.withColumn("step", F.col("z_um") - F.lag("z_um").over(_all().orderBy("section_index"))).agg(F.max("z_um").alias("last"), F.greatest(F.lit(float(voxel_um)), F.coalesce(F.min("step"), F.lit(0.0))).alias("pitch"))
     planes = facts.select("pitch", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / voxel_um + 1e-6).cast("int"))).alias("plane"))
     both = planes.join(F.broadcast(placed), F.lit(True)).withColumn("dz", F.abs(F.col("plane") * voxel_um - F.col("z_um")))
     best = both.groupBy("plane", "pitch").agg(F.min(F.struct("dz", "section_index")).alias("b"))
@@ -90,7 +92,7 @@ def require_sections(sections: DataFrame, labels: DataFrame) -> None:
 def global_ids(nuclei: DataFrame, *, order_col: str) -> DataFrame:
     """nuclei with instance_id from 1: by section, then by order_col; numbered inside each section, then shifted."""
     sizes = nuclei.groupBy("section_index").count()
-    shift = sizes.select("section_index", F.coalesce(F.sum("count").over(_ALL.orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    shift = sizes.select("section_index", F.coalesce(F.sum("count").over(_all().orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = nuclei.withColumn("_r", F.row_number().over(Window.partitionBy("section_index").orderBy(order_col)))
     return ranked.join(shift, "section_index").withColumn("instance_id", F.col("before") + F.col("_r")).drop("_r", "before")
 
@@ -114,8 +116,8 @@ def smooth_transforms(transforms: DataFrame, *, sigma: float, columns: list[str]
         return transforms.select("section_index", *columns)
     w = gaussian_weights(sigma)
     r = len(w) // 2
-    order = _ALL.orderBy("section_index")
-    numbered = transforms.withColumn("i", (F.row_number().over(order) - 1).cast("int")).withColumn("last", (F.count("*").over(_ALL) - 1).cast("int"))
+    order = _all().orderBy("section_index")
+    numbered = transforms.withColumn("i", (F.row_number().over(order) - 1).cast("int")).withColumn("last", (F.count("*").over(_all()) - 1).cast("int"))
     taps = numbered.select("section_index", F.posexplode(F.array(*(F.lit(v) for v in w))).alias("k", "w"), "i", "last").select("section_index", "w", F.least(F.greatest(F.col("i") + F.col("k") - r, F.lit(0)), F.col("last")).alias("j"))
     source = numbered.select(F.col("i").alias("j"), *columns)
     return taps.join(F.broadcast(source), "j").groupBy("section_index").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))

@@ -132,7 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_sections": sql("SELECT section_index FROM fx_sections WHERE section_index NOT IN (SELECT z FROM fx_voxels WHERE z % 3 <> 1)", "fx_sections", "fx_voxels"),
         "volume_build": sql("SELECT CAST(section_number - 1 AS INT) AS z, label, count(*) AS n FROM fx_voxels JOIN fx_sections ON section_index = z WHERE label <> 0 GROUP BY 1, 2", "fx_sections", "fx_voxels"),
         "global_instance_ids": sql("SELECT instance_id AS ordinal, section_index, row_number() OVER (ORDER BY section_index, instance_id) AS instance_id FROM fx_nuclei", "fx_nuclei"),
-        "affine_centroids": sql("SELECT instance_id, round((1 + section_index * 0.01::DOUBLE) * (y_um / 32) + section_index * 0.02::DOUBLE * (x_um / 32) + section_index * 100.0::DOUBLE, 4) AS y_um, round(section_index * -0.02::DOUBLE * (y_um / 32) + (1 - section_index * 0.01::DOUBLE) * (x_um / 32) + section_index * 10.0::DOUBLE, 4) AS x_um FROM fx_nuclei", "fx_nuclei"),
+        "affine_centroids": sql("SELECT instance_id, round((1 + section_index * 0.01::DOUBLE) * (y_um / 32) + section_index * 0.02::DOUBLE * (x_um / 32) + section_index * 100.0::DOUBLE, 9) AS y_um, round(section_index * -0.02::DOUBLE * (y_um / 32) + (1 - section_index * 0.01::DOUBLE) * (x_um / 32) + section_index * 10.0::DOUBLE, 9) AS x_um FROM fx_nuclei", "fx_nuclei"),
         "nuclei_section_z": sql("SELECT n.section_index, CAST((s.section_number - 1) * 8 AS DOUBLE) AS z_um, count(*) AS n FROM fx_nuclei n JOIN fx_sections s ON s.section_index = n.section_index GROUP BY 1, 2", "fx_nuclei", "fx_sections"),
         "smooth_transforms": sql("SELECT s.section_index, round(sum(w * (1 + j * 0.01)), 6) AS a00, round(sum(w * j * 100), 6) AS a02 FROM (SELECT section_index, w, least(greatest(section_index + o, 0), 6) AS j FROM fx_sections, (SELECT o, exp(-0.5 * o * o) / sum(exp(-0.5 * o * o)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS o))) s GROUP BY 1", "fx_sections"),
         "resample_labels": sql(f"SELECT v.z AS section_index, CAST(a AS INT) AS y, CAST(b AS INT) AS x, label FROM fx_voxels v JOIN (SELECT unnest(range(0, 25)) AS a) ON v.y = {_EVEN.format('(a + 0.5::DOUBLE) * 40 / 25 - 0.5::DOUBLE')} JOIN (SELECT unnest(range(0, 16)) AS b) ON v.x = {_EVEN.format('(b + 0.5::DOUBLE) * 40 / 16 - 0.5::DOUBLE')}", "fx_voxels"),

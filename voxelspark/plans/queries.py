@@ -286,7 +286,7 @@ def _transforms(spark, sf):
 @query
 def affine_centroids(spark, sf):
     found = fx.nuclei(spark, sf).select("instance_id", "section_index", F.col("y_um").alias("centroid_y"), F.col("x_um").alias("centroid_x"))
-    return rounded(volume.affine_centroids(found, _transforms(spark, sf), level0_mpp=0.25, registration_mpp=8.0).select("instance_id", "y_um", "x_um"), 4)
+    return rounded(volume.affine_centroids(found, _transforms(spark, sf), level0_mpp=0.25, registration_mpp=8.0).select("instance_id", "y_um", "x_um"), 9)
 
 
 @query
