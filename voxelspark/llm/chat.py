@@ -34,7 +34,7 @@ def fold_events(events: DataFrame, *, conv: str = "conv_id", msg: str = "msg", s
     last = F.expr("coalesce(array_max(filter(transform(log, (e, i) -> IF(e.kind = 'delta', -1, i)), i -> i >= 0)), 0)")
     kept = F.expr("slice(log, from + 1, size(log))")
     text = F.array_join(F.transform(kept, lambda e: F.coalesce(e["text"], F.lit(""))), "")
-    role = F.coalesce(F.expr("filter(log, e -> e.role is not null)")[0]["role"], F.lit(""))
+    role = F.coalesce(F.expr("get(filter(log, e -> e.role is not null), 0).role"), F.lit(""))
     return log.withColumn("from", last).select("conv_id", "msg", F.col("log")[0]["seq"].alias("first_seq"), role.alias("role"), text.alias("text"))
 
 

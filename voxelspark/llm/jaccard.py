@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import mix, shingle_sets
-from voxelspark.llm.components import components
 from voxelspark.llm.shared import drop_stored, stored
+from voxelspark.operators.components import edge_components as components
 
 #: Sets with a Jaccard of 0.8 that differ share four shingles at least, so combinations of three are always there.
 LONGEST = 3

@@ -1,38 +1,5 @@
-"""Tables that cut lineage: written to the folder that the cluster shares, read back from there."""
+"""Tables that cut lineage, in the folder that the cluster shares."""
 
-from __future__ import annotations
+from voxelspark.sources.checkpoints import drop_stored, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where a session names none (tests) a new local folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared folder. Readers survive the loss of executors and never run df again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables of stored() that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_stored_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+__all__ = ["drop_stored", "shared_dir", "stored"]
