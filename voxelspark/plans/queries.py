@@ -52,7 +52,7 @@ def volumetrics_full(spark, sf):
     cells = fx.voxels(spark, sf)
     out = Q.volumetrics(cells, class_table(spark), voxel_um=V, components=connected_components(cells))
     sizes = F.col("component_sizes_um3")
-    return rounded(out.select("class_index", "class_name", "n_voxels", "volume_um3", "n_components", F.coalesce(F.array_max(sizes), F.lit(0.0)).alias("largest_um3"), F.coalesce(sizes[0], F.lit(0.0)).alias("first_um3")), 9)
+    return rounded(out.select("class_index", "class_name", "n_voxels", "volume_um3", "n_components", F.coalesce(F.array_max(sizes), F.lit(0.0)).alias("largest_um3"), F.coalesce(F.get(sizes, F.lit(0)), F.lit(0.0)).alias("first_um3")), 9)
 
 
 @query
