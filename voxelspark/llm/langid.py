@@ -182,7 +182,10 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     own = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
     h = F.xxhash64("id")
     least = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = own.select("id", "lang", h.alias("h")).withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("id", "lang", (F.col("r") % 5 == 0).alias("calibrates"))
+    # a language's rows are thinned by hash before they are ranked, so a common one brings no more rows than a rare one
+    thin = own.groupBy("lang").agg((F.lit(1.2 * sample) / F.count("*") * (1 << 20) + 1).alias("most"))
+    few = own.select("id", "lang", h.alias("h")).join(thin, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("most"))
+    chosen = few.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("id", "lang", (F.col("r") % 5 == 0).alias("calibrates"))
     # bounded by `sample` rows for each language
     texts = own.join(F.broadcast(chosen), ["id", "lang"])
     counts = texts.where(~F.col("calibrates")).select("lang", "text").mapInArrow(_count_grams, "lang string, c0 long, c1 long, c2 long, c3 long, n long").groupBy("lang", "c0", "c1", "c2", "c3").agg(F.sum("n").alias("n")).toArrow()
