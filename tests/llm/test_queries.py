@@ -42,7 +42,7 @@ def test_op1(spark, docs):
 def test_op5(spark, docs):
     got = queries.op5_benchmark_decontamination(spark, SF).toPandas()
     items = pd.read_parquet(f"{SF}/benchmark.parquet")
-    assert {(r.doc_id, r.item_id): r.distance for r in got.itertuples()} == brute.held(docs[["doc_id", "text"]].itertuples(index=False), items.itertuples(index=False))
+    assert {(r.doc_id, r.item_id): r.distance for r in got.itertuples()} == brute.held(list(docs[["doc_id", "text"]].itertuples(index=False)), list(items.itertuples(index=False)))
 
 
 def test_op8_held_out(spark, docs):
@@ -53,13 +53,13 @@ def test_op8_held_out(spark, docs):
     assert (held["lang"] == held["lang_pred"]).mean() > 0.95 and held["rejected"].mean() < 0.02
 
 
-def test_op9_held_out(spark, docs):
-    got = queries.op9_quality_classifier(spark, SF).toPandas()
-    assert len(got) == len(docs) and got["score"].between(0, 1).all() and ((got["score"] >= 0.3) == (got["predicted"] == 1)).all()
-    x = got[got["held_out"]].merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
+def test_op9_held_out(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest table has three labels of 0 held out
+    got = queries.op9_quality_classifier(spark, sf).toPandas()
+    assert len(got) == 1000 and got["score"].between(0, 1).all() and ((got["score"] >= 0.3) == (got["predicted"] == 1)).all()
+    x = got[got["held_out"]].merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
     good, bad = x[x["quality"] == 1]["score"].to_numpy(), x[x["quality"] == 0]["score"].to_numpy()
-    if len(good) and len(bad):
-        assert (good[:, None] > bad).mean() > 0.85
+    assert (good[:, None] > bad).mean() > 0.9
 
 
 def test_pipeline_against_brute_force(spark, docs):

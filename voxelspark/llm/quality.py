@@ -97,8 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     order = np.lexsort((np.array([s.sum() if len(s) else 0 for s in shares]), np.array([int(x.sum()) for x in ids]), y))  # the same in every run
     embed = rng.normal(0, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.stack([-np.ones(dim), np.ones(dim)]).astype(np.float32) / dim, np.array([0, prior], np.float32)
-    steps, done = epochs * len(y), 0
-    for _ in range(epochs):
+    passes = max(epochs, min(5 * epochs, 20_000 // len(y)))  # more over a small sample
+    steps, done = passes * len(y), 0
+    for _ in range(passes):
         for k in rng.permutation(order):
             lr = rate * (1 - done / steps)
             done += 1
