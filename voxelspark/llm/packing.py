@@ -30,7 +30,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 #: The tokenizer's own split, for those characters in lower case.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
-_CACHE_LIMIT = 700_000
+#: Entries of each cache of a worker: some 50 MB.
+_CACHE_LIMIT = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -79,9 +80,10 @@ class CachedTokenizer:
         missing = set(parts).difference(cache)
         if len(cache) + len(missing) > _CACHE_LIMIT:
             cache.clear()
-            self.words.clear()
             missing = set(parts)
         words = self.words
+        if len(words) > _CACHE_LIMIT:
+            words.clear()
         for chunk in missing:
             if chunks is None:
                 cache[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
