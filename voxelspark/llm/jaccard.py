@@ -14,7 +14,7 @@ put in one order, rare before frequent, they share at least k among the first n
    shingle of their 2-prefixes, and combinations that are still too frequent by three shingles of their 3-prefixes. A
    bucket whose combinations would make more pairs than it has, and what stays together after three, is listed as it is,
    so nothing is lost.
-5. Every candidate pair is first bounded from its prefixes, then verified on the whole sets.
+5. Every candidate pair is first bounded by the bits of its prefixes, then verified on the whole sets.
 
 Pairs inside a connected group are not all listed, but no two nodes that link end in different groups.
 
@@ -44,6 +44,8 @@ ORDERS, NEAR = 4, 8
 MOST_FREQUENT = 1 << 19
 _SLOTS = 1 << 20
 _FILTER = 22
+#: Bits of a prefix; a longer prefix sets more of them and is bounded less closely.
+BITS = 1024
 
 
 def _ceil(percent: int, n):
@@ -64,14 +66,14 @@ def _common(n: int):
 
 
 def _sketch(n: int, percent: int, shared):
-    """doc_id, n, node (signature), prefix (the 3-prefix, rare shingles first) of each text."""
+    """doc_id, n, node (signature), prefix (the 3-prefix, rare shingles first), bits (its shingles' bits) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = shared.value
         common = np.zeros(1 << _FILTER, bool)
         common[(keys >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
         for batch in batches:
-            size, node, prefix = [], [], []
+            size, node, prefix, bits = [], [], [], []
             for _, s in shingle_sets(batch.column(1), n):
                 m = len(s)
                 size.append(m)
@@ -85,9 +87,12 @@ def _sketch(n: int, percent: int, shared):
                     last = s[frequent][np.argsort(rank[at[frequent]], kind="stable")]
                     s = np.concatenate((s[~frequent][:most], last))
                 prefix.append(s[:most].view(np.int64))
+                on = np.zeros(BITS, np.uint8)
+                on[(s[:most] & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                bits.append(np.packbits(on).view(np.int64))
             lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], names=["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values)), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix", "bits"])
 
     return run
 
@@ -131,12 +136,18 @@ class JaccardJoin:
         rank = np.empty(len(keys), np.int64)
         rank[np.lexsort((keys, count))] = np.arange(len(keys))
         shared = self.docs.sparkSession.sparkContext.broadcast((keys[order], rank[order]))
-        return stored(self.docs.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, n long, node long, prefix array<long>"))
+        return stored(self.docs.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, n long, node long, prefix array<long>, bits array<long>"))
 
     def _bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """pairs whose prefixes allow enough common shingles. Beyond the prefix that ends first, all of its set may be common."""
-        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
-        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        """pairs whose prefixes allow enough common shingles, judged by their bits.
+
+        A bit of one prefix that the other lacks is a shingle that is not common. Beyond the prefix that ends first, all of
+        its set may be common. So only bits, not prefixes, travel with the pairs.
+        """
+        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.size("prefix").alias(f"p{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, v: s + v)
+        common = F.least(F.col("pa") - lacks("ba", "bb"), F.col("pb") - lacks("bb", "ba"))
+        most = common + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         return pairs.join(a, "a").join(b, "b").where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,7 +228,7 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id for every row: the least id that links reach, and its own without any."""
         sketches = self.sketches()
         some = sketches.where("n > 0")
-        nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+        nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
         first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
         tokens = nodes.select("node", "n", F.posexplode(first).alias("pos", "token"))
         bucket = Window.partitionBy("token").orderBy("n", "node")
