@@ -134,9 +134,13 @@ class JaccardJoin:
         return stored(self.docs.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, n long, node long, prefix array<long>"))
 
     def _bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """pairs whose prefixes allow enough common shingles. Beyond the prefix that ends first, all of its set may be common."""
-        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
-        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        """pairs whose prefixes allow enough common shingles. Beyond the prefix that ends first, all of its set may be common.
+
+        Halves of the hashes are compared, which are half to shuffle; shingles of one prefix with the same half may all be common.
+        """
+        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("halves").alias(f"h{x}"), F.col("same").alias(f"same_{x}")) for x in "ab")
+        common = F.size(F.array_intersect("ha", "hb")) + F.least("same_a", "same_b")
+        most = common + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
         return pairs.join(a, "a").join(b, "b").where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -182,9 +186,9 @@ class JaccardJoin:
     def _neighbours(self, live: DataFrame) -> DataFrame:
         """All unconnected pairs of small buckets, and those near each other in larger ones, each in one of a few random orders."""
         order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(ORDERS))), "node").rowsBetween(-NEAR, -1)
-        near = live.where(F.col("size") > 2 * NEAR).withColumn("before", F.collect_list(F.struct("node", "n", "label")).over(order))
-        near = near.withColumn("before", F.expr("filter(before, o -> o.label <> label)")).select("node", "n", F.explode("before").alias("o"))
-        near = near.where(self._sized(F.least("n", "o.n"), F.greatest("n", "o.n"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
+        near = live.where(F.col("size") > 2 * NEAR).withColumn("before", F.collect_list(F.struct("node", "n", "label", "pos")).over(order))
+        near = near.withColumn("before", F.expr("filter(before, o -> o.label <> label)")).select("node", "n", "pos", F.explode("before").alias("o"))
+        near = near.where(self._sized(F.least("n", "o.n"), F.greatest("n", "o.n")) & self._room(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
         listed = self._listed(live.where(F.col("size") <= 2 * NEAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return near.union(listed).distinct()
 
@@ -217,13 +221,15 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id for every row: the least id that links reach, and its own without any."""
         sketches = self.sketches()
         some = sketches.where("n > 0")
-        nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+        nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        halves = F.transform("prefix", lambda h: (h.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int"))
+        nodes = stored(nodes.withColumn("halves", halves).withColumn("same", F.size("halves") - F.size(F.array_distinct("halves"))))
         first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
         tokens = nodes.select("node", "n", F.posexplode(first).alias("pos", "token"))
         bucket = Window.partitionBy("token").orderBy("n", "node")
-        posts = tokens.withColumn("before", F.lag(F.struct("node", "n")).over(bucket)).withColumn("after", F.lead("node").over(bucket)).where("before is not null or after is not null")
-        posts = stored(posts.select("token", "node", "n", "pos", F.col("before.node").alias("before"), F.col("before.n").alias("n_before")))
-        near = posts.where(self._sized(F.col("n_before"), F.col("n"))).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
+        posts = tokens.withColumn("before", F.lag(F.struct("node", "n", "pos")).over(bucket)).withColumn("after", F.lead("node").over(bucket)).where("before is not null or after is not null")
+        posts = stored(posts.select("token", "node", "n", "pos", F.col("before.node").alias("before"), F.col("before.n").alias("n_before"), F.col("before.pos").alias("pos_before")))
+        near = posts.where(self._sized(F.col("n_before"), F.col("n")) & self._room(F.col("n_before"), F.col("pos_before"), F.col("n"), F.col("pos"))).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
         links = self._verified(stored(self._bounded(near, nodes)), nodes)
         labels = components(links)
         for pairs in (self._neighbours, lambda live: self._open_pairs(live, nodes)):
