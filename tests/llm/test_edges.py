@@ -114,6 +114,22 @@ def test_decontamination(spark, odd):
     assert in_blocks == got
 
 
+@pytest.mark.parametrize("n", [20, 40, 150])
+def test_decontamination_of_shortened_items(spark, n):
+    # documents that are nothing but the item with words missing: anywhere, at the front, and before a longer text's end
+    r, items, docs = random.Random(n), [(i, " ".join(words(1000 + i, n))) for i in range(12)], []
+    for i, t in items:
+        for gone in (2, n // 10, n // 5):
+            at = set(r.sample(range(n), gone))
+            short = [w for j, w in enumerate(t.split()) if j not in at]
+            docs += [short, t.split()[gone:], words(5000 + i, 30) + short]
+    docs = [(d, " ".join(x)) for d, x in enumerate(docs)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute.held(docs, items)
+    missed = expected.items() - {((x["doc_id"], x["item_id"]), x["distance"]) for x in got}
+    assert len(got) + len(missed) == len(expected) == len(docs) and len(missed) <= 0.03 * len(docs)
+
+
 def test_line_dedup(spark, odd):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "removed_lines"] and got.count() == odd.count()

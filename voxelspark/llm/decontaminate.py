@@ -4,12 +4,14 @@ Words are runs of letters and digits without regard to ASCII case. A document ho
 words is within n // 5 word edits of it (fewer than 6 words: equal).
 
 1. Windows. An item cut into one piece more than its edits has a piece that every such run holds unchanged. So windows are
-   taken only around such pieces: all item-sized windows whose start is within the edits of where the piece puts it. This
-   loses nothing, and most texts end here.
+   taken only around such pieces: all item-sized windows whose start is within the edits of where the piece puts it, padded
+   where they reach beyond their text. This loses nothing, and most texts end here.
 2. CGK. A random walk maps each window and item to a longer string: a random bit of each symbol and step says whether to
    advance, so that a few edits become a small Hamming distance.
-3. Bit sampling. Each of `TABLES` tables hashes a few sampled steps; a window meets the items that agree on them. Walks are
-   repeated until items with the full number of random edits are found with probability `recall` (measured when fitting).
+3. Bit sampling. Each of `TABLES` tables hashes a few sampled steps, chosen by the item's size alone; a window meets the items
+   that agree on them. Walks are repeated until items with the full number of random edits are found with probability `recall`
+   (measured when fitting on all items of a block, apart for edits of any kind and for deletions in a text that ends there).
+   Items too long to be found so in `MOST_WALKS` walks skip the tables: every place of their pieces is verified.
 4. Verification. The edit distance of the item to the best run of words near the window is computed exactly.
 
 The items are fitted in blocks of `block`, each broadcast with that bound, and documents are scanned in place: no shuffle,
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import NOT_ALNUM, Words, grams, mix, slices, utf8
 
-TABLES, SAMPLED, LONGEST_GRAM = 4, 2, 4
+TABLES, SAMPLED, LONGEST_GRAM, MOST_WALKS = 4, 2, 4, 64
+_TRIALS = 400
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -53,6 +56,21 @@ def sellers(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _changed(item: np.ndarray, ends: bool, rng: np.random.Generator) -> np.ndarray:
+    """A window with the item after all its edits: of any kind in a longer text, or deletions in a text that ends there."""
+    y = list(item)
+    for _ in range(edits(len(item))):
+        kind, at = 2 if ends else rng.integers(3), int(rng.integers(len(y)))
+        if kind == 0:
+            y[at] = rng.integers(0, 1 << 63, dtype=np.uint64)
+        elif kind == 1:
+            y.insert(at, rng.integers(0, 1 << 63, dtype=np.uint64))
+        else:
+            y.pop(at)
+    y += [_PAD if ends else rng.integers(0, 1 << 63, dtype=np.uint64) for _ in range(len(item))]
+    return np.array(y[: len(item)], np.uint64)
+
+
 @dataclass
 class Benchmark:
     """A block of items, ready to be looked for."""
@@ -64,6 +82,7 @@ class Benchmark:
     bits: np.ndarray  # by walk and step
     samples: np.ndarray  # by walk, table: shares of the walk
     tables: list[list[tuple[np.ndarray, np.ndarray]]]
+    direct: np.ndarray  # by item: verified at every place of its pieces
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], *, recall: float = 0.99, seed: int = 11) -> Benchmark:
@@ -89,7 +108,7 @@ class Benchmark:
             filters[q][(keys >> np.uint64(42)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
         most = 2 * max((len(x) for x in words), default=1)
-        out = cls(ids, words, by, filters, rng.integers(0, 1 << 63, (32, most), np.uint64) | np.uint64(1), rng.random((32, TABLES, SAMPLED)), [])
+        out = cls(ids, words, by, filters, rng.integers(0, 1 << 63, (MOST_WALKS, most), np.uint64) | np.uint64(1), rng.random((MOST_WALKS, TABLES, SAMPLED)), [], np.zeros(len(ids), bool))
         walks = out._walks_for(recall, rng)
         out.bits, out.samples = out.bits[:walks], out.samples[:walks]
         if words:
@@ -125,30 +144,33 @@ class Benchmark:
         return keys
 
     def _walks_for(self, recall: float, rng: np.random.Generator) -> int:
-        """As many walks as find items with all their edits at random places with the given probability."""
-        trials = [x for x in self.words if edits(len(x))][:64]
-        if not trials:
+        """As many walks as find items with all their edits at random places with the given probability; longer items are direct."""
+        sizes = np.array([len(x) for x in self.words])
+        items = np.flatnonzero([edits(n) > 0 for n in sizes])
+        items = np.repeat(items, -(-_TRIALS // max(1, len(items))))  # one for each trial
+        met = []
+        for ends in (False, True):
+            changed = [_changed(self.words[i], ends, rng) for i in items]
+            first = np.full(len(items), MOST_WALKS)  # by trial: the first walk that meets its item
+            left = np.arange(len(items))
+            for walk in range(MOST_WALKS):
+                if len(left) <= (1 - recall) * len(items):
+                    break
+                for part in np.array_split(left, -(-len(left) * self.bits.shape[1] // (1 << 21))):
+                    (a, n), (b, _) = self._block([self.words[items[i]] for i in part]), self._block([changed[i] for i in part])
+                    first[part[(self._keys(a, n, walk) == self._keys(b, n, walk)).any(axis=1)]] = walk
+                left = left[first[left] == MOST_WALKS]
+            if len(left) > (1 - recall) * len(items):
+                # the tables keep the items up to the greatest size up to which they find enough
+                by_size = np.argsort(sizes[items], kind="stable")
+                enough = np.cumsum(first[by_size] == MOST_WALKS) <= (1 - recall) * np.arange(1, len(items) + 1)
+                last = np.append(np.diff(sizes[items[by_size]]) > 0, True)
+                self.direct |= sizes > max(sizes[items[by_size[enough & last]]], default=5)
+            met.append(first)
+        kept = ~self.direct[items]
+        if not kept.any():
             return 1
-        changed = []
-        for x in trials:
-            y = list(x)
-            for _ in range(edits(len(x))):
-                kind, at = rng.integers(3), int(rng.integers(len(y)))
-                if kind == 0:
-                    y[at] = rng.integers(0, 1 << 63, dtype=np.uint64)
-                elif kind == 1:
-                    y.insert(at, rng.integers(0, 1 << 63, dtype=np.uint64))
-                else:
-                    y.pop(at)
-            y += [rng.integers(0, 1 << 63, dtype=np.uint64) for _ in range(len(x))]
-            changed.append(np.array(y[: len(x)], np.uint64))
-        (a, n), (b, _) = self._block(trials), self._block(changed)
-        found = np.zeros(len(trials), bool)
-        for walks in range(1, len(self.bits) + 1):
-            found |= (self._keys(a, n, walks - 1) == self._keys(b, n, walks - 1)).any(axis=1)
-            if found.mean() >= recall:
-                return walks
-        return len(self.bits)
+        return 1 + max(int(np.sort(first[kept])[int(np.ceil(recall * kept.sum())) - 1]) for first in met)
 
     def seeds(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(first word, item, text) of the places where an item's piece puts it."""
@@ -172,17 +194,18 @@ class Benchmark:
         if not len(start):
             return []
         sizes = np.array([len(x) for x in self.words])
-        windows = []
+        windows, pairs = [np.zeros((0, 3), np.int64)], []
         for i in np.unique(item):
             k, mine = edits(sizes[i]), np.unique(np.column_stack((text, start))[item == i], axis=0)
+            if self.direct[i]:
+                pairs += [(t, int(i), f) for t, f in mine.tolist()]
+                continue
             spread = np.column_stack((np.repeat(mine[:, 0], 2 * k + 1), (mine[:, 1][:, None] + np.arange(-k, k + 1)).ravel()))
             windows.append(np.column_stack((spread, np.full(len(spread), sizes[i]))))
         rows = np.unique(np.concatenate(windows), axis=0)
-        # a window that would begin before its text begins with the text, and one at its end is shorter
-        first, end = np.maximum(rows[:, 1], w.first[rows[:, 0]]), w.first[rows[:, 0] + 1]
-        rows, first, end = rows[first < end], first[first < end], end[first < end]
-        pairs = self._candidates(w, rows[:, 0], first, np.minimum(rows[:, 2], end - first))
-        return self._verified(w, pairs)
+        # a window that reaches beyond its text is padded there, so that it samples the same steps as its item
+        rows = rows[(rows[:, 1] < w.first[rows[:, 0] + 1]) & (rows[:, 1] + rows[:, 2] > w.first[rows[:, 0]])]
+        return self._verified(w, sorted(pairs + self._candidates(w, *rows.T)))
 
     def _candidates(self, w: Words, text: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
         """Distinct (text, item, first word) of windows that meet an item in some table."""
@@ -190,7 +213,8 @@ class Benchmark:
         for i in range(0, len(first), 20_000):
             f, m, t = first[i : i + 20_000], n[i : i + 20_000], text[i : i + 20_000]
             at = f[:, None] + np.arange(m.max())
-            block = np.where(np.arange(m.max()) < m[:, None], w.hash[np.minimum(at, len(w.hash) - 1)], _PAD)
+            inside = (at >= w.first[t][:, None]) & (at < np.minimum(f + m, w.first[t + 1])[:, None])
+            block = np.where(inside, w.hash[np.clip(at, 0, len(w.hash) - 1)], _PAD)
             for walk, tables in enumerate(self.tables):
                 keys = self._keys(block, m, walk)
                 for c, (sorted_keys, order) in enumerate(tables):
