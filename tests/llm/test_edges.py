@@ -183,6 +183,37 @@ def test_language(spark, odd):
     assert langid.fit(train.limit(0)) is None and {x["lang_pred"] for x in langid.score(odd, None).collect()} == {"und"}
 
 
+def prose(seed, vocabulary, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(vocabulary) for _ in range(n))
+
+
+def noise(seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80))
+
+
+@pytest.mark.parametrize("common", [200, 10, 3])
+def test_language_of_few_texts_rejects_noise(spark, common):
+    one, rare = words(71, 60), ["".join(random.Random(w).sample("acegikmoqsuwybdfhz", 5)) for w in range(60)]
+    rows = [*((i, prose(i, one), "l1") for i in range(common)), *((1000 + i, prose(1000 + i, rare), "l2") for i in range(min(common, 10)))]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [*((2000 + i, noise(i)) for i in range(40)), *((3000 + i, prose(3000 + i, rare)) for i in range(40)), *((4000 + i, prose(4000 + i, one)) for i in range(40))]
+    new = spark.createDataFrame(new, "doc_id long, text string")
+    got = langid.score(new, models).toPandas().set_index("doc_id")
+    assert got.loc[2000:2999, "rejected"].all() and not got.loc[3000:, "rejected"].any()
+    assert {r["doc_id"] for r in langid.keep_known(new, models).collect()} == set(range(3000, 3040)) | set(range(4000, 4040))
+
+
+def test_language_with_some_junk_rejects_junk(spark):
+    one = words(71, 60)
+    rows = [(i, noise(i) if i % 50 == 0 else prose(i, one), "l1") for i in range(400)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [*((2000 + i, noise(5000 + i)) for i in range(20)), *((3000 + i, prose(3000 + i, one)) for i in range(20))]
+    got = langid.score(spark.createDataFrame(new, "doc_id long, text string"), models).toPandas().set_index("doc_id")
+    assert got.loc[2000:2999, "rejected"].all() and not got.loc[3000:, "rejected"].any()
+
+
 def test_kneser_ney_sums_to_one():
     g = np.array([[97, 98, 97, 98], [98, 97, 98, 97], [97, 98, 97, 97], [32, 97, 98, 97]], np.uint32)
     m = langid._kneser_ney({"a": (g, np.array([5, 4, 1, 2]))})

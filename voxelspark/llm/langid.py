@@ -6,9 +6,11 @@ their id) are counted in Spark; the counts, bounded by the sample, make the mode
 language has seen falls back to the weight of its context and the next shorter n-gram.
 
 Prediction: the language with the lowest cross-entropy per character over the whole text. A fifth of the sample is kept
-from the counts to calibrate rejection: a text is rejected if its entropy lies further above its language's mean than
-`margin` times the furthest of those texts and two thirds of the way to even noise over the alphabet, on a scale that
-widens for short texts. So a text in two of the languages stays and random letters go. Map-only: nothing is shuffled.
+from the counts to calibrate rejection: a text is rejected if its entropy lies further above its language's median than
+`margin` times the distance that 95 % of those texts keep and two thirds of the way to even noise over the alphabet, on a
+scale that widens for short texts. So a text in two of the languages stays and random letters go. A language with under
+20 such texts has the bound of noise alone, from their lower median or the median of all languages, whichever is higher
+(from the texts it was fitted on if no language has any). Map-only: nothing is shuffled.
 
 Texts are lower-cased letters; runs of anything else are one space. Nulls: a null text, or one without letters, is `und`
 with score 0 and not rejected by entropy but as undetermined. Null languages and null ids are not learned from. Without
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,18 +196,26 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return None
     table = counts.to_pandas()
     models = _kneser_ney({k: (g[["c0", "c1", "c2", "c3"]].to_numpy(np.uint32), g["n"].to_numpy()) for k, g in table.groupby("lang")})
-    held = score(texts.where("calibrates").select("id", "lang", "text"), models, id_col="id", text_col="text", keep=["lang"]).where("lang = lang_pred").select("lang", "entropy", "n_symbols").toArrow().to_pandas()
-    mean, limit = np.full(len(models.languages), np.nan), np.full(len(models.languages), np.inf)
+    held = _entropies_of(texts.where("calibrates"), models).query("lang == lang_pred")
+    every = (held if len(held) else _entropies_of(texts, models))["entropy"].median()
+    mean, limit = np.zeros(len(models.languages)), np.zeros(len(models.languages))
     for k, language in enumerate(models.languages):
         e = held[held["lang"] == language]
-        if len(e) >= 20:
-            mean[k] = e["entropy"].median()
-            noise = 2 / 3 * (np.log(models.alphabet) - mean[k]) * _scale(np.array([400]))[0]
-            limit[k] = max(noise, margin * ((e["entropy"] - mean[k]) * _scale(e["n_symbols"].to_numpy())).max())
+        few = len(e) < 20
+        mean[k] = max(every, e["entropy"].quantile(0.5, "lower") if len(e) else every) if few else e["entropy"].median()
+        limit[k] = 2 / 3 * max(np.log(models.alphabet) - mean[k], 0) * _scale(np.array([400]))[0]
+        if not few:
+            # a few junk or mislabelled texts among them do not raise it
+            limit[k] = max(limit[k], margin * ((e["entropy"] - mean[k]) * _scale(e["n_symbols"].to_numpy())).quantile(0.95, "lower"))
     models.mean, models.limit = mean, limit
     return models
 
 
+def _entropies_of(texts: DataFrame, models: LanguageModels) -> pd.DataFrame:
+    """lang, lang_pred, entropy, n_symbols of the texts with letters: no more than the sample."""
+    return score(texts, models, id_col="id", text_col="text", keep=["lang"]).where("n_symbols > 0").select("lang", "lang_pred", "entropy", "n_symbols").toArrow().to_pandas()
+
+
 def _scale(n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(n, 1, 400))
 
