@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from voxelspark.llm import chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, url_lists, warc
 from voxelspark.llm.queries import tokenizer_path
@@ -246,6 +247,14 @@ def test_jaccard(spark, odd):
     assert jaccard.near_groups(odd.limit(0)).count() == 0
 
 
+def test_one_of_each_group_with_repeated_ids(spark):
+    a, b, c = (" ".join(words(s, 80)) for s in (41, 42, 43))
+    near = a + " more"
+    docs = spark.createDataFrame([(7, a, 0), (9, near, 1), (9, b, 2), (9, c, 3), (9, c, 3), (12, b, 4), (3, None, 5), (3, "", 6), (None, a, 7)], "doc_id long, text string, n long")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [0, 2, 3, 5, 6, 7]
+
+
 @pytest.mark.parametrize("bucket", [2, 128])
 def test_jaccard_on_clusters(spark, bucket):
     """Groups of near copies around the threshold, with passages that many texts share, by every way of listing pairs."""
