@@ -51,10 +51,10 @@ FROM turns GROUP BY conv_id
 
 _URN = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
 _CRLF = "chr(13) || chr(10)"
-_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<!--.*?-->', '', 'g'), '(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|tr|td|th|table|article|nav|section|body|html)(?:[\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html || '<!----></script></style></head>', '(?is)<script[^<>]*>.*?</script>|<style[^<>]*>.*?</style>|<head[^<>]*>.*?</head>|<!--.*?-->', '', 'g'), '(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|tr|td|th|table|article|nav|section|body|html)(?:[\s/][^<>]*)?>', chr(10), 'g'), '<[^<>]*>', '', 'g')"
 for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _TEXT = f"replace({_TEXT}, '{_entity}', '{_char}')"
-_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_TEXT = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ \t\r\f]*\n[ \t\r\f\n]*', chr(10), 'g'), '[ \t\r\f]+', ' ', 'g'), ' ' || chr(10))"
 
 OP4 = rf"""
 WITH src AS (
@@ -62,7 +62,7 @@ WITH src AS (
     {_URN.format(h="md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, ''))")} AS refers_to, 'sha256:' || sha256(coalesce(html, '')) AS source_digest FROM pages),
 derived AS (
   SELECT page_id, 'metadata' AS warc_type, {_URN.format(h="md5('metadata|' || refers_to)")} AS record_id, refers_to, target_uri, warc_date, source_digest, 'application/warc-fields' AS content_type,
-    'title: ' || regexp_replace(coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '\s+', ' ', 'g') || {_CRLF} || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\s')) || {_CRLF} || 'source-payload-length: ' || strlen(html) || {_CRLF}
+    'title: ' || regexp_replace(coalesce(regexp_extract(html, '(?is)<title[^<>]*>(.*?)</title>', 1), ''), '\s+', ' ', 'g') || {_CRLF} || 'outlinks: ' || len(regexp_extract_all(html, '<[aA]\s')) || {_CRLF} || 'source-payload-length: ' || strlen(html) || {_CRLF}
       || 'source-http-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || strlen(html) AS block FROM src
   UNION ALL
   SELECT page_id, 'conversion', {_URN.format(h="md5('conversion|' || refers_to)")}, refers_to, target_uri, warc_date, source_digest, 'text/plain; charset=utf-8', {_TEXT} FROM src)
