@@ -31,7 +31,6 @@ def test_op1(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     got = queries.op1_best_fit_packing(spark, SF).toPandas()
     expected = sorted(brute.token_pieces(docs[["doc_id", "text"]].itertuples(index=False), tok))
     assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == expected
