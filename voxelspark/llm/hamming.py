@@ -1,113 +1,95 @@
 """Exact top-k neighbours of binary codes by incremental multi-index hashing.
 
-A code is split into segments. If two codes are within s * (r + 1) - 1 bits of each other, some of their s segments are
-within r bits. So the search probes all segments at radius 0, then 1 and so on, verifies whole distances, and stops once
-the k-th distance found is covered by the radius reached: no nearer code can be missing.
+A code is cut into segments of `WIDTH` bits. If two codes are within s * (r + 1) - 1 bits of each other, some of their s
+segments are within r bits. The index has one row for each code and segment. In round r every open query probes all values
+within r bits of its own in each segment (or all that the index has, if these are fewer); the join meets the codes that have them, and whole distances are verified in it. Of
+these the round keeps those beyond the reach of the rounds before and within its own, s * (r + 1) - 1, of which none can be
+missing. A query closes once it has its k neighbours: no nearer code can be left. So most rounds have few queries, and nothing
+is compared twice: a pair counts in its first segment within r bits only.
 
-Rows with equal codes are searched once: the index holds distinct codes with their k + 1 least ids (no answer needs more),
-the queries are distinct codes too, so copies cost nothing. Both sides are dealt into blocks of bounded size, and each task
-answers one block of queries from one block of the index; partial answers are merged by distance and id.
+Rows with equal codes are searched once: the index holds distinct codes with their k + 1 least ids (no answer needs more), and
+the queries are distinct codes too, so copies cost nothing. The index is broadcast while it has at most `broadcast_rows` rows;
+beyond that, probes and index are shuffled by segment and value.
 
 Nulls: a null vector, or one without numbers, has no code, is no neighbour and gets no row. Null numbers and NaN count as
-not positive. Ties go to the least id. Vectors with more than 64 numbers use the first 64 signs only if `bits` says so.
-Rows alike in id count as one. Fewer than k others: fewer rows. An empty table gives none. Other columns are not read.
+not positive, and so do the numbers that a vector lacks against the longest one: all numbers count, whatever the length. Ties go
+to the least id. Rows alike in id count as one unless their codes differ. Fewer than k others: fewer rows. An empty table gives
+none. Other columns are not read. Jobs run when `top_k` is called, one or two for each round.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENTS = 4
-
-
-def sign_code(vector: Column, bits: int = 64) -> Column:
-    """A long whose bit i says whether number i is positive."""
-    signs = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when((x > 0) & ~F.isnan(x.cast("double")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(vector) > 0, F.aggregate(signs, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
-
-
-def _masks(width: int) -> list[np.ndarray]:
-    """All values of `width` bits, by how many are set."""
-    return [np.array([sum(1 << b for b in c) for c in combinations(range(width), r)] or [0], np.uint64) for r in range(width + 1)]
-
-
-class CodeIndex:
-    """Distinct codes, sorted by each of their segments."""
-
-    def __init__(self, codes: np.ndarray, bits: int):
-        self.codes, self.width = codes.astype(np.uint64), -(-bits // SEGMENTS)
-        self.masks, self.tables = _masks(self.width), []
-        for s in range(SEGMENTS):
-            values = self._segment(self.codes, s)
-            order = np.argsort(values, kind="stable")
-            starts = np.searchsorted(values[order], np.arange((1 << self.width) + 1, dtype=np.uint64))
-            self.tables.append((order, starts))
-
-    def _segment(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return (codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)
-
-    def search(self, query: np.uint64, enough) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, distances) of at least all codes up to the distance at which enough(positions) rows are found."""
-        seen = np.zeros(len(self.codes), bool)
-        dist = np.full(len(self.codes), 255, np.uint8)
-        for r in range(self.width + 1):
-            found = []
-            for s, (order, starts) in enumerate(self.tables):
-                probe = self.masks[r] ^ self._segment(query, s)
-                a, b = starts[probe.astype(np.int64)], starts[probe.astype(np.int64) + 1]
-                n = b - a
-                if n.any():
-                    at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    found.append(order[at])
-            if found:
-                new = np.unique(np.concatenate(found))
-                new = new[~seen[new]]
-                seen[new] = True
-                dist[new] = np.bitwise_count(self.codes[new] ^ query)
-            reach = SEGMENTS * (r + 1) - 1
-            inside = np.flatnonzero(dist <= reach)
-            if enough(inside):
-                break
-        got = np.flatnonzero(seen)
-        return got, dist[got].astype(np.int64)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, bits: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 20_000, query_block: int = 2_000) -> DataFrame:
+from voxelspark.llm.shared import drop_stored, stored
+
+WIDTH = 16
+
+
+def sign_code(vector: Column, longs: int = 1) -> Column:
+    """An array of longs whose bits say, number by number, which are positive; null without numbers."""
+
+    def word(w: int) -> Column:
+        bits = F.transform(F.slice(vector, 64 * w + 1, 64), lambda x, i: F.when((x > 0) & ~F.isnan(x.cast("double")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    return F.when(F.size(vector) > 0, F.array(*(word(w) for w in range(longs))))
+
+
+def _segment(longs: list[Column], s: int) -> Column:
+    per = 64 // WIDTH
+    return F.shiftrightunsigned(longs[s // per], WIDTH * (s % per)).bitwiseAND((1 << WIDTH) - 1).cast("int")
+
+
+def _masks(r: int) -> Column:
+    """All values of `WIDTH` bits with at most r of them set."""
+    return F.expr(f"array({', '.join(str(m) for m in range(1 << WIDTH) if m.bit_count() <= r)})")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000) -> DataFrame:
     """query_id, neighbour_id, distance, rank (from 1): the k nearest other rows of `vectors` for every row of `queries`."""
-    coded = lambda df: df.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col), bits).alias("code")).where("code is not null and id is not null").distinct()
-    base, asked = coded(vectors), coded(queries)
+    longest = F.max(F.size(vector_col)).alias("n")
+    most = vectors.select(longest).union(queries.select(longest)).agg(F.max("n")).first()[0] or 1
+    longs, segments = max(1, -(-most // 64)), 64 // WIDTH * max(1, -(-most // 64))
+    coded = lambda df: df.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col), longs).alias("code")).where("code is not null and id is not null").distinct()
+    asked = stored(coded(queries))
     by_code = Window.partitionBy("code").orderBy("id")
-    least = base.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1)
-    index = least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    probes = asked.select("code").distinct()
-    n_index, n_probes = index.count(), probes.count()
-    blocks, query_blocks = max(1, -(-n_index // block)), max(1, -(-n_probes // query_block))
-    deal = lambda df, n: F.pmod(F.xxhash64(F.lit(n), "code"), F.lit(n))
-    left = index.withColumn("b", deal(index, blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = probes.withColumn("q", deal(probes, query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(rows: pd.DataFrame, asked_here: pd.DataFrame) -> pd.DataFrame:
-        codes = rows["code"].to_numpy(np.int64).view(np.uint64)
-        ids = [np.asarray(x, np.int64) for x in rows["ids"]]
-        counts = np.array([len(x) for x in ids], np.int64)
-        index, out = CodeIndex(codes, bits), []
-        for code in asked_here["code"].to_numpy(np.int64):
-            q = np.int64(code).view(np.uint64)
-            got, dist = index.search(q, lambda inside: counts[inside].sum() >= k + 1)
-            order = np.argsort(dist, kind="stable")
-            limit = dist[order][min(len(order) - 1, int(np.searchsorted(np.cumsum(counts[got[order]]), k + 1)))] if len(order) else 0
-            near = [(int(d), int(i)) for g, d in zip(got.tolist(), dist.tolist(), strict=True) if d <= limit for i in ids[g]]
-            out.append((int(code), [{"distance": d, "id": i} for d, i in sorted(near)[: k + 1]]))
-        return pd.DataFrame(out, columns=["code", "near"])
-
-    if not n_index or not n_probes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, neighbour_id long, distance int, rank int")
-    parts = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(answer, "code long, near array<struct<distance: int, id: long>>")
-    merged = parts.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    mine = asked.join(merged, "code").select("id", F.expr("slice(filter(near, x -> x.id <> id), 1, {})".format(k)).alias("near"))
-    return mine.select(F.col("id").alias("query_id"), F.posexplode("near").alias("r", "n")).select("query_id", F.col("n.id").alias("neighbour_id"), F.col("n.distance").alias("distance"), (F.col("r") + 1).alias("rank"))
+    least = coded(vectors).withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1)
+    codes = stored(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    words = [F.col("code")[w] for w in range(longs)]
+    cut = F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), _segment(words, s).alias("value")) for s in range(segments)))).alias("s")
+    index = codes.select(F.col("code").alias("near"), F.col("ids")[0].alias("id"), F.size("ids").alias("n"), cut).select("near", "id", "n", "s.segment", "s.value")
+    n_codes, n_ids = codes.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    small, enough = n_codes * segments <= broadcast_rows, min(k + 1, n_ids)
+    index = F.broadcast(index) if small else stored(index)
+    apart = [F.col("code")[w].bitwiseXOR(F.col("near")[w]) for w in range(longs)]
+    distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0])).cast("int")
+    first = Window.partitionBy("code").orderBy("distance", "id")
+    open_queries, rings = stored(asked.select("code", F.lit(0).cast("long").alias("have")).distinct()), []
+    for r in range(WIDTH + 1):
+        if not open_queries.limit(1).count():
+            break
+        asking = open_queries.select("code", cut).select("code", "s.segment", F.col("s.value").alias("own"))
+        its_first = F.coalesce(*(F.when(F.bit_count(_segment(apart, s)) <= r, F.lit(s)) for s in range(segments))) == F.col("segment")
+        if small and n_codes <= sum(comb(WIDTH, n) for n in range(r + 1)):
+            # fewer codes than values within r bits: the values that the index has are compared instead
+            met = asking.join(index, "segment").where(F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) <= r)
+        else:
+            probes = asking.select("code", "segment", "own", F.explode(_masks(r)).alias("mask"))
+            met = probes.select("code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).join(index, ["segment", "value"])
+        met = met.where(distance.between(segments * r, segments * (r + 1) - 1) & its_first)
+        ring = met.select("code", "near", "id", "n", distance.alias("distance")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+        rings.append(stored(ring.select("code", "near", "n", "distance")))
+        now = rings[-1].groupBy("code").agg(F.sum("n").alias("now"))
+        left = open_queries.join(now, "code", "left").select("code", (F.col("have") + F.coalesce("now", F.lit(0))).alias("have")).where(F.col("have") < enough)
+        before, open_queries = open_queries, stored(left)
+        drop_stored(before)
+    found = vectors.sparkSession.createDataFrame([], "code array<long>, near array<long>, distance int")
+    for ring in rings:
+        found = found.unionByName(ring.drop("n"))
+    ids = found.join(codes.select(F.col("code").alias("near"), "ids"), "near").select("code", "distance", F.explode("ids").alias("neighbour_id"))
+    mine = asked.join(ids, "code").where(F.col("id") != F.col("neighbour_id")).select(F.col("id").alias("query_id"), "neighbour_id", "distance")
+    return mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
