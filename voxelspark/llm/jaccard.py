@@ -4,23 +4,26 @@ Two sets of m and n shingles with Jaccard of at least t share ceil(t * (m + n) /
 put in one order, rare before frequent, they share at least k among the first n - ceil(t * n) + k of each: its k-prefix.
 
 1. Frequent shingles are found by counts in each batch (a heuristic: the order may be any, results never depend on it).
-2. One pass makes each text's set, its 64-bit signature and its 3-prefix. Texts with equal sets become one node.
-3. Rare shingles are indexed singly: nodes that share a shingle of their 1-prefixes are a bucket. In each bucket every node
-   is first compared with its neighbour in order of size only. Where a bucket still holds several groups, all pairs between
-   groups follow if it is small, else those near each other in a few random orders. That joins groups of near copies with
-   a few links for each copy.
-4. Pairs are still open only between nodes of larger buckets that no links connect yet. They are listed, but in a bucket
+2. One pass makes each text's set, its 64-bit signature, its 3-prefix, three min-hashes and a bitmap with one bit for each class
+   of shingles: whether the set holds an odd number of them. Two bitmaps differ in no more bits than the sets do in shingles,
+   so they rule out nearly all pairs that do not link, before a pair is made. Texts with equal sets become one node.
+3. The nodes are sorted by their min-hashes, in three orders, and compared with the node before. That joins groups of near copies
+   with three comparisons for each copy, however large the group; the sort splits by range, so no group meets in one task.
+4. Rare shingles are indexed singly: nodes that share a shingle of their 1-prefixes are a bucket. Only buckets that hold several
+   groups matter. Small ones are compared wholly, larger ones first with those near in a few random orders.
+5. Pairs are still open only between nodes of larger buckets that no links connect yet. They are listed, but in a bucket
    of over `bucket` nodes its shingle counts as frequent: the nodes are indexed by combinations of it with each later
    shingle of their 2-prefixes, and combinations that are still too frequent by three shingles of their 3-prefixes. A
    bucket whose combinations would make more pairs than it has, and what stays together after three, is listed as it is,
    so nothing is lost.
-5. Every candidate pair is first bounded from its prefixes, then verified on the whole sets.
+6. Every candidate pair is verified on the whole sets.
 
 Pairs inside a connected group are not all listed, but no two nodes that link end in different groups.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing. A null id is a document too; it never
 gives a group its name unless all ids are null. Rows with equal ids are separate texts. With fewer than five words the
-whole sequence is one shingle. Empty tables give no rows. Other columns are not read.
+whole sequence is one shingle. Empty tables give no rows. Other columns are not read. Jobs run when `groups` is called: each
+step is written to the shared folder and read by the next.
 """
 
 from __future__ import annotations
@@ -42,8 +45,10 @@ LONGEST = 3
 ORDERS, NEAR = 4, 8
 #: Bound of the shingles that are put last as frequent (16 bytes each). Those beyond it are ordered as rare ones are.
 MOST_FREQUENT = 1 << 19
-_SLOTS = 1 << 20
 _FILTER = 22
+#: Min-hashes of a set, and longs of its bitmap.
+MINS, BITS = 3, 8
+_TURNS = np.array([1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 
 
 def _ceil(percent: int, n):
@@ -63,19 +68,31 @@ def _common(n: int):
     return run
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    lengths = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
+def _signature(s: np.ndarray) -> int:
+    return int(mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))) if len(s) else 0
+
+
 def _sketch(n: int, percent: int, shared):
-    """doc_id, n, node (signature), prefix (the 3-prefix, rare shingles first) of each text."""
+    """doc_id, row, n, node (signature), prefix (the 3-prefix, rare shingles first), mins, bits of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = shared.value
         common = np.zeros(1 << _FILTER, bool)
         common[(keys >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
         for batch in batches:
-            size, node, prefix = [], [], []
-            for _, s in shingle_sets(batch.column(1), n):
+            size, node, prefix, mins, bits = [], [], [], [], []
+            for _, s in shingle_sets(batch.column(2), n):
                 m = len(s)
                 size.append(m)
-                node.append(int(mix(s).sum(dtype=np.uint64) ^ np.uint64(m)) if m else 0)
+                node.append(_signature(s))
+                mins.append(np.array([(s * k).min() for k in _TURNS] if m else [0] * MINS, np.uint64).view(np.int64))
+                odd = np.bincount((s & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
                 most = min(m, m - _ceil(percent, m) + LONGEST)
                 frequent = common[(s >> np.uint64(64 - _FILTER)).astype(np.int64)]
                 if frequent.any():
@@ -85,25 +102,43 @@ def _sketch(n: int, percent: int, shared):
                     last = s[frequent][np.argsort(rank[at[frequent]], kind="stable")]
                     s = np.concatenate((s[~frequent][:most], last))
                 prefix.append(s[:most].view(np.int64))
-            lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
-            values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))], names=["doc_id", "n", "node", "prefix"])
+            made = [pa.array(size, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), *(_lists(x) for x in (prefix, mins, bits))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "row", "n", "node", "prefix", "mins", "bits"])
+
+    return run
+
+
+def _adjacent(percent: int):
+    """Pairs (a < b) of neighbours in the order of the rows that share their first key and that sizes and bitmaps allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, n = (batch.column(k).to_numpy() for k in range(3))
+            bits = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, BITS)
+            now = key, node, n, bits
+            if last is not None:
+                now = tuple(np.concatenate((x[-1:], y)) for x, y in zip(last, now, strict=True))
+            key, node, n, bits = last = now
+            far, total = np.bitwise_count(bits[1:] ^ bits[:-1]).sum(axis=1, dtype=np.int64), n[1:] + n[:-1]
+            near = (key[1:] == key[:-1]) & (100 * np.minimum(n[1:], n[:-1]) >= percent * np.maximum(n[1:], n[:-1])) & ((100 + percent) * (total - far) >= 2 * percent * total)
+            a, b = node[:-1][near], node[1:][near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _sets(n: int, shared):
-    """node, shingles of the texts whose slot is wanted."""
+def _sets(n: int):
+    """node, shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(1).to_numpy()]))
             for k in range(0, batch.num_rows, 500):
                 sets = [s for _, s in shingle_sets(batch.column(0).slice(k, 500), n)]
-                node = np.array([mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)) if len(s) else 0 for s in sets], np.uint64)
-                lengths = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
+                node = np.array([_signature(s) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), _lists([s.view(np.int64) for s in sets])], names=["node", "shingles"])
 
     return run
 
@@ -113,10 +148,12 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bucket: int = 128):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        # what tells rows apart, as ids may be null or repeated
+        self.rows = self.docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
         self.n, self.percent, self.bucket = n, percent, bucket
 
     def sketches(self) -> DataFrame:
-        often = stored(self.docs.select("text").mapInArrow(_common(self.n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8"))
+        table = often = stored(self.docs.select("text").mapInArrow(_common(self.n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8"))
         # the most frequent by powers of two, as many as fit the bound of the broadcast
         power = F.floor(F.log2("n"))
         fit, least = 0, 64
@@ -131,35 +168,39 @@ class JaccardJoin:
         rank = np.empty(len(keys), np.int64)
         rank[np.lexsort((keys, count))] = np.arange(len(keys))
         shared = self.docs.sparkSession.sparkContext.broadcast((keys[order], rank[order]))
-        return stored(self.docs.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, n long, node long, prefix array<long>"))
-
-    def _bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """pairs whose prefixes allow enough common shingles. Beyond the prefix that ends first, all of its set may be common.
-
-        Halves of the hashes are compared, which are half to shuffle; shingles of one prefix with the same half may all be common.
-        """
-        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("halves").alias(f"h{x}"), F.col("same").alias(f"same_{x}")) for x in "ab")
-        common = F.size(F.array_intersect("ha", "hb")) + F.least("same_a", "same_b")
-        most = common + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
-        return pairs.join(a, "a").join(b, "b").where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        drop_stored(table)
+        return stored(self.rows.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, row long, n long, node long, prefix array<long>, mins array<long>, bits array<long>"))
+
+    def _adjacent_pairs(self, nodes: DataFrame) -> DataFrame:
+        """Pairs of nodes that share a min-hash and are next to each other in one of the orders by min-hashes."""
+        out = None
+        for r in range(MINS):
+            keys = [F.col("mins")[(r + k) % MINS].alias(f"k{k}") for k in range(MINS)]
+            by = [*(f"k{k}" for k in range(MINS)), "node"]
+            ordered = nodes.select(*keys, "node", "n", "bits").repartitionByRange(*by).sortWithinPartitions(*by)
+            pairs = ordered.select("k0", "node", "n", "bits").mapInArrow(_adjacent(self.percent), "a long, b long")
+            out = pairs if out is None else out.union(pairs)
+        return out.distinct()
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets. Only texts of nodes in some pair are read to the join."""
+        """The pairs that link, by their whole sets. Only the text of one row for each node in some pair is read to the join."""
+        pairs = stored(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)).cast("int")
-        # a filter of fixed size, not a list of texts: full, it lets every text through
-        slots = ends.join(nodes.select("node", "doc_id"), "node").select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
-        wanted = np.zeros(_SLOTS, bool)
-        wanted[slots] = True
-        shared = self.docs.sparkSession.sparkContext.broadcast(wanted)
-        sets = self.docs.select("text", slot.alias("slot")).mapInArrow(_sets(self.n, shared), "node long, shingles array<long>")
-        sets = stored(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+        wanted = stored(nodes.select("node", "row").join(ends, "node").select("row"))
+        texts = self.rows.join(wanted, "row", "left_semi").select("text")
+        sets = stored(texts.mapInArrow(_sets(self.n), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
         links = stored(pairs.join(a, "a").join(b, "b").where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-        drop_stored(sets)
+        drop_stored(pairs, wanted, sets)
         return links
 
+    def _near(self, a: str, b: str):
+        """Whether the bitmaps of two sets (columns bits_a, n_a ... by the prefixes given) allow them to link."""
+        total = F.col(f"{a}n") + F.col(f"{b}n")
+        far = sum((F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(1, BITS)), F.bit_count(F.col(f"{a}bits")[0].bitwiseXOR(F.col(f"{b}bits")[0])))
+        return (100 + self.percent) * (total - far) >= 2 * self.percent * total
+
     def _sized(self, small, large):
         return 100 * small >= self.percent * large
 
@@ -167,30 +208,33 @@ class JaccardJoin:
         """Whether enough shingles can be common if the k-th common one stands at these positions (from 0) of both orders."""
         return (100 + self.percent) * (F.least(n - pos, n2 - pos2) + k - 1) >= self.percent * (n + n2)
 
-    def _labelled(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
-        """The posts of buckets that hold nodes of several groups."""
-        named = posts.select("token", "node", "n", "pos").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        return self._open(named)
+    def _labelled(self, posts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+        """token, size, node, n, pos, label, bits: the posts of buckets that hold nodes of several groups."""
+        named = posts.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return stored(self._open(named).join(nodes.select("node", "n", "bits"), "node"))
 
     def _open(self, named: DataFrame) -> DataFrame:
         of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "size")
-        return stored(named.join(of, "token"))
+        return named.join(of, "token")
 
     def _listed(self, live: DataFrame, k: int = 1) -> DataFrame:
-        """All pairs of unconnected nodes of each bucket."""
-        a, b = (live.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label", "pos"))) for x in "ab")
-        first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-        pairs = a.join(b, "token").where(first & (F.col("label_a") != F.col("label_b")) & self._sized(F.col("n_a"), F.col("n_b")) & self._room(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), k))
-        return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        """All pairs of unconnected nodes of each bucket that sizes, places and bitmaps allow to link."""
+        a, b = (live.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "label", "pos", "bits"))) for x in "ab")
+        first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
+        can = first & (F.col("a_label") != F.col("b_label")) & self._sized(F.col("a_n"), F.col("b_n")) & self._room(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"), k)
+        pairs = a.join(b.withColumnRenamed("token", "b_token"), (F.col("token") == F.col("b_token")) & can & self._near("a_", "b_"))
+        return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
     def _neighbours(self, live: DataFrame) -> DataFrame:
-        """All unconnected pairs of small buckets, and those near each other in larger ones, each in one of a few random orders."""
+        """All unconnected pairs of small buckets, and of larger ones up to two for each node with those near it in a random order."""
         order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(ORDERS))), "node").rowsBetween(-NEAR, -1)
-        near = live.where(F.col("size") > 2 * NEAR).withColumn("before", F.collect_list(F.struct("node", "n", "label", "pos")).over(order))
-        near = near.withColumn("before", F.expr("filter(before, o -> o.label <> label)")).select("node", "n", "pos", F.explode("before").alias("o"))
-        near = near.where(self._sized(F.least("n", "o.n"), F.greatest("n", "o.n")) & self._room(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
-        listed = self._listed(live.where(F.col("size") <= 2 * NEAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return near.union(listed).distinct()
+        near = live.where(F.col("size") > 2 * NEAR).withColumn("before", F.collect_list(F.struct("node", "n", "label", "pos", "bits")).over(order))
+        total = "(o.n + n)"
+        far = " + ".join(f"bit_count(o.bits[{k}] ^ bits[{k}])" for k in range(BITS))
+        can = f"o.label <> label and 100 * least(n, o.n) >= {self.percent} * greatest(n, o.n) and {100 + self.percent} * least(n - pos, o.n - o.pos) >= {self.percent} * {total} and {100 + self.percent} * ({total} - ({far})) >= {2 * self.percent} * {total}"
+        near = near.select("node", F.explode(F.expr(f"slice(transform(filter(before, o -> {can}), o -> o.node), 1, 2)")).alias("o"))
+        near = near.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+        return near.union(self._listed(live.where(F.col("size") <= 2 * NEAR))).distinct()
 
     def _open_pairs(self, live: DataFrame, nodes: DataFrame) -> DataFrame:
         """All pairs of nodes in one bucket that no links connect."""
@@ -202,8 +246,8 @@ class JaccardJoin:
             else:
                 longer = large.withColumnRenamed("token", "parent").join(nodes.select("node", "prefix"), "node")
                 end = F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + k + 1)
-                later = longer.select("parent", "node", "n", "label", "pos", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2")).where("pos2 > pos")
-                finer = self._open(later.select("parent", F.xxhash64("parent", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label"))
+                later = longer.select("parent", "node", "n", "label", "bits", "pos", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2")).where("pos2 > pos")
+                finer = stored(self._open(later.select("parent", F.xxhash64("parent", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label", "bits")))
                 # a dense bucket, whose nodes share many shingles, makes more pairs by combinations than without
                 finer_cost = finer.groupBy("parent").agg(F.sum("size").alias("cost")).withColumnRenamed("parent", "token")
                 plain = large.select("token", "size").distinct().join(finer_cost, "token", "left").where(F.coalesce("cost", F.lit(0)) >= F.col("size") * F.col("size"))
@@ -221,25 +265,21 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id for every row: the least id that links reach, and its own without any."""
         sketches = self.sketches()
         some = sketches.where("n > 0")
-        nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        halves = F.transform("prefix", lambda h: (h.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int"))
-        nodes = stored(nodes.withColumn("halves", halves).withColumn("same", F.size("halves") - F.size(F.array_distinct("halves"))))
-        first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
-        tokens = nodes.select("node", "n", F.posexplode(first).alias("pos", "token"))
-        bucket = Window.partitionBy("token").orderBy("n", "node")
-        posts = tokens.withColumn("before", F.lag(F.struct("node", "n", "pos")).over(bucket)).withColumn("after", F.lead("node").over(bucket)).where("before is not null or after is not null")
-        posts = stored(posts.select("token", "node", "n", "pos", F.col("before.node").alias("before"), F.col("before.n").alias("n_before"), F.col("before.pos").alias("pos_before")))
-        near = posts.where(self._sized(F.col("n_before"), F.col("n")) & self._room(F.col("n_before"), F.col("pos_before"), F.col("n"), F.col("pos"))).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
-        links = self._verified(stored(self._bounded(near, nodes)), nodes)
+        nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "mins", "bits"))))
+        links = self._verified(self._adjacent_pairs(nodes), nodes)
         labels = components(links)
+        first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
+        tokens = nodes.select("node", F.posexplode(first).alias("pos", "token"))
+        posts = stored(tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").drop("size"))
         for pairs in (self._neighbours, lambda live: self._open_pairs(live, nodes)):
-            live = self._labelled(posts, labels)
-            found = stored(self._bounded(pairs(live), nodes))
-            more = self._verified(found, nodes) if found.limit(1).count() else None
-            drop_stored(live, found)
-            if more is not None and more.limit(1).count():
-                links = links.union(more)
-                labels = components(links)
+            live = self._labelled(posts, nodes, labels)
+            if live.limit(1).count():
+                more = self._verified(pairs(live), nodes)
+                if more.limit(1).count():
+                    links = links.union(more)
+                    labels = components(links)
+            drop_stored(live)
+        drop_stored(posts)
         named = nodes.select("node", "doc_id").join(labels, nodes["node"] == labels["id"], "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
         names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = named.join(names, "label").select("node", "component_id")
