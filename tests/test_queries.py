@@ -3,9 +3,9 @@
 import pytest
 
 from tests.conftest import SF, same_rows
-from voxelspark.plans import oracles, queries
+from voxelspark.plans import extended, oracles, queries
 
-SQL = oracles.oracle_sql()
+SQL = oracles.oracle_sql() | extended.extended_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

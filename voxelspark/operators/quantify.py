@@ -6,6 +6,7 @@ Volumes are sparse voxel tables (z, y, x, label; missing cells are space), nucle
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ MM3 = 1e9
 
 
 def volumetrics(voxels: DataFrame, classes: DataFrame, *, voxel_um: float, components: DataFrame | None = None) -> DataFrame:
-    """One row for each tissue class, with or without voxels; with components their number and sizes in order of seed."""
+    """One row for each tissue class, with or without voxels; with components also the surface of the class, their number and sizes in order of seed."""
     v3 = check_voxel(voxel_um) ** 3
     counts = voxels.groupBy(F.col("label").alias("class_index")).agg(F.count("*").alias("n"))
     out = classes.join(counts, "class_index", "left").withColumn("n_voxels", F.coalesce("n", F.lit(0))).drop("n")
@@ -31,6 +32,8 @@ def volumetrics(voxels: DataFrame, classes: DataFrame, *, voxel_um: float, compo
         return out
     sizes = components.groupBy(F.col("label").alias("class_index"), "component").agg((F.count("*") * v3).alias("size"))
     of = sizes.groupBy("class_index").agg(F.count("*").alias("n_components"), F.transform(F.array_sort(F.collect_list(F.struct("component", "size"))), lambda s: s["size"]).alias("component_sizes_um3"))
+    areas = surface_area(voxels.select(F.col("label").alias("class_index"), *AXES), ["class_index"], voxel_um=voxel_um)
+    out = out.join(areas, "class_index", "left").na.fill({"surface_area_um2": 0.0})
     return out.join(of, "class_index", "left").withColumns({"n_components": F.coalesce("n_components", F.lit(0)), "component_sizes_um3": F.coalesce("component_sizes_um3", F.array().cast("array<double>"))})
 
 
@@ -121,11 +124,18 @@ def local_composition(centres: DataFrame, voxels: DataFrame, classes: list[int],
     return counts.select(id_col, *(share(F.col(f"n{c}"), F.col("t"), 0.0).alias(f"composition_frac_{c}") for c in classes))
 
 
-def lesion_cell_density(found: DataFrame, assigned: DataFrame, *, thickness_um: float, interval: int = 1) -> DataFrame:
-    """found (lesions) with n_nuclei, the stereologically corrected number, and both per mm3. assigned: nuclei with lesion_id."""
+def lesion_cell_density(found: DataFrame, assigned: DataFrame, *, thickness_um: float, interval: int = 1, voxels: DataFrame | None = None, classes: list[int] | None = None, voxel_um: float | None = None, composition_um: float = 150.0) -> DataFrame:
+    """found (lesions) with n_nuclei, the stereologically corrected number, and both per mm3. assigned: nuclei with lesion_id.
+
+    With voxels, classes and their scale also composition_frac_{c}: the tissue within composition_um of the lesion's centroid.
+    """
     of = assigned.where("lesion_id > 0").groupBy(F.col("lesion_id").alias("instance_id")).agg(F.count("*").alias("n_nuclei"), F.sum(stereological(F.col("feret_diameter_um"), thickness_um, interval)).alias("n_nuclei_corrected"))
     out = found.join(of, "instance_id", "left").na.fill({"n_nuclei": 0, "n_nuclei_corrected": 0.0})
-    return out.withColumns({"density_cells_per_mm3": F.col("n_nuclei") / F.col("volume_mm3"), "density_corrected_cells_per_mm3": F.col("n_nuclei_corrected") / F.col("volume_mm3")})
+    out = out.withColumns({"density_cells_per_mm3": F.col("n_nuclei") / F.col("volume_mm3"), "density_corrected_cells_per_mm3": F.col("n_nuclei_corrected") / F.col("volume_mm3")})
+    if voxels is None:
+        return out
+    centres = found.select("instance_id", *(F.col(f"centroid_{n}_um").alias(f"{n}_um") for n in AXES))
+    return out.join(local_composition(centres, voxels, classes, voxel_um=voxel_um, radius_um=composition_um, id_col="instance_id"), "instance_id")
 
 
 def class_density(volumes: DataFrame, classed: DataFrame) -> DataFrame:
@@ -143,11 +153,17 @@ def sphere_mm3(radius_um: float) -> float:
     return 4 / 3 * math.pi * (radius_um / 1000) ** 3
 
 
-def sphere_density(centres: DataFrame, nuclei: DataFrame, *, radius_um: float) -> DataFrame:
-    """id, n_nuclei, density_cells_per_mm3: all nuclei within the radius of each centre (id, z_um, y_um, x_um)."""
+def sphere_density(centres: DataFrame, nuclei: DataFrame, *, radius_um: float, voxels: DataFrame | None = None, classes: list[int] | None = None, voxel_um: float | None = None) -> DataFrame:
+    """id, n_nuclei, density_cells_per_mm3: all nuclei within the radius of each centre (id, z_um, y_um, x_um).
+
+    With voxels, classes and their scale also sphere_volume_mm3 and composition_frac_{c}: the tissue in the same sphere.
+    """
     p = centres.select("id", *(F.col(f"{n}_um").alias(n) for n in AXES))
     of = distance_join(p, _points(nuclei), radius_um).groupBy(F.col("p.id").alias("id")).agg(F.count("*").alias("n_nuclei"))
-    return centres.select("id").join(of, "id", "left").na.fill({"n_nuclei": 0}).withColumn("density_cells_per_mm3", F.col("n_nuclei") / sphere_mm3(radius_um))
+    out = centres.select("id").join(of, "id", "left").na.fill({"n_nuclei": 0}).withColumn("density_cells_per_mm3", F.col("n_nuclei") / sphere_mm3(radius_um))
+    if voxels is None:
+        return out
+    return out.withColumn("sphere_volume_mm3", F.lit(sphere_mm3(radius_um))).join(local_composition(centres, voxels, classes, voxel_um=voxel_um, radius_um=radius_um), "id")
 
 
 def neighborhood_features(classed: DataFrame, classes: list[int], *, radii_um: tuple[float, ...] = (50, 100, 200)) -> DataFrame:
@@ -227,12 +243,15 @@ def radial_profile(components: DataFrame, found: DataFrame, voxels: DataFrame, c
     return rows.select("shell_index", "r_lo_um", "r_hi_um", "band", "n_voxels", "n_nuclei", *(share(F.col(f"n{c}"), tissue).alias(f"composition_frac_{c}") for c in classes), share(F.col("n_nuclei"), F.col("n_voxels") * (voxel_um**3 / MM3)).alias("density_cells_per_mm3"))
 
 
-def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataFrame, lesion_id: int, *, voxel_um: float, metric_radius_um: float = 100.0, thresholds: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
+def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataFrame, lesion_id: int, *, voxel_um: float, metric_radius_um: float = 100.0, thresholds: tuple[float, ...] = (0.25, 0.5, 1.0), metric: Callable[[DataFrame], DataFrame] | None = None, source_vertex: int | None = None) -> DataFrame:
     """threshold, decorrelation_um, lesion_id, n_surface_vertices, source_vertex_index, metric_at_source.
 
-    The shortest way over the surface from the vertex with the highest cell density to one whose density has changed by the
-    threshold; null if none has. The vertices of one lesion's surface are one group.
+    The shortest way over the surface from the source, by default the vertex with the highest value, to one whose value has
+    changed by the threshold; null if none has. The value is the cell density within metric_radius_um, or what `metric` makes of
+    the vertices (id, z_um, y_um, x_um): id, m. The vertices of one lesion's surface are one group.
     """
+    if not thresholds or min(thresholds) <= 0:
+        raise ValueError("thresholds must be positive")
     one = components.join(found.where(F.col("instance_id") == lesion_id).select("component"), "component").select(F.lit(1).alias("g"), *AXES)
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -240,12 +259,15 @@ def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataF
         return pd.DataFrame({"id": np.arange(len(v)), **{f"{n}_um": v[:, i] * voxel_um for i, n in enumerate(AXES)}})
 
     vertices = one.groupBy("g").applyInPandas(corners, "id long, z_um double, y_um double, x_um double")
-    metric = sphere_density(vertices, nuclei, radius_um=metric_radius_um).select(F.lit(1).alias("g"), "id", F.col("density_cells_per_mm3").alias("m"))
+    valued = metric(vertices) if metric else sphere_density(vertices, nuclei, radius_um=metric_radius_um).select("id", F.col("density_cells_per_mm3").alias("m"))
+    valued = valued.select(F.lit(1).alias("g"), "id", F.col("m").cast("double").alias("m"))
 
     def ways(cells: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         v, e = meshes.mesh(cells[list(AXES)].to_numpy(int))
         m = values.sort_values("id")["m"].to_numpy()
-        source = int(m.argmax())
+        source = int(m.argmax()) if source_vertex is None else source_vertex
+        if not 0 <= source < len(v):
+            raise ValueError(f"no vertex {source} among {len(v)}")
         geo = meshes.geodesic(v * voxel_um, e, source)
         m0, spread = m[source], float(m.max() - m.min())
         change = np.abs(m - m0) / abs(m0) if m0 else (np.abs(m - m0) / spread if spread else np.ones(len(m)))
@@ -255,25 +277,35 @@ def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataF
             rows.append((float(t), float(far.min()) if len(far) else None, lesion_id, len(v), source, float(m0)))
         return pd.DataFrame(rows, columns=["threshold", "decorrelation_um", "lesion_id", "n_surface_vertices", "source_vertex_index", "metric_at_source"])
 
-    return one.groupBy("g").cogroup(metric.groupBy("g")).applyInPandas(ways, "threshold double, decorrelation_um double, lesion_id long, n_surface_vertices long, source_vertex_index long, metric_at_source double")
+    return one.groupBy("g").cogroup(valued.groupBy("g")).applyInPandas(ways, "threshold double, decorrelation_um double, lesion_id long, n_surface_vertices long, source_vertex_index long, metric_at_source double")
 
 
 def profile_lesions(found: DataFrame, percentiles: tuple[float, ...] = (50, 90, 99)) -> DataFrame:
-    """percentile, instance_id: the lesions at these ranks of volume, each once."""
+    """percentile, instance_id: the lesions at these ranks of volume, each once.
+
+    Volumes are counted first; only the lesions of a wanted volume are ranked, so nothing is sorted in one task but volumes.
+    """
+    spark = found.sparkSession
     n = found.count()
-    ranks = {min(int(n * p / 100), n - 1): p for p in reversed(percentiles)} if n else {}
-    k = max(ranks, default=-1)
-    # from whichever end is nearer; the rest is never sorted as a whole
-    order = [F.col("volume_um3"), F.col("instance_id")]
-    low = found.orderBy(*order).limit(k + 1)
-    ranked = low.select("instance_id", "volume_um3", (F.row_number().over(Window.partitionBy().orderBy(*order)) - 1).alias("rank"))
-    picks = found.sparkSession.createDataFrame([(r, float(p)) for r, p in ranks.items()], "rank int, percentile double")
-    return ranked.join(F.broadcast(picks), "rank").select("percentile", "instance_id", "volume_um3")
+    ranks = {min(int(n * p / 100), n - 1): float(p) for p in reversed(percentiles)} if n else {}
+    picks = spark.createDataFrame([(r, p) for r, p in ranks.items()], "rank long, percentile double")  # one for each percentile
+    counts = found.groupBy("volume_um3").agg(F.count("*").alias("n"))
+    last = counts.withColumn("last", F.sum("n").over(Window.orderBy("volume_um3")))
+    at = last.join(F.broadcast(picks), (F.col("rank") >= F.col("last") - F.col("n")) & (F.col("rank") < F.col("last"))).select("volume_um3", "percentile", (F.col("rank") - F.col("last") + F.col("n")).alias("r"))
+    ranked = found.join(F.broadcast(at.select("volume_um3").distinct()), "volume_um3").select("instance_id", "volume_um3")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("volume_um3").orderBy("instance_id")) - 1)
+    return ranked.join(F.broadcast(at), ["volume_um3", "r"]).select("percentile", "instance_id", "volume_um3")
 
 
 def lesion_summary(found: DataFrame) -> DataFrame:
-    """Per class: lesions, large ones, median, largest and total volume."""
-    return found.groupBy("class_index", "class_name").agg(F.count("*").alias("n_lesions"), F.count_if(F.col("size_class") == "large").alias("n_large"), F.expr("percentile(volume_um3, 0.5)").alias("median_um3"), F.max("volume_um3").alias("max_um3"), F.sum("volume_um3").alias("total_um3"))
+    """Per class: lesions, large ones, median, largest and total volume, and the median corrected density if there is one."""
+    more = [F.expr("percentile(density_corrected_cells_per_mm3, 0.5)").alias("median_density")] if "density_corrected_cells_per_mm3" in found.columns else []
+    return found.groupBy("class_index", "class_name").agg(F.count("*").alias("n_lesions"), F.count_if(F.col("size_class") == "large").alias("n_large"), F.expr("percentile(volume_um3, 0.5)").alias("median_um3"), F.max("volume_um3").alias("max_um3"), F.sum("volume_um3").alias("total_um3"), *more)
+
+
+def surface_summary(profiles: DataFrame, thresholds: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
+    """One row for each lesion: its vertices, the value at the source and the way to each threshold (change_{percent}_um)."""
+    return profiles.groupBy("lesion_id").agg(F.first("n_surface_vertices").alias("n_surface_vertices"), F.first("metric_at_source").alias("metric_at_source"), *(F.max(F.when(F.col("threshold") == t, F.col("decorrelation_um"))).alias(f"change_{t * 100:g}_um") for t in thresholds))
 
 
 def neighborhood_summary(features: DataFrame, classed: DataFrame, radius: int) -> DataFrame:

@@ -5,9 +5,17 @@ Pixels are rows (section_index, y, x, ...). Models are callables that a caller m
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.operators import meshes
+
 
 def tile_grid(sizes: DataFrame, *, tile: int, overlap: int = 0, stride_is_tile: bool = True) -> DataFrame:
     """section_index, row, col, y0, x0, y1, x1 over sections of (height, width).
@@ -28,8 +36,40 @@ def owned(detections: DataFrame, *, tile: int) -> DataFrame:
     return detections.where((F.col("y") >= F.col("row") * tile) & (F.col("y") < (F.col("row") + 1) * tile) & (F.col("x") >= F.col("col") * tile) & (F.col("x") < (F.col("col") + 1) * tile))
 
 
+def tissue_tiles(grid: DataFrame, tissue: DataFrame, *, least: float = 0.1) -> DataFrame:
+    """grid (section_index, y0, x0, y1, x1) with `share`, the part of each tile that is tissue, and `wanted`: at least `least` of it.
+
+    Tissue pixels are counted by cells of 64 first; whole cells join tiles, and only the pixels of cells on a border are looked at.
+    """
+    cell = 64
+    own = tissue.select("section_index", "y", "x").distinct().withColumns({"cy": F.floor(F.col("y") / cell), "cx": F.floor(F.col("x") / cell)})
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell))
+    cover = grid.select("section_index", "y0", "x0", "y1", "x1", F.explode(span("y0", "y1")).alias("cy")).select("*", F.explode(span("x0", "x1")).alias("cx"))
+    whole = (F.col("cy") * cell >= F.col("y0")) & ((F.col("cy") + 1) * cell <= F.col("y1")) & (F.col("cx") * cell >= F.col("x0")) & ((F.col("cx") + 1) * cell <= F.col("x1"))
+    keys, box = ["section_index", "cy", "cx"], ["section_index", "y0", "x0", "y1", "x1"]
+    counts = own.groupBy(*keys).agg(F.count("*").alias("n"))
+    full = cover.where(whole).join(counts, keys).select(*box, "n")
+    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
+    rim = cover.where(~whole).join(own, keys).where(inside).groupBy(*box).agg(F.count("*").alias("n"))
+    total = full.unionByName(rim).groupBy(*box).agg(F.sum("n").alias("n"))
+    share = F.coalesce("n", F.lit(0)) / ((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
+    return grid.join(total, box, "left").withColumn("share", share).withColumn("wanted", F.col("share") >= least).drop("n")
+
+
+def off_scale(tile: int, seg_mpp: float, train_mpp: float = 0.4402, *, model_tile: int = 448, tolerance: float = 0.05) -> float | None:
+    """The scale that a model sees if it is off its own by more than the tolerance, with a warning; else None."""
+    seen = seg_mpp * tile / model_tile
+    if abs(seen / train_mpp - 1) <= tolerance:
+        return None
+    warnings.warn(f"tiles of {tile} show {seen:.3f} um per pixel to a model for {train_mpp:.3f}; matched_tile gives the size that fits", stacklevel=2)
+    return seen
+
+
 def overlap_argmax(predictions: DataFrame, tissue: DataFrame | None = None) -> DataFrame:
-    """section_index, y, x, label: the class with the highest mean of all predictions (the lowest of equals); 0 off tissue."""
+    """section_index, y, x, label: the class with the highest mean of all predictions (the lowest of equals); 0 off tissue.
+
+    A tile that tissue_tiles does not want is one prediction of class 0 with probability 1 for each of its pixels.
+    """
     mean = predictions.groupBy("section_index", "y", "x", "class_index").agg((F.sum("prob") / F.count("*")).alias("p"))
     best = mean.groupBy("section_index", "y", "x").agg(F.max_by("class_index", F.struct("p", -F.col("class_index"))).alias("label"))
     if tissue is None:
@@ -44,6 +84,73 @@ def block_mean(pixels: DataFrame, *, factor: int, height: int, width: int, value
     return whole.groupBy("section_index", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.floor(F.avg(value)).cast("int").alias("value"))
 
 
+def downsample(pixels: DataFrame, *, mpp: float, target_mpp: float, height: int, width: int, value: str = "value") -> DataFrame:
+    """section_index, y, x, value at the target resolution: block means by the whole part of the factor, then what is left of it.
+
+    The rest (over 0.1 %) weighs the reduced pixels by how much of each new pixel they cover. Never enlarges by more than that rest.
+    """
+    factor = max(1, math.floor(target_mpp / mpp + 1e-6))
+    rest = mpp * factor / target_mpp
+    small = block_mean(pixels, factor=factor, height=height, width=width, value=value) if factor > 1 else pixels.select("section_index", "y", "x", F.col(value).alias("value"))
+    if abs(rest - 1) <= 1e-3:
+        return small
+    sizes = {"y": height // factor, "x": width // factor}
+    for axis, n in sizes.items():
+        m, other = max(1, round(n * rest)), "x" if axis == "y" else "y"
+        step = n / m
+        to = F.explode(F.sequence(F.floor(F.col(axis) / step + 1e-9), F.least(F.ceil((F.col(axis) + 1) / step - 1e-9) - 1, F.lit(m - 1)))).alias("to")
+        cover = F.least(F.col(axis) + 1, (F.col("to") + 1) * step) - F.greatest(F.col(axis), F.col("to") * step)
+        small = small.select("section_index", other, axis, "value", to).where(F.col(axis) < n).withColumn("w", cover)
+        small = small.groupBy("section_index", other, F.col("to").cast("int").alias(axis)).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
+    return small.select("section_index", "y", "x", F.floor(F.col("value") + 1e-9).cast("int").alias("value"))
+
+
+def stains(r: Column, g: Column, b: Column) -> list[Column]:
+    """Haematoxylin, eosin and DAB of a pixel: optical densities (relative to one millionth) in the basis of the three stains."""
+    # fixed values: the colour vectors of the stains
+    basis = np.linalg.inv(np.array([[0.65, 0.70, 0.29], [0.07, 0.99, 0.11], [0.27, 0.57, 0.78]]))
+    density = [F.log(F.greatest(c / 255, F.lit(1e-6))) / math.log(1e-6) for c in (r, g, b)]
+    return [F.greatest(sum((d * float(w) for d, w in zip(density[1:], basis[1:, k], strict=True)), density[0] * float(basis[0, k])), F.lit(0.0)) for k in range(3)]
+
+
+def gray_valleys(histogram: DataFrame, *, bins: int = 256, least_width: float = 0.06, least_prominence: float = 0.01) -> DataFrame:
+    """section_index, valley: the gray value between a wide first hump and the spike after it, null without such a shape.
+
+    histogram: section_index, bin, n (at most `bins` rows for each section). Counts are smoothed with a sigma of two bins.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(bins)
+        n[pdf["bin"].to_numpy()] = pdf["n"]
+        kernel = np.exp(-0.5 * (np.arange(-8, 9) / 2) ** 2)
+        smooth = np.convolve(np.pad(n, 8, "symmetric"), kernel / kernel.sum(), "valid")
+        return pd.DataFrame({"section_index": [pdf["section_index"].iloc[0]], "valley": [_valley(smooth, least_width * bins, least_prominence)]})
+
+    return histogram.groupBy("section_index").applyInPandas(one, "section_index int, valley double")
+
+
+def _valley(h: np.ndarray, least_width: float, least_prominence: float) -> float | None:
+    def foot(p: int, step: int) -> float:
+        k, low = p, h[p]
+        while 0 <= k < len(h) and h[k] <= h[p]:
+            low, k = min(low, h[k]), k + step
+        return low
+
+    tops = [p for p in range(1, len(h) - 1) if h[p - 1] < h[p] >= h[p + 1]]
+    rise = {p: h[p] - max(foot(p, -1), foot(p, 1)) for p in tops}
+    tops = [p for p in tops if rise[p] >= least_prominence * h.max()]
+    if len(tops) < 2:
+        return None
+    first, second = tops[:2]
+    level, a, b = h[first] - 0.9 * rise[first], first, first
+    while a > 0 and h[a] > level:
+        a -= 1
+    while b < len(h) - 1 and h[b] > level:
+        b += 1
+    low = first + int(h[first : second + 1].argmin())
+    return low / len(h) if b - a >= least_width and h[low] < h[second] / 2 else None
+
+
 def gray(r: Column, g: Column, b: Column) -> Column:
     """The luminance weights."""
     return (0.2125 * r + 0.7154 * g + 0.0721 * b) / 255
@@ -53,6 +160,17 @@ def background(r: Column, g: Column, b: Column, threshold: float = 0.8) -> Colum
     return gray(r, g, b) > threshold
 
 
+def overview(pixels: DataFrame, *, mpp: float, height: int, width: int, target_mpp: float = 80.0) -> DataFrame:
+    """section_index, y, x, r, g, b, tissue of whole sections at an overview's resolution; unscanned (black) pixels are white."""
+    white = fill_unscanned(F.col("r"), F.col("g"), F.col("b"))
+    scanned = pixels.select("section_index", "y", "x", *(c.alias(n) for n, c in zip("rgb", white, strict=True)))
+    out = None
+    for n in "rgb":
+        small = downsample(scanned, mpp=mpp, target_mpp=target_mpp, height=height, width=width, value=n).withColumnRenamed("value", n)
+        out = small if out is None else out.join(small, ["section_index", "y", "x"])
+    return out.withColumn("tissue", ~background(F.col("r"), F.col("g"), F.col("b")))
+
+
 def fill_unscanned(r: Column, g: Column, b: Column) -> list[Column]:
     black = (r == 0) & (g == 0) & (b == 0)
     return [F.when(black, 255).otherwise(c) for c in (r, g, b)]
@@ -89,6 +207,46 @@ def instance_features(pixels: DataFrame, *, mpp: float, by: tuple[str, ...] = ("
     return of.select(*by, "centroid_y", "centroid_x", "area_um2", ecc.alias("eccentricity"), F.when(root > 1e-9, 0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).otherwise(0.0).alias("orientation"))
 
 
+def instance_shapes(pixels: DataFrame, *, mpp: float, by: tuple[str, ...] = ("section_index", "label")) -> DataFrame:
+    """by, feret_diameter_um, solidity of labelled pixels (label 0 left out). An instance is one group, of its rows' ends only.
+
+    The hull is that of the middles between pixels and their neighbours; solidity is the share of the pixels in it that are labelled.
+    """
+    kinds = dict(pixels.dtypes)
+    rows = pixels.where("label <> 0").groupBy(*by, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+
+    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, lo, hi = (pdf[c].to_numpy(float) for c in ("y", "lo", "hi"))
+        p = np.concatenate([np.column_stack((y + dy, x + dx)) for x in (lo, hi) for dy, dx in ((-0.5, 0), (0.5, 0), (0, -0.5), (0, 0.5))])
+        ring = meshes.outline(np.unique(p, axis=0))
+        side = np.roll(ring, -1, axis=0) - ring
+        inside = 0
+        for row in range(int(y.min()), int(y.max()) + 1):
+            x = np.arange(lo.min(), hi.max() + 1)
+            cross = side[:, :1] * (x[None] - ring[:, 1:]) - side[:, 1:] * (row - ring[:, :1])
+            inside += int((cross >= -1e-9).all(axis=0).sum())
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "feret_diameter_um": [meshes.widest(ring) * mpp], "solidity": [pdf["n"].sum() / inside]})
+
+    return rows.groupBy(*by).applyInPandas(describe, ", ".join(f"{c} {kinds[c]}" for c in by) + ", feret_diameter_um double, solidity double")
+
+
+def warp_points(points: DataFrame, warp: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """points (section_index, centroid_y, centroid_x, ...) with reg_y_um, reg_x_um by warp(section_index, rows of y and x).
+
+    Warped in batches where they are; a batch calls the function once for each of its sections, and not at all if it is empty.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = np.zeros((len(pdf), 2))
+            for section, at in pdf.groupby("section_index").indices.items():
+                out[at] = warp(int(section), pdf[["centroid_y", "centroid_x"]].to_numpy(float)[at])
+            yield pdf.assign(reg_y_um=out[:, 0], reg_x_um=out[:, 1])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInPandas(run, f"{kinds}, reg_y_um double, reg_x_um double")
+
+
 def matched_tile(seg_mpp: float, train_mpp: float = 0.4402, tile: int = 448) -> int:
     return round(tile * train_mpp / seg_mpp)
 

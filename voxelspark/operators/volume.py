@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import warnings
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelspark.config import VOLUME_VOXEL_UM
 from voxelspark.operators.spatial import gaussian_weights
+from voxelspark.sources import manifest, sinks
+
 
 def _all():
     """Over small tables only: one row for each section."""
@@ -84,9 +89,9 @@ def missing_sections(sections: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def require_sections(sections: DataFrame, labels: DataFrame) -> None:
-    gone = [r["section_index"] for r in missing_sections(sections, labels).select("section_index").orderBy("section_index").limit(1000).collect()]
+    gone = [r["section_index"] for r in missing_sections(sections, labels).select("section_index").orderBy("section_index").collect()]  # all, by name
     if gone:
-        raise KeyError(f"no label map for sections {gone}")
+        raise KeyError(f"{len(gone)} sections have no label map: {gone}")
 
 
 def global_ids(nuclei: DataFrame, *, order_col: str) -> DataFrame:
@@ -105,9 +110,105 @@ def affine_centroids(centroids: DataFrame, transforms: DataFrame, *, level0_mpp:
     return out.withColumns({"y_um": F.col("a00") * y + F.col("a01") * x + F.col("a02"), "x_um": F.col("a10") * y + F.col("a11") * x + F.col("a12")}).drop("a00", "a01", "a02", "a10", "a11", "a12")
 
 
-def place_nuclei(nuclei: DataFrame, placed: DataFrame) -> DataFrame:
-    """z_um of a nucleus is that of its section; registered in-plane coordinates stand where there are any."""
-    return nuclei.drop("z_um").join(F.broadcast(placed.select("section_index", "z_um")), "section_index")
+def place_nuclei(nuclei: DataFrame, placed: DataFrame, transforms: DataFrame | None = None, *, level0_mpp: float | None = None, registration_mpp: float | None = None) -> DataFrame:
+    """nuclei with z_um of their section, y_um and x_um.
+
+    Registered coordinates (reg_y_um, reg_x_um) stand where a nucleus has them; the others go by their section's affine, which must
+    then be given with both resolutions. Nuclei that have y_um and x_um already keep them.
+    """
+    if {"y_um", "x_um"} <= set(nuclei.columns):
+        found = nuclei
+    elif {"reg_y_um", "reg_x_um"} <= set(nuclei.columns) and transforms is None:
+        found = nuclei.withColumns({"y_um": F.col("reg_y_um"), "x_um": F.col("reg_x_um")})
+    else:
+        if transforms is None or level0_mpp is None or registration_mpp is None:
+            raise ValueError("nuclei without registered coordinates need transforms, level0_mpp and registration_mpp")
+        found = affine_centroids(nuclei, transforms, level0_mpp=level0_mpp, registration_mpp=registration_mpp)
+        if {"reg_y_um", "reg_x_um"} <= set(nuclei.columns):
+            known = F.col("reg_y_um").isNotNull() & F.col("reg_x_um").isNotNull()
+            found = found.withColumns({f"{n}_um": F.when(known, F.col(f"reg_{n}_um")).otherwise(F.col(f"{n}_um")) for n in "yx"})
+    return found.drop("z_um").join(F.broadcast(placed.select("section_index", "z_um")), "section_index")
+
+
+def section_affines(transforms: DataFrame, placed: DataFrame, *, mpp: float) -> DataFrame:
+    """section_index, matrix: the rows of the 4 x 4 affine from a section's pixels (0, y, x at mpp) to micrometres (z, y, x)."""
+    row = lambda *v: F.array(*(x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for x in v))
+    a = {k: F.col(k) for k in ("a00", "a01", "a02", "a10", "a11", "a12")}
+    matrix = F.array(row(1, 0, 0, F.col("z_um")), row(0, a["a00"] * mpp, a["a01"] * mpp, a["a02"] * mpp), row(0, a["a10"] * mpp, a["a11"] * mpp, a["a12"] * mpp), row(0, 0, 0, 1))
+    return transforms.join(F.broadcast(placed.select("section_index", "z_um")), "section_index").select("section_index", matrix.alias("matrix"))
+
+
+@dataclass
+class Volume:
+    """A built volume: its voxels, the section of each plane (-1: a gap), nuclei if there are any, and its scale."""
+
+    voxels: DataFrame
+    planes: DataFrame
+    nuclei: DataFrame | None
+    voxel_um: float
+    gaps: list[int]
+
+
+def build_volume(sections: DataFrame, labels: DataFrame, *, size: tuple[int, int], section_mpp: float, nuclei: DataFrame | None = None, transforms: DataFrame | None = None, target_um: float | None = None, thickness_um: float | None = None, interval: int | None = None, level0_mpp: float | None = None, registration_mpp: float | None = None, smooth_sigma: float = 0.0, order_col: str = "centroid_y") -> Volume:
+    """Stack the label rows (section_index, y, x, label; of `size` pixels at section_mpp) of all sections, nearest section for each plane.
+
+    sections: section_index, section_number (null: no numbers), and optionally thickness_um. With thickness and interval the
+    spacing is theirs; else by the thickness of each section, if all have one; else a voxel each, with a warning. Raises if a section
+    has no labels, if section numbers do not rise, or if a section's own thickness is not the spacing. Gaps are named in a warning.
+    """
+    voxel_um, spacing = resolve_voxel(target_um, thickness_um, interval)
+    require_sections(sections, labels)
+    facts = sections if "thickness_um" in sections.columns else sections.withColumn("thickness_um", F.lit(None).cast("double"))
+    n, own, odd, numbered = facts.agg(F.count("*"), F.count("thickness_um"), F.count_if(F.abs(F.col("thickness_um") - F.lit(spacing)) > 1e-9), F.count("section_number")).first()
+    if numbered and (numbered < n or check_numbers(facts).limit(1).count()):
+        raise ValueError("section_number must rise from section to section, without blanks")
+    if spacing is not None:
+        if odd:
+            raise ValueError(f"{odd} sections have a thickness_um other than the section spacing {spacing}")
+        number = "section_number" if numbered else "section_index"
+        placed = section_z(facts.withColumn("section_number", F.col(number)), spacing_um=spacing)
+    else:
+        if own < n:
+            warnings.warn(f"{n - own} of {n} sections have no thickness; they are placed {voxel_um} um apart", stacklevel=2)
+        placed = section_z(facts, thickness_col="thickness_um", default_um=voxel_um)
+    planes = plane_sources(placed, voxel_um=voxel_um)
+    gaps = [r[0] for r in planes.where("section_index < 0").select("plane").orderBy("plane").collect()]  # bounded by the planes
+    if gaps:
+        warnings.warn(f"{len(gaps)} planes have no section within half a pitch and stay empty: {gaps}", stacklevel=2)
+    shape = tuple(new_size(s, section_mpp, voxel_um) for s in size)
+    cells = labels if shape == tuple(size) else resample_labels(labels, size=size, new_size=shape)
+    merged = None
+    if nuclei is not None:
+        if transforms is not None and smooth_sigma > 0:
+            transforms = smooth_transforms(transforms, sigma=smooth_sigma, columns=["a00", "a01", "a02", "a10", "a11", "a12"])
+        merged = global_ids(place_nuclei(nuclei, placed, transforms, level0_mpp=level0_mpp, registration_mpp=registration_mpp), order_col=order_col)
+    return Volume(build_voxels(cells, planes), planes, merged, voxel_um, gaps)
+
+
+def build_from_run(spark: SparkSession, folder: str, *, size: tuple[int, int], manifest_path: str | None = None, target_um: float | None = None, thickness_um: float | None = None, interval: int | None = None, with_nuclei: bool = True, smooth_sigma: float = 0.0) -> Volume:
+    """The volume of a run's folder: `labels` and `nuclei` by section, `transforms`, and its recorded metadata.
+
+    A recorded thickness counts only with a recorded interval, and only if neither is given. Sections without labels or, unless
+    with_nuclei is False, without nuclei are all named in one error.
+    """
+    if not sinks.exists(spark, folder):
+        raise FileNotFoundError(folder)
+    facts = sinks.read_metadata(spark, folder)
+    path = manifest_path or facts.get("manifest_csv")
+    if path is None:
+        raise ValueError(f"no manifest given, and none recorded in {folder}")
+    if thickness_um is None and interval is None and {"section_thickness_um", "sampling_interval"} <= set(facts):
+        thickness_um, interval = facts["section_thickness_um"], facts["sampling_interval"]
+    listed = manifest.load_manifest(spark, path)
+    numbers = manifest.section_numbers(listed) if listed.where("section_number is not null").limit(1).count() else listed.select("section_index", F.lit(None).cast("int").alias("section_number"))
+    sections = listed.select("section_index").join(numbers, "section_index").join(manifest.thickness(listed), "section_index")
+    for part in ("labels", "nuclei") if with_nuclei else ("labels",):
+        gone = [r[0] for r in sections.join(sinks.sections_written(spark, f"{folder}/{part}"), "section_index", "left_anti").select("section_index").orderBy("section_index").collect()]
+        if gone:
+            raise ValueError(f"{len(gone)} sections have no {part} in {folder}: {gone}")
+    read = lambda part: spark.read.parquet(f"{folder}/{part}").withColumn("section_index", F.col("section_index").cast("int"))
+    transforms = read("transforms") if sinks.exists(spark, f"{folder}/transforms") else None
+    return build_volume(sections, read("labels"), size=size, section_mpp=facts.get("seg_mpp", 0.5), nuclei=read("nuclei") if with_nuclei else None, transforms=transforms, target_um=target_um, thickness_um=thickness_um, interval=interval, level0_mpp=facts.get("level0_mpp"), registration_mpp=facts.get("registration_mpp", 8.0), smooth_sigma=smooth_sigma)
 
 
 def smooth_transforms(transforms: DataFrame, *, sigma: float, columns: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from voxelspark.config import class_table, tissue_classes
 from voxelspark.operators import quantify as Q
 from voxelspark.operators.components import connected_components
 from voxelspark.sources.checkpoints import stored
+from voxelspark.sources.sinks import write_csv
 
 
 @dataclass
@@ -39,6 +41,7 @@ def run_quantification(voxels: DataFrame, nuclei: DataFrame | None, output: str,
         try:
             df = make()
             df.write.mode("overwrite").parquet(f"{output}/{name}")
+            write_csv(spark.read.schema(df.schema).parquet(f"{output}/{name}"), f"{output}/csv/{name}")
             made[name] = spark.read.schema(df.schema).parquet(f"{output}/{name}")
             steps.append(Step(name, "ok", time.time() - began))
         except Exception as e:  # recorded, and the next step goes on
@@ -56,7 +59,7 @@ def run_quantification(voxels: DataFrame, nuclei: DataFrame | None, output: str,
         return kept.join(shapes, "component")
 
     step("lesions", lesion_table)
-    step("lesion_density", lambda: Q.lesion_cell_density(made["lesions"], Q.nuclei_to_lesions(nuclei, parts, made["lesions"], voxel_um=voxel_um, shape=shape), thickness_um=thickness_um, interval=interval), True)
+    step("lesion_density", lambda: Q.lesion_cell_density(made["lesions"], Q.nuclei_to_lesions(nuclei, parts, made["lesions"], voxel_um=voxel_um, shape=shape), thickness_um=thickness_um, interval=interval, voxels=voxels, classes=codes, voxel_um=voxel_um), True)
     picked = [r["instance_id"] for r in Q.profile_lesions(made["lesions"], percentiles).collect()] if "lesions" in made else []  # one for each percentile
     for k in picked:
         step(f"radial_{k}", lambda k=k: Q.radial_profile(parts, made["lesions"], voxels, classed, k, codes, voxel_um=voxel_um, shape=shape), True)
@@ -69,9 +72,11 @@ def run_quantification(voxels: DataFrame, nuclei: DataFrame | None, output: str,
 
 def markdown(df: DataFrame, limit: int = 50) -> str:
     """A report table: at most `limit` rows, numbers short, bars escaped."""
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    more = f"\n\nThe first {limit} rows; all are in the stored table." if len(rows) > limit else ""
+    rows = rows[:limit]
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)]) + more
 
 
 def report(made: dict[str, DataFrame], classed: DataFrame | None, steps: list[Step], radius: int) -> str:
@@ -81,12 +86,13 @@ def report(made: dict[str, DataFrame], classed: DataFrame | None, steps: list[St
     if "density" in made:
         parts += ["## Density", markdown(made["density"].orderBy("class_index"))]
     if "lesions" in made:
-        parts += ["## Lesions by class", markdown(Q.lesion_summary(made["lesions"]).orderBy("class_index")), "## Largest lesions", markdown(made["lesions"].select("instance_id", "class_name", "volume_um3", "size_class").orderBy(F.desc("volume_um3"), "instance_id"), 10)]
+        parts += ["## Lesions by class", markdown(Q.lesion_summary(made.get("lesion_density", made["lesions"])).orderBy("class_index")), "## Largest lesions", markdown(made["lesions"].select("instance_id", "class_name", "volume_um3", "size_class").orderBy(F.desc("volume_um3"), "instance_id"), 10)]
     for name in made:
         if name.startswith("radial_"):
             parts += [f"## Bands of lesion {name[7:]}", markdown(made[name].where("shell_index = -1"))]
-        if name.startswith("surface_"):
-            parts += [f"## Surface of lesion {name[8:]}", markdown(made[name].orderBy("threshold"))]
+    profiles = [made[name] for name in made if name.startswith("surface_")]
+    if profiles:
+        parts += ["## Surfaces", markdown(Q.surface_summary(reduce(DataFrame.unionByName, profiles)).orderBy("lesion_id"))]
     if "neighborhood" in made and classed is not None:
         parts += ["## Neighbourhood by class", markdown(Q.neighborhood_summary(made["neighborhood"], classed, radius).orderBy("class_index"))]
     return "\n\n".join(parts) + "\n"

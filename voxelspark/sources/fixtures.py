@@ -37,6 +37,17 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("z", "y", "x", F.expr("cast(((y div 8) * 2 + (x div 8) * 3 + z div 3) % 5 as int)").alias("label"))
 
 
+def towers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z, y, x, label: irregular bodies on a field that grows with the orders.
+
+    Each order has a place of 3 x 3 cells, 64 in a row; each of its lines fills part of it, from the corner, in one section.
+    """
+    o = F.col("l_orderkey")
+    rects = table(spark, sf_dir, "lineitem").groupBy(o.alias("o"), (F.col("l_linenumber") - 1).cast("int").alias("z")).agg(F.max(F.col("l_quantity").cast("long") % 3).alias("h"), F.max(F.col("l_partkey") % 3).alias("w"))
+    cells = rects.select("o", "z", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h"))).alias("dy")).select("o", "z", "dy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w"))).alias("dx"))
+    return cells.select("z", F.expr("cast((o div 64) * 3 + dy as int)").alias("y"), F.expr("cast((o % 64) * 3 + dx as int)").alias("x"), F.expr("cast(1 + (o div 3) % 4 as int)").alias("label"))
+
+
 def nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instance_id, section_index, z_um, y_um, x_um, feret_diameter_um."""
     k = F.col("c_custkey")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: The file types of slides.
 SUFFIXES = ("czi", "svs", "ndpi", "tif", "tiff", "scn", "mrxs")
-SCHEMA = "section_index int, filename string, path string, thickness_um string, section_number string"
+#: The names of the micrometre.
+MICRONS = ("µm", "μm", "um", "micron", "microns", "micrometer", "micrometers", "micrometre", "micrometres")
 
 
 def natural_key(name: Column) -> Column:
@@ -31,8 +32,53 @@ def list_slides(spark: SparkSession, folder: str) -> DataFrame:
     return manifest_of(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path"))
 
 
+def write_manifest(manifest: DataFrame, path: str, *, thickness_um: DataFrame | None = None, section_number: DataFrame | None = None) -> None:
+    """The manifest as one CSV file, with the columns of tables by section_index that are given. One row for each section."""
+    for table in (thickness_um, section_number):
+        manifest = manifest if table is None else manifest.join(table, "section_index", "left")
+    manifest.coalesce(1).sortWithinPartitions("section_index").write.mode("overwrite").option("header", True).csv(path)
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=SCHEMA, enforceSchema=False)
+    """section_index, filename, path, thickness_um, section_number (as text, null where there is no such column).
+
+    The index counts the rows in the order of the recorded one. A row without a path raises.
+    """
+    raw = spark.read.csv(path, header=True)
+    if "path" not in raw.columns:
+        raise KeyError(f"the manifest {path} has no column path")
+    text = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
+    order = F.col("section_index").cast("int") if "section_index" in raw.columns else F.monotonically_increasing_id()
+    ranked = raw.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(order)) - 1)  # one row for each section
+    where = F.when(F.coalesce(F.trim("path"), F.lit("")) == "", F.raise_error(F.format_string("row %s of the manifest has no path", F.col("_r"))).cast("string")).otherwise(F.col("path"))
+    return ranked.select(F.col("_r").cast("int").alias("section_index"), text("filename"), where.alias("path"), text("thickness_um"), text("section_number"))
+
+
+def section_numbers(manifest: DataFrame) -> DataFrame:
+    """section_index, section_number: a whole number that rises from row to row; raises at the first row where it does not."""
+    value = F.expr("try_cast(nullif(trim(section_number), '') as int)")
+    last = F.lag(value).over(Window.partitionBy().orderBy("section_index"))  # one row for each section
+    said = lambda why: F.raise_error(F.format_string(f"section_number {why}, section %s has %s", F.col("section_index"), F.col("section_number"))).cast("int")
+    checked = F.when(value.isNull(), said("must be a whole number")).when(F.col("last") >= F.col("value"), said("must rise")).otherwise(F.col("value"))
+    return manifest.withColumn("last", last).withColumn("value", value).select("section_index", checked.alias("section_number"))
+
+
+def middle_slide(manifest: DataFrame) -> DataFrame:
+    """section_index, path of the slide in the middle of the stack (the later of two)."""
+    n = manifest.agg(F.floor(F.count("*") / 2).cast("int").alias("middle"))
+    return manifest.join(F.broadcast(n), F.col("section_index") == F.col("middle")).select("section_index", "path")
+
+
+def source_level(found: DataFrame, target_mpp: float) -> DataFrame:
+    """section_index, level: the coarsest level (section_index, level, mpp, unit) at most 0.1 % coarser than the target.
+
+    Raises for other units than micrometres, and where even the finest level is too coarse: nothing is ever enlarged.
+    """
+    fits = F.col("mpp") <= target_mpp * 1.001
+    best = found.groupBy("section_index").agg(F.max(F.when(fits, F.col("level"))).alias("level"), F.min("mpp").alias("finest"), F.max(~F.lower(F.trim("unit")).isin(*MICRONS)).alias("odd"))
+    said = lambda text, *cols: F.raise_error(F.format_string(text, "section_index", *cols)).cast("int")
+    level = F.when(F.col("odd"), said("section %s is not measured in micrometres")).when(F.col("level").isNull(), said(f"section %s has %s um per pixel at its finest, too coarse for {target_mpp}", "finest")).otherwise(F.col("level"))
+    return best.select("section_index", level.alias("level"))
 
 
 def thickness(manifest: DataFrame) -> DataFrame:
