@@ -49,7 +49,7 @@ def _masks(r: int) -> Column:
     return F.expr(f"array({', '.join(str(m) for m in range(1 << WIDTH) if m.bit_count() <= r)})")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, probes_per_task: int = 1_000_000) -> DataFrame:
     """query_id, neighbour_id, distance, rank (from 1): the k nearest other rows of `vectors` for every row of `queries`."""
     longest = F.max(F.size(vector_col)).alias("n")
     most = vectors.select(longest).union(queries.select(longest)).agg(F.max("n")).first()[0] or 1
@@ -70,11 +70,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     first = Window.partitionBy("code").orderBy("distance", "id")
     open_queries, rings = stored(asked.select("code", F.lit(0).cast("long").alias("have")).distinct()), []
     for r in range(WIDTH + 1):
-        if not open_queries.limit(1).count():
+        n_open, n_masks = open_queries.count(), sum(comb(WIDTH, n) for n in range(r + 1))
+        if not n_open:
             break
-        asking = open_queries.select("code", cut).select("code", "s.segment", F.col("s.value").alias("own"))
+        # few queries make many probes: as many tasks as there are `probes_per_task` of them
+        spread = -(-n_open * segments * min(n_masks, n_codes) // probes_per_task)
+        asking = open_queries.repartition(max(1, min(n_open, spread)), "code").select("code", cut).select("code", "s.segment", F.col("s.value").alias("own"))
         its_first = F.coalesce(*(F.when(F.bit_count(_segment(apart, s)) <= r, F.lit(s)) for s in range(segments))) == F.col("segment")
-        if small and n_codes <= sum(comb(WIDTH, n) for n in range(r + 1)):
+        if small and n_codes <= n_masks:
             # fewer codes than values within r bits: the values that the index has are compared instead
             met = asking.join(index, "segment").where(F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) <= r)
         else:
