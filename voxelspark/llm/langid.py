@@ -6,11 +6,13 @@ their id) are counted in Spark; the counts, bounded by the sample, make the mode
 language has seen falls back to the weight of its context and the next shorter n-gram.
 
 Prediction: the language with the lowest cross-entropy per character over the whole text. A fifth of the sample is kept
-from the counts to calibrate rejection: a text is rejected if its entropy lies further above its language's median than
-`margin` times the distance that 95 % of those texts keep and two thirds of the way to even noise over the alphabet, on a
-scale that widens for short texts. So a text in two of the languages stays and random letters go. A language with under
-20 such texts has the bound of noise alone, from their lower median or the median of all languages, whichever is higher
-(from the texts it was fitted on if no language has any). Map-only: nothing is shuffled.
+from the counts to calibrate rejection. What counts is how far a text's entropy lies above its language's median, on a scale
+that widens for short texts. Texts two thirds of the way to even noise over the alphabet are noise and do not calibrate. Of the
+others, the distance that all but a share of `reject` keep (the furthest, if there are too few to tell) times `margin` is the
+limit of its language and length band (up to 64 letters, up to 512, more), never more than the bound of noise. Bands with under
+20 such texts take all of their language's; a language with under 20 has the bound of noise alone, from their lower median or
+the median of all languages, whichever is higher (from the texts it was fitted on if no language has any). A text most of whose
+letters no language has seen is rejected too, and its score is lowered by that share. Map-only: nothing is shuffled.
 
 Texts are lower-cased letters; runs of anything else are one space. Nulls: a null text, or one without letters, is `und`
 with score 0 and not rejected by entropy but as undetermined. Null languages and null ids are not learned from. Without
@@ -32,6 +34,8 @@ from voxelspark.llm.bytewords import slices, utf8
 from voxelspark.llm.symbols import codepoints, letters_only
 
 ORDER = 4
+#: Lengths in letters that end the bands of the calibration.
+BANDS = (64, 512)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,8 +84,9 @@ class LanguageModels:
     levels: list[Level]  # by order, from 1
     unseen: np.ndarray  # log P of a character that no language has seen
     alphabet: int = 1
+    letters: np.ndarray = field(default_factory=lambda: np.array([32], np.uint32))
     mean: np.ndarray | None = None
-    limit: np.ndarray | None = None
+    limit: np.ndarray | None = None  # by language and length band
 
     def logp(self, grams: list[np.ndarray]) -> np.ndarray:
         """Log P of the last of each n characters after those before, for each language."""
@@ -99,11 +104,22 @@ class LanguageModels:
                 out[miss] = weight + self.logp(rest[1:])
         return out
 
-    def entropies(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(nats per character for each text and language, number of characters)."""
+    def judged(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(best language, nats per character, score, number of characters, rejected) of each text."""
+        e, n, strange = self.entropies(data, at)
+        best = e.argmin(axis=1)
+        low = e[np.arange(len(n)), best]
+        p = np.where(n > 0, (1 - strange) / np.exp(10 * (low[:, None] - e)).sum(axis=1), 0)
+        over = strange > 0.5
+        if self.mean is not None:
+            over |= np.nan_to_num((low - self.mean[best]) * _scale(n)) > self.limit[best, np.searchsorted(BANDS, n)]
+        return best, low, p, n, (n == 0) | over
+
+    def entropies(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats per character for each text and language, number of characters, share of them that no language has seen)."""
         sym, begin = _symbols(data, at)
         n = np.diff(begin) - (ORDER - 1)
-        total = np.zeros((len(n), len(self.languages)))
+        total, strange = np.zeros((len(n), len(self.languages))), np.zeros(len(n))
         if len(sym) >= ORDER:
             logp = self.logp([sym[i : len(sym) - ORDER + 1 + i] for i in range(ORDER)])
             some = np.flatnonzero(n > 0)
@@ -112,7 +128,11 @@ class LanguageModels:
                 edges = np.column_stack((begin[some], begin[some] + n[some])).ravel()
                 edges = edges[:-1] if edges[-1] >= len(logp) else edges
                 total[some] = np.add.reduceat(logp, edges, axis=0)[::2]
-        return -total / np.maximum(n, 1)[:, None], n
+            known = np.zeros(1 << 16, bool)
+            known[self.letters[self.letters < 1 << 16]] = True
+            new = np.flatnonzero(~np.where(sym < 1 << 16, known[np.minimum(sym, 0xFFFF)], np.isin(sym, self.letters)))
+            strange = np.bincount(np.searchsorted(begin, new, "right") - 1, minlength=len(n)) / np.maximum(n, 1)
+        return -total / np.maximum(n, 1)[:, None], n, strange
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -128,8 +148,9 @@ def _kneser_ney(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageMode
         if order < ORDER:  # how many different characters stand before each shorter n-gram
             grams = {k: tuple(np.unique(g[:, 1:], axis=0, return_counts=True)) for k, (g, _) in grams.items()}
         by_order.insert(0, grams)
-    alphabet = len(np.unique(np.concatenate([g for g, _ in by_order[0].values()]))) + 1
-    models = LanguageModels(languages, [], np.zeros(len(languages), np.float32), alphabet)
+    letters = np.unique(np.concatenate([g for g, _ in by_order[0].values()]).ravel())
+    alphabet = len(letters) + 1
+    models = LanguageModels(languages, [], np.zeros(len(languages), np.float32), alphabet, np.union1d(letters, [32]).astype(np.uint32))
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([g for g, _ in by_order[order - 1].values()]), axis=0)
         keys = _hashes(list(union.T))
@@ -180,16 +201,19 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(n), pa.string()), *(pa.array(grams[:, k].astype(np.int64)) for k in range(ORDER)), pa.array(n.astype(np.int64))], names=["lang", "c0", "c1", "c2", "c3", "n"])
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1500, margin: float = 1.5) -> LanguageModels | None:
-    """Models of all languages in `labelled`, from at most `sample` texts of each; None if there are none."""
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1500, languages: int = 256, reject: float = 0.001, margin: float = 3.0) -> LanguageModels | None:
+    """Models of the `languages` most common languages in `labelled`, from at most `sample` texts of each; None if there are none."""
     own = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
     h = F.xxhash64("id")
-    least = Window.partitionBy("lang").orderBy("h", "id")
-    # a language's rows are thinned by hash before they are ranked, so a common one brings no more rows than a rare one
-    thin = own.groupBy("lang").agg((F.lit(1.2 * sample) / F.count("*") * (1 << 20) + 1).alias("most"))
-    few = own.select("id", "lang", h.alias("h")).join(thin, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("most"))
-    chosen = few.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("id", "lang", (F.col("r") % 5 == 0).alias("calibrates"))
-    # bounded by `sample` rows for each language
+    # a language's rows are thinned by hash before they are dealt, so a common one brings no more rows than a rare one
+    thin = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang", (F.lit(1.2 * sample) / F.col("n") * (1 << 20) + 1).alias("most"))
+    few = own.select("id", "lang", h.alias("h")).join(F.broadcast(thin), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("most"))
+    # ids may be repeated, so some hashes may be very common: the least rows of each part first
+    part = few.withColumn("part", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(16)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+    part = part.withColumn("r", rank("lang", "part")).where(F.col("r") <= sample)
+    chosen = part.withColumn("r", rank("lang")).where(F.col("r") <= sample).select("id", "lang", (F.col("r") % 5 == 0).alias("calibrates")).dropDuplicates(["id", "lang"])
+    # bounded by `sample` rows for each of `languages`
     texts = own.join(F.broadcast(chosen), ["id", "lang"])
     counts = texts.where(~F.col("calibrates")).select("lang", "text").mapInArrow(_count_grams, "lang string, c0 long, c1 long, c2 long, c3 long, n long").groupBy("lang", "c0", "c1", "c2", "c3").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
@@ -198,19 +222,29 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     models = _kneser_ney({k: (g[["c0", "c1", "c2", "c3"]].to_numpy(np.uint32), g["n"].to_numpy()) for k, g in table.groupby("lang")})
     held = _entropies_of(texts.where("calibrates"), models).query("lang == lang_pred")
     every = (held if len(held) else _entropies_of(texts, models))["entropy"].median()
-    mean, limit = np.zeros(len(models.languages)), np.zeros(len(models.languages))
+    models.mean, models.limit = np.zeros(len(models.languages)), np.zeros((len(models.languages), len(BANDS) + 1))
     for k, language in enumerate(models.languages):
-        e = held[held["lang"] == language]
-        few = len(e) < 20
-        mean[k] = max(every, e["entropy"].quantile(0.5, "lower") if len(e) else every) if few else e["entropy"].median()
-        limit[k] = 2 / 3 * max(np.log(models.alphabet) - mean[k], 0) * _scale(np.array([400]))[0]
-        if not few:
-            # a few junk or mislabelled texts among them do not raise it
-            limit[k] = max(limit[k], margin * ((e["entropy"] - mean[k]) * _scale(e["n_symbols"].to_numpy())).quantile(0.95, "lower"))
-    models.mean, models.limit = mean, limit
+        _calibrate(models, k, held[held["lang"] == language], every, reject, margin)
     return models
 
 
+def _calibrate(models: LanguageModels, k: int, held: pd.DataFrame, every: float, reject: float, margin: float) -> None:
+    """Set the middle and the limits of language k from its held texts."""
+    entropy, n = held["entropy"].to_numpy(), held["n_symbols"].to_numpy()
+    few = len(held) < 20
+    mean = max(every, held["entropy"].quantile(0.5, "lower") if len(held) else every) if few else float(np.median(entropy))
+    noise = 2 / 3 * max(np.log(models.alphabet) - mean, 0) * _scale(np.array([400]))[0]
+    models.mean[k], models.limit[k] = mean, noise
+    far, band = (entropy - mean) * _scale(n), np.searchsorted(BANDS, n)
+    calm = far <= noise
+    if few or calm.sum() < 20:
+        return
+    for b in range(len(BANDS) + 1):
+        own = far[calm & (band == b)]
+        own = np.sort(own if len(own) >= 20 else far[calm])
+        models.limit[k, b] = min(noise, margin * max(own[min(len(own), int(np.ceil((len(own) + 1) * (1 - reject)))) - 1], 0))
+
+
 def _entropies_of(texts: DataFrame, models: LanguageModels) -> pd.DataFrame:
     """lang, lang_pred, entropy, n_symbols of the texts with letters: no more than the sample."""
     return score(texts, models, id_col="id", text_col="text", keep=["lang"]).where("n_symbols > 0").select("lang", "lang_pred", "entropy", "n_symbols").toArrow().to_pandas()
@@ -233,17 +267,10 @@ def score(docs: DataFrame, models: LanguageModels | None, *, id_col: str = "doc_
             rows = len(at) - 1
             pred, p, ent, count, rejected = np.full(rows, "und", object), np.zeros(rows), np.full(rows, np.nan), np.zeros(rows, np.int64), np.ones(rows, bool)
             for i, j in slices(at, 1 << 20) if m else []:
-                e, n = m.entropies(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                best = e.argmin(axis=1)
-                low = e[np.arange(j - i), best]
+                best, low, p[i:j], n, rejected[i:j] = m.judged(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 some = n > 0
                 pred[i:j][some] = np.array(m.languages, object)[best[some]]
-                p[i:j] = np.where(some, 1 / np.exp(10 * (low[:, None] - e)).sum(axis=1), 0)
                 ent[i:j], count[i:j] = np.where(some, low, np.nan), n
-                over = np.zeros(j - i, bool)
-                if m.mean is not None:
-                    over = np.nan_to_num((low - m.mean[best]) * _scale(n)) > m.limit[best]
-                rejected[i:j] = ~some | over
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1 + len(keep))), pa.array(pred, pa.string()), pa.array(p), pa.array(ent, pa.float64(), from_pandas=True), pa.array(count), pa.array(rejected)], names=[id_col, *keep, "lang_pred", "score", "entropy", "n_symbols", "rejected"])
 
     narrow = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
@@ -260,10 +287,7 @@ def keep_known(docs: DataFrame, models: LanguageModels | None, *, text_col: str
             data, at = utf8(batch.column(batch.schema.get_field_index(text_col)))
             kept = np.ones(len(at) - 1, bool)
             for i, j in slices(at, 1 << 20) if m else []:
-                e, n = m.entropies(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                best = e.argmin(axis=1)
-                over = np.nan_to_num((e[np.arange(j - i), best] - m.mean[best]) * _scale(n)) > m.limit[best] if m.mean is not None else False
-                kept[i:j] = (n > 0) & ~over
+                kept[i:j] = ~m.judged(data[at[i] : at[j]], at[i : j + 1] - at[i])[4]
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
