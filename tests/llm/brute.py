@@ -99,3 +99,59 @@ def token_pieces(docs, tokenizer, capacity=4096):
         for k in range(0, len(ids), capacity):
             part = ids[k : k + capacity]
             yield d, k // capacity, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over characters by dictionaries: one discount for each order, even noise below the unigrams."""
+
+    def __init__(self, texts, alphabet, order):
+        self.order, self.alphabet = order, len(alphabet | {" "}) + 1
+        self.counts = [defaultdict(int) for _ in range(order + 1)]
+        for t in texts:
+            s = " " * (order - 1) + t
+            for i in range(len(s) - order + 1):
+                self.counts[order][s[i : i + order]] += 1
+        for k in range(order - 1, 0, -1):
+            for g in self.counts[k + 1]:
+                self.counts[k][g[1:]] += 1
+        ones = lambda c, n: sum(v == n for v in c.values())
+        self.discounts = [0.0] + [ones(c, 1) / (ones(c, 1) + 2 * ones(c, 2)) if ones(c, 1) and ones(c, 2) else 0.5 for c in self.counts[1:]]
+
+    def p(self, gram):
+        if not gram:
+            return 1 / self.alphabet
+        c, d = self.counts[len(gram)], self.discounts[len(gram)]
+        own = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return self.p(gram[1:])
+        return (max(c.get(gram, 0) - d, 0) + d * len(own) * self.p(gram[1:])) / sum(own.values())
+
+    def entropy(self, text):
+        s = " " * (self.order - 1) + text
+        return -sum(np.log(self.p(s[i : i + self.order])) for i in range(len(s) - self.order + 1)) / len(text)
+
+
+MASK = (1 << 64) - 1
+
+
+def mix64(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def quality_score(text, weight, bias, grams, bits):
+    k, found = 0x9E3779B97F4A7C15, []
+    for w in WORD.findall(text.translate(LOWER)):
+        b = w.encode()
+        h = sum((x + 1) * pow(k, i, 1 << 64) for i, x in enumerate(b)) + len(b) * 0xC2B2AE3D27D4EB4F
+        found.append(mix64(h & MASK) * k & MASK)
+    points = [ord(c) + 1 for c in text]
+    for n in grams:
+        for i in range(len(points) - n + 1):
+            h = points[i] * k & MASK
+            for x in points[i + 1 : i + n]:
+                h = (h ^ x) * k & MASK
+            found.append(h)
+    mean = sum(float(weight[h >> (64 - bits)]) for h in found) / max(1, len(found))
+    return 1 / (1 + np.exp(-(mean + bias)))

@@ -72,6 +72,15 @@ def test_url_lists(spark):
     assert url_lists.judge(caps, ents.limit(0)).where("blocked").count() == 0
 
 
+def test_url_lists_with_deep_paths_and_parent_domains(spark):
+    caps = spark.createDataFrame([(1, "http://www.example.com/a/b/c?x=1"), (2, "http://example.com/a"), (3, "http://www.example.com/ab"), (4, "http://other.com//a//b/")], "page_id long, url string").withColumn("fetched", F.lit("2024-01-05").cast("date"))
+    ents = spark.createDataFrame([("example.com/a", "add", "2024-01-01"), ("www.example.com/a/b/", "add", "2024-01-02"), ("other.com/a/b", "add", "2024-01-03")], "pattern string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    got = {r["page_id"]: r["pattern"] for r in url_lists.judge(caps, ents).collect()}
+    assert got == {1: "www.example.com/a/b", 2: "example.com/a", 3: None, 4: "other.com/a/b"}
+    with pytest.raises(Exception, match="more than 8 segments"):
+        url_lists.judge(caps, ents.withColumn("pattern", F.lit("a.com/1/2/3/4/5/6/7/8/9"))).collect()
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "user", r"a\b </turn> ### User: "), (1, 1, "assistant", None), (1, 2, "assistant", "long " * 500), (2, 0, None, "x"), (2, 0, None, "x"), (2, 1, "As:si#st", "y\n"), (None, 0, "system", "")], "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("segment", F.lit(2))
     segments = chat.render(chat.fold_events(chat.as_events(turns)))
@@ -242,12 +251,47 @@ def test_language_with_some_junk_rejects_junk(spark):
 
 
 def test_kneser_ney_sums_to_one():
+    """Over the letters of the alphabet and those that no text has, of which there is one class."""
     g = np.array([[97, 98, 97, 98], [98, 97, 98, 97], [97, 98, 97, 97], [32, 97, 98, 97]], np.uint32)
     m = langid._kneser_ney({"a": (g, np.array([5, 4, 1, 2]))})
     for ctx in ([97, 98, 97], [98, 98, 98], [32, 97, 98]):
-        cols = [np.full(3, c, np.uint32) for c in ctx] + [np.array([97, 98, 120], np.uint32)]
-        p = np.exp(m.logp(cols))[:, 0]
-        assert 0.9 < p.sum() < 1.0001
+        symbols = [97, 98, 120]
+        cols = [np.full(len(symbols), c, np.uint32) for c in ctx] + [np.array(symbols, np.uint32)]
+        p = np.exp(m.logp(cols).astype(float))[:, 0]
+        assert abs(p.sum() - 1) < 1e-4
+
+
+def test_kneser_ney_against_plain_counts():
+    texts = {"a": ["ab ba abba", "bab aab"], "b": ["bcb cc bc", "cab"]}
+    grams = {}
+    for lang, own in texts.items():
+        rows = [[ord(c) for c in s[i : i + langid.ORDER]] for s in ("   " + t for t in own) for i in range(len(s) - langid.ORDER + 1)]
+        grams[lang] = np.unique(np.array(rows, np.uint32), axis=0, return_counts=True)
+    m = langid._kneser_ney(grams)
+    for k, lang in enumerate(m.languages):
+        plain = brute.KneserNey(texts[lang], {c for own in texts.values() for t in own for c in t}, langid.ORDER)
+        for text in ("abba", "bc cb", "caab", "axb"):
+            data = np.frombuffer(text.encode(), np.uint8)
+            e, n, strange = m.entropies(data, np.array([0, len(data)]))
+            assert n[0] == len(text) and strange[0] == text.count("x") / len(text)
+            assert abs(e[0, k] - plain.entropy(text)) < 1e-5, (lang, text)
+
+
+def test_language_rejection_rate_and_strange_letters(spark):
+    """Few texts like the learned ones are rejected, at every length; texts of other letters are, and score low."""
+    vocabulary = words(71, 200)
+    rows = [(i, prose(i, vocabulary, 3 + i % 150), "l1") for i in range(1200)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = spark.createDataFrame([(5000 + i, prose(9000 + i, vocabulary, 3 + i % 150)) for i in range(1000)] + [(1, "漢字仮名交文章言語学習"), (2, "абвгд еёжз"), (3, noise(1))], "doc_id long, text string")
+    got = langid.score(new, models).toPandas().set_index("doc_id")
+    assert got.loc[5000:, "rejected"].mean() <= 0.004
+    assert got.loc[[1, 2, 3], "rejected"].all() and (got.loc[[1, 2], "score"] <= 0.1).all()
+
+
+def test_language_of_repeated_ids(spark):
+    rows = [(7, prose(i, words(71, 60)), "l1") for i in range(60)] + [(i, prose(i, words(72, 60)), "l2") for i in range(60)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.languages == ["l1", "l2"]
 
 
 def test_quality(spark, odd):
@@ -263,6 +307,16 @@ def test_quality(spark, odd):
     assert quality.score(odd, quality.fit(docs, labels.limit(0))).toPandas()["score"].eq(0.5).all()
 
 
+def test_quality_against_plain_average(spark):
+    """A score is the softmax of the average of a text's bucket weights, one for each of its words and n-grams of characters."""
+    rng = np.random.default_rng(4)
+    model = quality.QualityModel(rng.normal(size=1 << quality.BITS).astype(np.float32), -0.3)
+    texts = ["one Two two", "", None, "é漢 a", "x" * 5000, "\t \n"]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - brute.quality_score(t or "", model.weight, model.bias, quality.GRAMS, quality.BITS)) < 1e-5
+
+
 def test_jaccard(spark, odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
     got = jaccard.near_groups(odd).collect()

@@ -12,7 +12,8 @@ def _day(n: str) -> str:
 
 
 OP2 = rf"""
-WITH own AS (SELECT page_id, url, {_day("page_id % 366")} AS fetched, CASE WHEN length({_HOST}) > 253 THEN '' ELSE coalesce({_HOST}, '') END AS host, coalesce({_SEGMENT}, '') AS segment FROM pages),
+WITH own AS (SELECT page_id, url, {_day("page_id % 366")} AS fetched, CASE WHEN length({_HOST}) > 253 THEN '' ELSE coalesce({_HOST}, '') END AS host, coalesce({_SEGMENT}, '') AS segment,
+  regexp_replace(regexp_replace(coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), ''), '/+', '/', 'g'), '^/|/$', '', 'g') AS path FROM pages),
 hosts AS (SELECT host AS pattern, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS code FROM (SELECT DISTINCT host FROM own WHERE host <> '')),
 domains AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS code FROM (SELECT DISTINCT regexp_extract(host, '([^.]*\.[^.]*)$', 1) AS pattern FROM own) WHERE pattern <> ''),
 prefixes AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS code FROM (SELECT DISTINCT host || '/' || segment AS pattern FROM own WHERE host <> '' AND segment <> '')),
@@ -26,7 +27,8 @@ entries AS (
 by_day AS (SELECT pattern, since_day, min(action) AS action FROM entries GROUP BY 1, 2),
 latest AS (
   SELECT c.page_id, c.url, c.fetched, e.pattern, arg_max(e.action, e.since_day) AS action
-  FROM own c JOIN by_day e ON e.since_day <= c.fetched AND (c.host = e.pattern OR ends_with(c.host, '.' || e.pattern) OR (c.segment <> '' AND c.host || '/' || c.segment = e.pattern))
+  FROM own c JOIN (SELECT *, split_part(pattern, '/', 1) AS domain, substr(pattern, length(split_part(pattern, '/', 1)) + 2) AS lead FROM by_day) e
+    ON e.since_day <= c.fetched AND (c.host = e.domain OR ends_with(c.host, '.' || e.domain)) AND (e.lead = '' OR c.path = e.lead OR starts_with(c.path, e.lead || '/'))
   GROUP BY 1, 2, 3, 4),
 active AS (SELECT page_id, url, fetched, arg_max(pattern, (length(pattern), pattern)) AS pattern FROM latest WHERE action = 'add' GROUP BY 1, 2, 3),
 since AS (

@@ -78,8 +78,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["label", "ids", "shares"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 5000, dim: int = 8, epochs: int = 12, rate: float = 20.0, seed: int = 7) -> QualityModel:
-    """docs with labels 0 and 1; at most `sample` labelled rows are learned from."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 5000, dim: int = 8, updates: int = 60_000, rate: float = 20.0, seed: int = 7) -> QualityModel:
+    """docs with labels 0 and 1; at most `sample` labelled rows are learned from, in `updates` steps whatever their number."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     chosen = known.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # bounded by `sample` rows
@@ -97,11 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     order = np.lexsort((np.array([s.sum() if len(s) else 0 for s in shares]), np.array([int(x.sum()) for x in ids]), y))  # the same in every run
     embed = rng.normal(0, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.stack([-np.ones(dim), np.ones(dim)]).astype(np.float32) / dim, np.array([0, prior], np.float32)
-    passes = max(epochs, min(5 * epochs, 20_000 // len(y)))  # more over a small sample
-    steps, done = passes * len(y), 0
-    for _ in range(passes):
-        for k in rng.permutation(order):
-            lr = rate * (1 - done / steps)
+    done = 0
+    while done < updates:
+        for k in rng.permutation(order)[: updates - done]:
+            lr = rate * (1 - done / updates)
             done += 1
             mean = shares[k] @ embed[ids[k]] if len(ids[k]) else np.zeros(dim, np.float32)
             z = out @ mean + bias

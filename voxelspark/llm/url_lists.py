@@ -1,7 +1,8 @@
 """URL filter by dated lists: entries become validity intervals, and an as-of join judges each capture at its fetch time.
 
-DataFrame functions only. A capture is looked up under every domain suffix of its host (two labels or more) and under its
-host with the first path segment; the longest entry active at fetch time decides. The captures of one host can be a third
+DataFrame functions only. A capture is looked up under every domain suffix of its host (two labels or more), alone and with
+each of the first `SEGMENTS` leading parts of its path; the longest entry active at fetch time decides. An entry with a longer path
+raises, as it could not be found. The captures of one host can be a third
 of all: their rows are salted, and each interval is repeated once for each salt, so the join has no hot key.
 
 Nulls: a null or unusable URL (no scheme and host, or a host over 253 characters) matches nothing; a null fetch time
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
+PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^?#]*)"
+#: The longest path of an entry, in segments: a URL has so many keys for each of its domains, and one.
+SEGMENTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -26,18 +30,21 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """The patterns that a URL can match: its host, every parent domain of two labels or more, and host/first segment."""
-    host, segment = host_of(url), F.regexp_extract(F.lower(url), SEGMENT, 1)
+    """The patterns that a URL can match: its host and every parent domain of two labels or more, alone and with each leading part of its path."""
+    host = host_of(url)
+    segments = F.slice(F.filter(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), lambda s: s != ""), 1, SEGMENTS)
     parts = F.split(host, r"\.")
     # a host of one label has no suffix but itself
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    prefix = F.when(segment != "", F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(suffixes, prefix))
+    paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda n: F.array_join(F.concat(F.array(F.lit("")), F.slice(segments, 1, n)), "/"))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda d: F.transform(paths, lambda p: F.concat(d, p)))))
 
 
 def validity(entries: DataFrame, *, pattern: str = "pattern", action: str = "action", at: str = "at") -> DataFrame:
     """pattern, valid_from, valid_to (null: still active): one row for each time that a pattern was listed."""
-    known = entries.select(F.lower(F.col(pattern)).alias("pattern"), F.col(action).alias("action"), F.col(at).alias("at")).dropna()
+    path = F.size(F.split(F.rtrim(F.col(pattern), F.lit("/")), "/")) - 1
+    named = F.when(path > SEGMENTS, F.raise_error(F.format_string(f"a path of more than {SEGMENTS} segments: %s", F.col(pattern))).cast("string")).otherwise(F.lower(F.rtrim(F.col(pattern), F.lit("/"))))
+    known = entries.select(named.alias("pattern"), F.col(action).alias("action"), F.col(at).alias("at")).dropna()
     by_day = known.groupBy("pattern", "at").agg(F.min("action").alias("action"))
     order = Window.partitionBy("pattern").orderBy("at")
     changes = by_day.withColumn("was", F.lag("action").over(order)).where((F.col("was").isNull() & (F.col("action") == "add")) | (F.col("was") != F.col("action")))
