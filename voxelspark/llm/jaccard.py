@@ -16,7 +16,8 @@ put in one order, rare before frequent, they share at least k among the first n
    shingle of their 2-prefixes, and combinations that are still too frequent by three shingles of their 3-prefixes. A
    bucket whose combinations would make more pairs than it has, and what stays together after three, is listed as it is,
    so nothing is lost.
-6. Every candidate pair is verified on the whole sets.
+6. Candidate pairs are bounded by wider bitmaps and verified on the whole sets: the nearest one of each node first, then
+   those whose ends are still in different groups.
 
 Pairs inside a connected group are not all listed, but no two nodes that link end in different groups.
 
@@ -46,8 +47,8 @@ ORDERS, NEAR = 4, 8
 #: Bound of the shingles that are put last as frequent (16 bytes each). Those beyond it are ordered as rare ones are.
 MOST_FREQUENT = 1 << 19
 _FILTER = 22
-#: Min-hashes of a set, and longs of its bitmap.
-MINS, BITS = 3, 8
+#: Min-hashes of a set, and longs of its small bitmap. The wide one has two bits for each shingle or more, and a power of two of longs.
+MINS, BITS = 3, 4
 _TURNS = np.array([1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 
 
@@ -73,26 +74,32 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+def _bitmap(s: np.ndarray, longs: int) -> np.ndarray:
+    """Whether the set has an odd number of shingles in each class, by their last bits. Halves of it make the one half as long by xor."""
+    odd = np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _signature(s: np.ndarray) -> int:
     return int(mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))) if len(s) else 0
 
 
 def _sketch(n: int, percent: int, shared):
-    """doc_id, row, n, node (signature), prefix (the 3-prefix, rare shingles first), mins, bits of each text."""
+    """doc_id, row, n, node (signature), prefix (the 3-prefix, rare shingles first), mins, bits, wide of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = shared.value
         common = np.zeros(1 << _FILTER, bool)
         common[(keys >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
         for batch in batches:
-            size, node, prefix, mins, bits = [], [], [], [], []
+            size, node, prefix, mins, bits, wide = [], [], [], [], [], []
             for _, s in shingle_sets(batch.column(2), n):
                 m = len(s)
                 size.append(m)
                 node.append(_signature(s))
                 mins.append(np.array([(s * k).min() for k in _TURNS] if m else [0] * MINS, np.uint64).view(np.int64))
-                odd = np.bincount((s & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
-                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
+                wide.append(_bitmap(s, 1 << max(3, (m // 32).bit_length())))
+                bits.append(np.bitwise_xor.reduce(wide[-1].reshape(-1, BITS)))
                 most = min(m, m - _ceil(percent, m) + LONGEST)
                 frequent = common[(s >> np.uint64(64 - _FILTER)).astype(np.int64)]
                 if frequent.any():
@@ -102,8 +109,8 @@ def _sketch(n: int, percent: int, shared):
                     last = s[frequent][np.argsort(rank[at[frequent]], kind="stable")]
                     s = np.concatenate((s[~frequent][:most], last))
                 prefix.append(s[:most].view(np.int64))
-            made = [pa.array(size, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), *(_lists(x) for x in (prefix, mins, bits))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "row", "n", "node", "prefix", "mins", "bits"])
+            made = [pa.array(size, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), *(_lists(x) for x in (prefix, mins, bits, wide))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "row", "n", "node", "prefix", "mins", "bits", "wide"])
 
     return run
 
@@ -169,7 +176,7 @@ class JaccardJoin:
         rank[np.lexsort((keys, count))] = np.arange(len(keys))
         shared = self.docs.sparkSession.sparkContext.broadcast((keys[order], rank[order]))
         drop_stored(table)
-        return stored(self.rows.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, row long, n long, node long, prefix array<long>, mins array<long>, bits array<long>"))
+        return stored(self.rows.mapInArrow(_sketch(self.n, self.percent, shared), "doc_id long, row long, n long, node long, prefix array<long>, mins array<long>, bits array<long>, wide array<long>"))
 
     def _adjacent_pairs(self, nodes: DataFrame) -> DataFrame:
         """Pairs of nodes that share a min-hash and are next to each other in one of the orders by min-hashes."""
@@ -182,17 +189,42 @@ class JaccardJoin:
             out = pairs if out is None else out.union(pairs)
         return out.distinct()
 
+    def _linked(self, pairs: DataFrame, nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        """Enough of the pairs that link for all of them to be connected, with the links that are known already.
+
+        Wide bitmaps rule out most that do not. The nearest pair of each node goes first; of the others only those still apart.
+        """
+        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
+        half = "if(size(w_{0}) > size(w_{1}), zip_with(slice(w_{0}, 1, size(w_{1})), slice(w_{0}, size(w_{1}) + 1, size(w_{1})), (x, y) -> x ^ y), w_{0})"
+        far = F.expr(f"aggregate(zip_with({half.format('a', 'b')}, {half.format('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+        total = F.col("n_a") + F.col("n_b")
+        # sizes that may link differ by less than two, so one bitmap is at most twice as long
+        near = pairs.join(a, "a").join(b, "b").where(self._sized(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))).withColumn("far", far)
+        near = stored(near.where((100 + self.percent) * (total - F.col("far")) >= 2 * self.percent * total).select("a", "b", (F.col("far") / total).alias("far")))
+        best = near.select(F.explode(F.array("a", "b")).alias("node"), F.struct("far", "a", "b").alias("p")).groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+        found = self._verified(best, nodes)
+        known = found if links is None else links.union(found)
+        label = components(known)
+        of = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
+        rest = near.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+        rest = stored(rest)
+        if rest.limit(1).count():
+            known = known.union(self._verified(rest, nodes))
+        drop_stored(near, rest)
+        return known
+
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets. Only the text of one row for each node in some pair is read to the join."""
         pairs = stored(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = stored(nodes.select("node", "row").join(ends, "node").select("row"))
         texts = self.rows.join(wanted, "row", "left_semi").select("text")
-        sets = stored(texts.mapInArrow(_sets(self.n), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+        # both sides of the join read the same exchange by node
+        sets = texts.mapInArrow(_sets(self.n), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
         links = stored(pairs.join(a, "a").join(b, "b").where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-        drop_stored(pairs, wanted, sets)
+        drop_stored(pairs, wanted)
         return links
 
     def _near(self, a: str, b: str):
@@ -265,8 +297,8 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id for every row: the least id that links reach, and its own without any."""
         sketches = self.sketches()
         some = sketches.where("n > 0")
-        nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "mins", "bits"))))
-        links = self._verified(self._adjacent_pairs(nodes), nodes)
+        nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "mins", "bits", "wide"))))
+        links = self._linked(self._adjacent_pairs(nodes), nodes)
         labels = components(links)
         first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
         tokens = nodes.select("node", F.posexplode(first).alias("pos", "token"))
@@ -274,10 +306,8 @@ class JaccardJoin:
         for pairs in (self._neighbours, lambda live: self._open_pairs(live, nodes)):
             live = self._labelled(posts, nodes, labels)
             if live.limit(1).count():
-                more = self._verified(pairs(live), nodes)
-                if more.limit(1).count():
-                    links = links.union(more)
-                    labels = components(links)
+                links = self._linked(pairs(live), nodes, links)
+                labels = components(links)
             drop_stored(live)
         drop_stored(posts)
         named = nodes.select("node", "doc_id").join(labels, nodes["node"] == labels["id"], "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
