@@ -11,11 +11,12 @@ words is within n // 5 word edits of it (fewer than 6 words: equal).
 3. Bit sampling. Each of `TABLES` tables hashes a few sampled steps, chosen by the item's size alone; a window meets the items
    that agree on them. Walks are repeated until items with the full number of random edits are found with probability `recall`
    (measured when fitting on all items of a block, apart for edits of any kind and for deletions in a text that ends there).
-   Items too long to be found so in `MOST_WALKS` walks skip the tables: every place of their pieces is verified.
+   Items too long to be found so in `MOST_WALKS` walks skip the tables: every place of their pieces is verified. The recall
+   is measured again on fresh draws of all items, and walks are added until it holds.
 4. Verification. The edit distance of the item to the best run of words near the window is computed exactly.
 
-The items are fitted in blocks of `block`, each broadcast with that bound, and documents are scanned in place: no shuffle,
-however many documents share a passage.
+The items are fitted in blocks of `block`, and documents are scanned once, in place, for all of them: no shuffle, however many
+documents share a passage. All items are broadcast (up to 17 MB for each block and 2 KB for each item): a benchmark is a bounded list.
 
 Nulls: a null text holds nothing; null items and items without words are never held. Repeated rows come out alike; items
 that are alike are all reported. Empty tables give no rows. Other columns are not read.
@@ -83,6 +84,7 @@ class Benchmark:
     samples: np.ndarray  # by walk, table: shares of the walk
     tables: list[list[tuple[np.ndarray, np.ndarray]]]
     direct: np.ndarray  # by item: verified at every place of its pieces
+    recall: float | None = None  # measured on draws that the number of walks was not chosen by; None if all items are direct
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], *, recall: float = 0.99, seed: int = 11) -> Benchmark:
@@ -110,6 +112,13 @@ class Benchmark:
         most = 2 * max((len(x) for x in words), default=1)
         out = cls(ids, words, by, filters, rng.integers(0, 1 << 63, (MOST_WALKS, most), np.uint64) | np.uint64(1), rng.random((MOST_WALKS, TABLES, SAMPLED)), [], np.zeros(len(ids), bool))
         walks = out._walks_for(recall, rng)
+        # on fresh draws, within two standard deviations; else more walks, and in the end none of the tables
+        while (met := out.measured(walks, rng)) is not None and met < recall - 2 * (recall * (1 - recall) / _TRIALS) ** 0.5:
+            if walks == MOST_WALKS:
+                out.direct[:] = True
+                break
+            walks = min(MOST_WALKS, walks + 4)
+        out.recall = met
         out.bits, out.samples = out.bits[:walks], out.samples[:walks]
         if words:
             block, n = out._block(words)
@@ -143,6 +152,21 @@ class Benchmark:
                 keys[:, t] = mix(keys[:, t] * np.uint64(31) + trace[every, step] + step.astype(np.uint64))
         return keys
 
+    def measured(self, walks: int, rng: np.random.Generator) -> float | None:
+        """The share of changed items that meet theirs in some table: all items with edits and tables, the lower of both kinds of change."""
+        own = np.flatnonzero([edits(len(x)) > 0 for x in self.words] & ~self.direct)
+        if not len(own):
+            return None
+        items, shares = np.repeat(own, -(-_TRIALS // len(own))), []
+        for ends in (False, True):
+            met = np.zeros(len(items), bool)
+            for part in np.array_split(np.arange(len(items)), -(-len(items) * self.bits.shape[1] // (1 << 21))):
+                (a, n), (b, _) = self._block([self.words[i] for i in items[part]]), self._block([_changed(self.words[i], ends, rng) for i in items[part]])
+                for walk in range(walks):
+                    met[part] |= (self._keys(a, n, walk) == self._keys(b, n, walk)).any(axis=1)
+            shares.append(met.mean())
+        return float(min(shares))
+
     def _walks_for(self, recall: float, rng: np.random.Generator) -> int:
         """As many walks as find items with all their edits at random places with the given probability; longer items are direct."""
         sizes = np.array([len(x) for x in self.words])
@@ -249,37 +273,40 @@ class Benchmark:
         return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", recall: float = 0.99, block: int = 4096) -> DataFrame:
-    """doc_id, item_id, distance, first_word, n_words, item_words: every item that a document holds, at its best place."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+SCHEMA = "doc_id long, item_id long, distance int, first_word int, n_words int, item_words int"
+
+
+def _blocks(items: DataFrame, item_id_col: str, item_text_col: str, recall: float, block: int) -> list:
+    """The items, fitted and broadcast in blocks of `block`; an item of any block costs a scan the same."""
+    spark = items.sparkSession
     listed = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
-    n = listed.count()
-    parts = max(1, -(-n // block))
-    schema = "doc_id long, item_id long, distance int, first_word int, n_words int, item_words int"
-    out = spark.createDataFrame([], schema)
+    parts, out = max(1, -(-listed.count() // block)), []
     for k in range(parts):
-        # one block of items at a time, bounded in number
+        # one block at a time, bounded in number
         rows = (listed if parts == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)).collect()
-        rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(Benchmark.of([r[0] for r in rows], [r[1] for r in rows], recall=recall))
-        out = out.unionByName(own.mapInArrow(_scan(shared), schema))
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if rows:
+            out.append(spark.sparkContext.broadcast(Benchmark.of([r[0] for r in rows], [r[1] for r in rows], recall=recall)))
     return out
 
 
-def _scan(shared):
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", recall: float = 0.99, block: int = 4096) -> DataFrame:
+    """doc_id, item_id, distance, first_word, n_words, item_words: every item that a document holds, at its best place."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(_scan(_blocks(items, item_id_col, item_text_col, recall, block)), SCHEMA)
+
+
+def _scan(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
             ids = batch.column(0)
             data, at = utf8(batch.column(1))
             rows = []
             for i, j in slices(at):
-                for text, item, distance, first, n in b.found(data[at[i] : at[j]], at[i : j + 1] - at[i]):
-                    rows.append((ids[i + text].as_py(), b.ids[item], distance, first, n, len(b.words[item])))
+                for b in (shared.value for shared in blocks):
+                    for text, item, distance, first, n in b.found(data[at[i] : at[j]], at[i : j + 1] - at[i]):
+                        rows.append((ids[i + text].as_py(), b.ids[item], distance, first, n, len(b.words[item])))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "distance", "first_word", "n_words", "item_words"])
 
@@ -288,25 +315,18 @@ def _scan(shared):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", recall: float = 0.99, block: int = 4096) -> DataFrame:
     """The rows of docs that hold no item, with their columns: each row is judged where it is, so nothing is joined back."""
-    spark = docs.sparkSession
-    listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    parts = max(1, -(-listed.count() // block))
-    for k in range(parts):
-        rows = sorted((r["item_id"] or 0, r["text"]) for r in (listed if parts == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)).collect())
-        if rows:
-            shared = spark.sparkContext.broadcast(Benchmark.of([r[0] for r in rows], [r[1] for r in rows], recall=recall))
-            docs = docs.mapInArrow(_sieve(shared, text_col), docs.schema)
-    return docs
+    return docs.mapInArrow(_sieve(_blocks(items, "item_id", "text", recall, block), text_col), docs.schema)
 
 
-def _sieve(shared, text_col: str):
+def _sieve(blocks: list, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(batch.schema.get_field_index(text_col)))
             kept = np.ones(len(at) - 1, bool)
             for i, j in slices(at):
-                for hit in shared.value.found(data[at[i] : at[j]], at[i : j + 1] - at[i]):
-                    kept[i + hit[0]] = False
+                for shared in blocks:
+                    for hit in shared.value.found(data[at[i] : at[j]], at[i : j + 1] - at[i]):
+                        kept[i + hit[0]] = False
             yield batch.filter(pa.array(kept))
 
     return run
