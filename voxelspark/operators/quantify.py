@@ -79,16 +79,15 @@ def lesions(components: DataFrame, classes: DataFrame, *, voxel_um: float, min_v
 
 
 def hull_shapes(components: DataFrame, *, voxel_um: float) -> DataFrame:
-    """component, feret_diameter_max_um, solidity. A component is one group; only its voxels reach the task, once."""
+    """component, feret_diameter_max_um, solidity. A component is one group; only the ends of its lines along x reach the task."""
+    lines = components.groupBy("component", "z", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
 
     def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[list(AXES)].to_numpy(int)
-        ends = pdf.groupby(["z", "y"])["x"].agg(["min", "max"]).reset_index()
-        outer = np.unique(np.concatenate([ends[["z", "y", k]].to_numpy(int) for k in ("min", "max")]), axis=0)
-        feret, solid = meshes.hull_descriptors(p, outer)
+        ends = np.unique(np.concatenate([pdf[["z", "y", k]].to_numpy(int) for k in ("lo", "hi")]), axis=0)
+        feret, solid = meshes.hull_descriptors(ends, int(pdf["n"].sum()))
         return pd.DataFrame({"component": [pdf["component"].iloc[0]], "feret_diameter_max_um": [feret * voxel_um], "solidity": [solid]})
 
-    return components.groupBy("component").applyInPandas(describe, "component long, feret_diameter_max_um double, solidity double")
+    return lines.groupBy("component").applyInPandas(describe, "component long, feret_diameter_max_um double, solidity double")
 
 
 def nucleus_voxels(nuclei: DataFrame, *, voxel_um: float, shape: tuple[int, int, int]) -> DataFrame:

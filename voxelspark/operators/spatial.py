@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.functions.geometry import AXES, distance2
@@ -12,6 +14,9 @@ from voxelspark.sources.checkpoints import stored
 
 _AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
+#: A squared distance beyond all real ones, and the width of a strip of lines.
+_FAR, _STRIP = 1 << 60, 64
+
 
 def _bucketed(df: DataFrame, width: float) -> DataFrame:
     return df.withColumns({f"b{n}": F.floor(F.col(n) / width) for n in AXES})
@@ -58,15 +63,32 @@ def nearest_by_class(points: DataFrame, classes: list[int], *, radius: float, id
 def distance_transform(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """cells (z, y, x) with d2, the exact squared distance in voxels to the nearest target: one axis after another.
 
-    A minimum over x in each line, then over y, then over z. Every join is on two axes, so a line meets a line.
+    Along x it is the nearest target before or behind in the line, by windows. Along y, then z, it is the least sum of what the
+    axes before gave and the squared step, in numpy: a group is the lines of one section (or row) in a strip of `_STRIP` places.
+    Without targets there are no rows.
     """
-    square = lambda a, b: (F.col(a) - F.col(b)).cast("long") * (F.col(a) - F.col(b)).cast("long")
-    tz, ty = targets.select("z", "y", F.col("x").alias("tx")), cells.select("x").distinct()
-    # by x: every line that holds a target, at every x that a cell has
-    g1 = tz.join(F.broadcast(ty), F.lit(True)).groupBy("z", "y", "x").agg(F.min(square("x", "tx")).alias("g"))
-    g1 = g1.withColumnRenamed("y", "ty")
-    g2 = cells.select("y", "x").distinct().join(g1, "x").groupBy("z", "y", "x").agg(F.min(F.col("g") + square("y", "ty")).alias("g")).withColumnRenamed("z", "tz")
-    return cells.join(g2, ["y", "x"]).groupBy(*AXES).agg(F.min(F.col("g") + square("z", "tz")).alias("d2"))
+    both = cells.select(*AXES, F.lit(True).alias("cell"), F.lit(False).alias("target")).unionByName(targets.select(*AXES, F.lit(False).alias("cell"), F.lit(True).alias("target")))
+    line = Window.partitionBy("z", "y").orderBy("x")
+    at = F.when(F.col("target"), F.col("x"))
+    before = F.last(at, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first(at, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    step = F.least(F.col("x") - before, behind - F.col("x")).cast("long")
+    out = both.groupBy(*AXES).agg(F.max("cell").alias("cell"), F.max("target").alias("target")).withColumn("d2", F.coalesce(step * step, F.lit(_FAR))).drop("target")
+    for axis, fixed in (("y", "z"), ("z", "y")):
+        out = out.groupBy(fixed, F.floor(F.col("x") / _STRIP)).applyInPandas(_along(axis), "z int, y int, x int, cell boolean, d2 long")
+    return out.where(F.col("cell") & (F.col("d2") < _FAR)).drop("cell")
+
+
+def _along(axis: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        places, i = np.unique(pdf[axis].to_numpy(np.int64), return_inverse=True)
+        lines, j = np.unique(pdf["x"].to_numpy(np.int64), return_inverse=True)
+        value = np.full((len(places), len(lines)), _FAR, np.int64)
+        value[i, j] = pdf["d2"]
+        best = np.stack([(((places - p) ** 2)[:, None] + value).min(axis=0) for p in places])
+        return pdf.assign(d2=best[i, j])[["z", "y", "x", "cell", "d2"]]
+
+    return run
 
 
 def _reflected(i: Column, n: int) -> Column:
