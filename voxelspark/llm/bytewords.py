@@ -35,7 +35,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def slices(at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of up to `most` bytes, or one longer text."""
     i, n = 0, len(at) - 1
     while i < n:

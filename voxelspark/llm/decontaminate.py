@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import NOT_ALNUM, Words, grams, mix, slices, utf8
+from voxelspark.llm.shared import bounded
 
 TABLES, SAMPLED, LONGEST_GRAM, MOST_WALKS = 4, 2, 4, 64
 _TRIALS = 400
@@ -293,7 +294,7 @@ def _blocks(items: DataFrame, item_id_col: str, item_text_col: str, recall: floa
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", recall: float = 0.99, block: int = 4096) -> DataFrame:
     """doc_id, item_id, distance, first_word, n_words, item_words: every item that a document holds, at its best place."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_scan(_blocks(items, item_id_col, item_text_col, recall, block)), SCHEMA)
+    return bounded(own).mapInArrow(_scan(_blocks(items, item_id_col, item_text_col, recall, block)), SCHEMA)
 
 
 def _scan(blocks: list):
@@ -315,7 +316,7 @@ def _scan(blocks: list):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", recall: float = 0.99, block: int = 4096) -> DataFrame:
     """The rows of docs that hold no item, with their columns: each row is judged where it is, so nothing is joined back."""
-    return docs.mapInArrow(_sieve(_blocks(items, "item_id", "text", recall, block), text_col), docs.schema)
+    return bounded(docs).mapInArrow(_sieve(_blocks(items, "item_id", "text", recall, block), text_col), docs.schema)
 
 
 def _sieve(blocks: list, text_col: str):

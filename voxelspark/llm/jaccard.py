@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import mix, shingle_sets
-from voxelspark.llm.shared import drop_stored, stored
+from voxelspark.llm.shared import bounded, drop_stored, stored
 from voxelspark.operators.components import edge_components as components
 
 #: Sets with a Jaccard of 0.8 that differ share four shingles at least, so combinations of three are always there.
@@ -154,7 +154,7 @@ class JaccardJoin:
     """The join over one table of texts."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bucket: int = 128):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        self.docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         # what tells rows apart, as ids may be null or repeated
         self.rows = self.docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
         self.n, self.percent, self.bucket = n, percent, bucket

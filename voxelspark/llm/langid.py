@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import slices, utf8
+from voxelspark.llm.shared import bounded
 from voxelspark.llm.symbols import codepoints, letters_only
 
 ORDER = 4
@@ -187,7 +188,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array([x or "" for x in batch.column(0).to_pylist()], object)
         data, at = utf8(batch.column(1))
-        for i, j in slices(at, 1 << 20):
+        for i, j in slices(at, 1 << 18):
             for language in np.unique(langs[i:j]):
                 mine = np.flatnonzero(langs[i:j] == language) + i
                 sym, begin = _symbols(np.concatenate([data[at[k] : at[k + 1]] for k in mine]), np.concatenate(([0], np.cumsum(at[mine + 1] - at[mine]))))
@@ -214,7 +215,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     part = part.withColumn("r", rank("lang", "part")).where(F.col("r") <= sample)
     chosen = part.withColumn("r", rank("lang")).where(F.col("r") <= sample).select("id", "lang", (F.col("r") % 5 == 0).alias("calibrates")).dropDuplicates(["id", "lang"])
     # bounded by `sample` rows for each of `languages`
-    texts = own.join(F.broadcast(chosen), ["id", "lang"])
+    texts = bounded(own.join(F.broadcast(chosen), ["id", "lang"]))
     counts = texts.where(~F.col("calibrates")).select("lang", "text").mapInArrow(_count_grams, "lang string, c0 long, c1 long, c2 long, c3 long, n long").groupBy("lang", "c0", "c1", "c2", "c3").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None
@@ -266,7 +267,7 @@ def score(docs: DataFrame, models: LanguageModels | None, *, id_col: str = "doc_
             data, at = utf8(batch.column(batch.num_columns - 1))
             rows = len(at) - 1
             pred, p, ent, count, rejected = np.full(rows, "und", object), np.zeros(rows), np.full(rows, np.nan), np.zeros(rows, np.int64), np.ones(rows, bool)
-            for i, j in slices(at, 1 << 20) if m else []:
+            for i, j in slices(at, 1 << 18) if m else []:
                 best, low, p[i:j], n, rejected[i:j] = m.judged(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 some = n > 0
                 pred[i:j][some] = np.array(m.languages, object)[best[some]]
@@ -274,7 +275,7 @@ def score(docs: DataFrame, models: LanguageModels | None, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1 + len(keep))), pa.array(pred, pa.string()), pa.array(p), pa.array(ent, pa.float64(), from_pandas=True), pa.array(count), pa.array(rejected)], names=[id_col, *keep, "lang_pred", "score", "entropy", "n_symbols", "rejected"])
 
     narrow = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
-    return narrow.mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double, n_symbols long, rejected boolean")
+    return bounded(narrow).mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double, n_symbols long, rejected boolean")
 
 
 def keep_known(docs: DataFrame, models: LanguageModels | None, *, text_col: str = "text") -> DataFrame:
@@ -286,11 +287,11 @@ def keep_known(docs: DataFrame, models: LanguageModels | None, *, text_col: str
         for batch in batches:
             data, at = utf8(batch.column(batch.schema.get_field_index(text_col)))
             kept = np.ones(len(at) - 1, bool)
-            for i, j in slices(at, 1 << 20) if m else []:
+            for i, j in slices(at, 1 << 18) if m else []:
                 kept[i:j] = ~m.judged(data[at[i] : at[j]], at[i : j + 1] - at[i])[4]
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def crc_mod(id_col: Column, m: int) -> Column:

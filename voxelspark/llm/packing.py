@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import Words, slices, utf8
-from voxelspark.llm.shared import stored
+from voxelspark.llm.shared import bounded, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -33,7 +33,7 @@ _PLAIN = re.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
 #: The tokenizer's own split, for those characters in lower case.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
 #: Words in each of the two generations of a worker's cache, of some 30 bytes each.
-_CACHE = 1 << 20
+_CACHE = 1 << 18
 
 
 def _byte_letters() -> list[str]:
@@ -87,7 +87,7 @@ class CachedTokenizer:
         self.tokenizer.encode_special_tokens = encode_special
         self.special = [] if encode_special else [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.part = lru_cache(maxsize=1 << 16)(self._part)
+        self.part = lru_cache(maxsize=1 << 14)(self._part)
         self.new, self.old = _WordIds(), _WordIds()
 
     @classmethod
@@ -174,7 +174,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
+    return bounded(narrow).mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:

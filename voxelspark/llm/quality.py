@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import Words, slices, utf8
+from voxelspark.llm.shared import bounded
 from voxelspark.llm.symbols import codepoints
 
 BITS = 17
@@ -84,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = known.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # bounded by `sample` rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("label", "text").mapInArrow(_sparse, "label int, ids array<int>, shares array<float>").toArrow()
+    rows = bounded(texts).select("label", "text").mapInArrow(_sparse, "label int, ids array<int>, shares array<float>").toArrow()
     y = rows.column("label").to_numpy() if rows.num_rows else np.zeros(0)
     zero = np.zeros(1 << BITS, np.float32)
     share = float(y.mean()) if len(y) else 0.5
@@ -121,8 +122,8 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            parts = [shared.value.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, 1 << 20)]
+            parts = [shared.value.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, 1 << 18)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return bounded(docs).select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, score double")

@@ -1,5 +1,19 @@
-"""Tables that cut lineage, in the folder that the cluster shares."""
+"""Tables that cut lineage, in the folder that the cluster shares; bounded Arrow batches."""
+
+from pyspark.sql import DataFrame
 
 from voxelspark.sources.checkpoints import drop_stored, shared_dir, stored
 
-__all__ = ["drop_stored", "shared_dir", "stored"]
+__all__ = ["bounded", "drop_stored", "shared_dir", "stored"]
+
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, whose session sends at most `most` bytes of texts to a Python worker at once, unless it says otherwise itself.
+
+    Batches are bounded by rows alone else, and ten thousand long texts do not fit beside the heap.
+    """
+    if df.sparkSession.conf.get(_BYTES, None) is None:
+        df.sparkSession.conf.set(_BYTES, str(most))
+    return df
