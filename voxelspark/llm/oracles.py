@@ -124,5 +124,30 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id FROM documents d
 """
 
 
+def _kmeans(rounds: int) -> str:
+    """Brute force: all distances in every round."""
+    near = """near{r} AS MATERIALIZED (
+  SELECT vec_id, row_id, min((d, c)) AS best FROM (SELECT v.vec_id, v.row_id, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN mid{r} m ON m.pos = v.pos GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    move = """mid{next} AS MATERIALIZED (
+  SELECT m.c, m.pos, CASE WHEN t.n IS NULL THEN m.x ELSE (t.s - (((t.s % t.n) + t.n) % t.n)) // t.n END AS x FROM mid{r} m LEFT JOIN (
+    SELECT near{r}.best[2] AS c, v.pos, sum(v.x) AS s, count(*) AS n FROM near{r} JOIN v USING (row_id) GROUP BY 1, 2) t ON t.c = m.c AND t.pos = m.pos)"""
+    steps = [(near + ",\n" + move).format(r=r, next=r + 1) for r in range(rounds)]
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row_id, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT row_id, vec_id, unnest(range(64)) AS pos, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x FROM kept),
+start AS (SELECT row_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8),
+mid0 AS MATERIALIZED (SELECT c, pos, x FROM start JOIN v USING (row_id)),
+{",\n".join(steps)},
+{near.format(r=rounds)},
+names AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM mid{rounds} GROUP BY 1)
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} JOIN names ON c = best[2]
+"""
+
+
+OP11 = _kmeans(10)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_list_asof": OP2, "op3_chat_formatting": OP3, "op4_warc_derivatives": OP4, "op6_line_dedup": OP6, "op7_hamming_top_k": OP7, "op10_ngram_jaccard_join": OP10}
+    return {"op11_centroid_clustering": OP11, "op2_url_list_asof": OP2, "op3_chat_formatting": OP3, "op4_warc_derivatives": OP4, "op6_line_dedup": OP6, "op7_hamming_top_k": OP7, "op10_ngram_jaccard_join": OP10}

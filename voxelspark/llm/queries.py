@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, url_lists, warc
+from voxelspark.llm import centroids, chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, url_lists, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -97,6 +97,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_url_list_asof, op3_chat_formatting, op4_warc_derivatives, op5_benchmark_decontamination, op6_line_dedup, op7_hamming_top_k, op8_language_id, op9_quality_classifier, op10_ngram_jaccard_join]
+    found = [op1_best_fit_packing, op2_url_list_asof, op3_chat_formatting, op4_warc_derivatives, op5_benchmark_decontamination, op6_line_dedup, op7_hamming_top_k, op8_language_id, op9_quality_classifier, op10_ngram_jaccard_join, op11_centroid_clustering]
     return {f.__name__: f for f in found}
