@@ -148,6 +148,22 @@ FROM near{rounds} JOIN names ON c = best[2]
 
 OP11 = _kmeans(10)
 
+#: All scores of every anchor.
+OP13 = """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS (SELECT vec_id, label, unnest(range(len(v))) AS pos, unnest(v) AS x FROM kept),
+scores AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS own, CAST(sum(a.x * o.x) AS BIGINT) AS score
+  FROM parts a JOIN parts o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id AND a.pos = o.pos GROUP BY 1, 2, 3),
+positive AS (SELECT * FROM scores WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+negative AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positive p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.own AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_centroid_clustering": OP11, "op2_url_list_asof": OP2, "op3_chat_formatting": OP3, "op4_warc_derivatives": OP4, "op6_line_dedup": OP6, "op7_hamming_top_k": OP7, "op10_ngram_jaccard_join": OP10}
+    return {"op13_hard_negatives": OP13, "op11_centroid_clustering": OP11, "op2_url_list_asof": OP2, "op3_chat_formatting": OP3, "op4_warc_derivatives": OP4, "op6_line_dedup": OP6, "op7_hamming_top_k": OP7, "op10_ngram_jaccard_join": OP10}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import centroids, chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, url_lists, warc
+from voxelspark.llm import centroids, chat, decontaminate, hamming, hard_negatives, jaccard, langid, line_dedup, packing, quality, token_blocks, url_lists, warc
+from voxelspark.llm.shared import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -101,6 +103,17 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
 
 
+def op12_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_blocks.write(_table(spark, sf_dir, "documents"), tokenizer_path(), path, end_id=2)
+    return token_blocks.read(spark, path).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_url_list_asof, op3_chat_formatting, op4_warc_derivatives, op5_benchmark_decontamination, op6_line_dedup, op7_hamming_top_k, op8_language_id, op9_quality_classifier, op10_ngram_jaccard_join, op11_centroid_clustering]
+    found = [op1_best_fit_packing, op2_url_list_asof, op3_chat_formatting, op4_warc_derivatives, op5_benchmark_decontamination, op6_line_dedup, op7_hamming_top_k, op8_language_id, op9_quality_classifier, op10_ngram_jaccard_join, op11_centroid_clustering, op12_token_blocks, op13_hard_negatives]
     return {f.__name__: f for f in found}
