@@ -224,7 +224,7 @@ def mine(vectors: DataFrame, is_anchor: Column, *, positives: int = 5, negatives
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     checked = F.when(F.col("square") < float(_FAR), F.sqrt("square")).otherwise(F.raise_error(F.lit("a sum of squares is 2^62 or more")).cast("double"))
     whole = whole.withColumn("square", square).withColumn("norm", checked)
-    padded = F.concat(F.transform("v", lambda x: x.cast("int")), F.array_repeat(F.lit(0), F.lit(dims) - F.size("v")))
+    padded = F.concat(F.transform("v", lambda x: x.try_cast("int")), F.array_repeat(F.lit(0), F.lit(dims) - F.size("v")))
     rows = stored(whole.select("id", "label", padded.alias("v"), "norm", "anchor").dropDuplicates())
     nothing = spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     anchors = rows.where("anchor")
