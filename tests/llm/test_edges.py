@@ -379,3 +379,25 @@ def test_jaccard_on_clusters(spark, bucket):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_groups(df, bucket=bucket).collect()}
     assert got == brute.groups(docs)
+
+
+def test_chat_ids_beyond_doubles_beside_a_null(spark):
+    ids = [9007199254740993, 9007199254740994, 9007199254740995, None]
+    rows = [(i, t, r, x) for i in ids for t, r, x in ((0, "user", "u" * 900 + str(i)), (1, "assistant", "a" * 900), (2, None, None))]
+    log = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    messages = chat.fold_events(log)
+    assert sorted((r["conv_id"] or 0, r["role"], r["text"]) for r in messages.collect()) == sorted((i or 0, r or "", x or "") for i, _, r, x in rows)
+    got = chat.digests(chat.render(messages)).collect()
+    assert sorted(r["conv_id"] or 0 for r in got) == [0, *ids[:3]] and all(r["n_turns"] == 3 and r["loss_chars"] == 900 for r in got)
+
+
+def test_warc_titles_that_are_never_closed(spark):
+    import time
+
+    pages = ["<title>" * 150_000, "<title>one</title>" + "<TITLE x>two" * 100_000, "<title>a<title>b</Title>" + "c" * 1_000_000, "no title"]
+    rows = spark.createDataFrame([(i, "http://a.b/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    warc.derive(warc.responses_of_pages(rows.limit(0))).collect()
+    began = time.time()
+    got = {r["page_id"]: r["block"].split("\r\n")[0] for r in warc.derive(warc.responses_of_pages(rows)).where("warc_type = 'metadata'").collect()}
+    assert got == {0: "title: ", 1: "title: one", 2: "title: a<title>b", 3: "title: "} and time.time() - began < 10

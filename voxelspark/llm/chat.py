@@ -82,7 +82,6 @@ def digests(segments: DataFrame) -> DataFrame:
         for pdf in batches:
             done = []
             for conv, segment, start, length in zip(pdf["conv_id"], pdf["segment"], pdf["loss_start"], pdf["loss_length"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
                 if state is None or state[0] != conv:
                     if state is not None:
                         done.append(row())
@@ -98,15 +97,17 @@ def digests(segments: DataFrame) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([row()], columns=[f.split()[0] for f in DIGEST.split(", ")])
 
-    ordered = segments.select(F.col("conv_id").cast("long").alias("conv_id"), "first_seq", "segment", "loss_start", "loss_length").repartition("conv_id").sortWithinPartitions("conv_id", "first_seq", "segment")
-    return ordered.drop("first_seq").mapInPandas(read, DIGEST)
+    # ids travel as text: pandas would turn whole numbers beside a null into doubles
+    ordered = segments.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), "first_seq", "segment", "loss_start", "loss_length").repartition("conv_id").sortWithinPartitions("conv_id", "first_seq", "segment")
+    found = ordered.drop("first_seq").mapInPandas(read, DIGEST.replace("conv_id long", "conv_id string"))
+    return found.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def as_events(turns: DataFrame, *, chunk: int = 400) -> DataFrame:
     """A streamed log of finished turns (conv_id, turn, role, text): a start, then deltas of up to `chunk` characters.
 
-    Longer assistant turns are preceded by a draft that a regeneration discards. Turns alike in number are told apart by
-    role and text; wholly equal ones stay separate turns.
+    Longer assistant turns are preceded by a draft that a regeneration discards, other longer turns by one that an edit replaces.
+    Turns alike in number are told apart by role and text; wholly equal ones stay separate turns.
     """
     from pyspark.sql import Window
 
@@ -115,7 +116,10 @@ def as_events(turns: DataFrame, *, chunk: int = 400) -> DataFrame:
     event = lambda k, kind, text: F.struct(F.lit(k).cast("long").alias("k"), F.lit(kind).alias("kind"), text.alias("text"))
     none = F.lit(None).cast("string")
     long = (F.col("role") == "assistant") & (F.length("text") > chunk)
-    opening = F.when(long, F.array(event(0, "start", none), event(1, "delta", F.substring("text", 1, chunk // 2)), event(2, "regenerate", none))).otherwise(F.array(event(0, "start", none)))
-    rest = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {chunk}) as int)), i -> struct(cast(3 + i as long) as k, 'delta' as kind, substring(text, i * {chunk} + 1, {chunk}) as text))")
+    edited = ~F.coalesce(F.col("role") == "assistant", F.lit(False)) & (F.length("text") > chunk)
+    draft = event(1, "delta", F.substring("text", 1, chunk // 2))
+    opening = F.when(long, F.array(event(0, "start", none), draft, event(2, "regenerate", none))).when(edited, F.array(event(0, "start", none), draft, event(2, "edit", F.substring("text", 1, chunk)))).otherwise(F.array(event(0, "start", none)))
+    own = own.withColumn("first", edited.cast("int"))
+    rest = F.expr(f"transform(sequence(first, cast(ceil(length(text) / {chunk}) as int)), i -> struct(cast(3 + i as long) as k, 'delta' as kind, substring(text, i * {chunk} + 1, {chunk}) as text))")
     events = own.select("conv_id", "msg", "role", F.explode(F.concat(opening, rest)).alias("e"))
     return events.select("conv_id", "msg", F.struct("msg", F.col("e.k").alias("k")).alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
