@@ -66,7 +66,9 @@ def derive(responses: DataFrame, *, id_col: str = "page_id") -> DataFrame:
     The responses are read once; the payload's digest is taken over from them.
     """
     payload = F.coalesce("payload", F.lit(""))
-    title = F.regexp_extract(payload, r"(?is)<title[^<>]*>(.*?)</title>", 1)
+    # up to the last title that is closed, so that none before it is read to the end of the page in vain
+    closed = F.regexp_extract(payload, r"(?is)^.*</title>", 0)
+    title = F.regexp_extract(closed, r"(?is)<title[^<>]*>(.*?)</title>", 1)
     facts = F.concat_ws("\r\n", F.concat(F.lit("title: "), F.regexp_replace(title, r"\s+", " ")), F.concat(F.lit("outlinks: "), F.regexp_count(payload, F.lit(r"<[aA]\s"))), F.concat(F.lit("source-payload-length: "), F.octet_length(payload)), F.concat(F.lit("source-http-headers: "), F.replace(F.coalesce("http_headers", F.lit("")), F.lit("\r\n"), F.lit(" | "))))
     made = [F.struct(F.lit(kind).alias("kind"), F.lit(mime).alias("mime"), block.alias("block")) for kind, mime, block in (("metadata", "application/warc-fields", facts), ("conversion", "text/plain; charset=utf-8", plain_text(payload)))]
     source = ("record_id", "target_uri", "warc_date", "http_headers", "payload_digest")
