@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from voxelspark.config import check_voxel
 from voxelspark.functions.geometry import AXES, decode, eigenvalues, entropy, nearest_voxel, share, sphere, voxel_index
 from voxelspark.operators import meshes
+from voxelspark.operators.hulls import hull_shapes
 from voxelspark.operators.spatial import distance_join, distance_transform, nearest_by_class, smooth_grid
 
 MM3 = 1e9
@@ -78,18 +79,6 @@ def lesions(components: DataFrame, classes: DataFrame, *, voxel_um: float, min_v
     return kept.select((F.col("before") + F.col("r")).cast("long").alias("instance_id"), "component", "class_index", "class_name", F.col("n").alias("n_voxels"), "volume_um3", (F.col("volume_um3") / MM3).alias("volume_mm3"), *((F.col(f"m{n}") * v).alias(f"centroid_{n}_um") for n in AXES), *((F.col(f"lo{n}") * v).alias(f"bbox_min_{n}_um") for n in AXES), *((F.col(f"hi{n}") * v).alias(f"bbox_max_{n}_um") for n in AXES), F.pow(F.col("volume_um3") * 6 / math.pi, F.lit(1 / 3)).alias("equivalent_diameter_um"), (F.col("n") / box).alias("extent"), (F.sqrt(F.greatest(20 * big, F.lit(0.0))) * v).alias("axis_major_length_um"), (F.sqrt(F.greatest(20 * small, F.lit(0.0))) * v).alias("axis_minor_length_um"), F.when(F.col("volume_um3") >= size_threshold_um3, "large").otherwise("small").alias("size_class"), *(s.alias(f"seed_{n}_voxel") for s, n in zip(seed, AXES, strict=True)))
 
 
-def hull_shapes(components: DataFrame, *, voxel_um: float) -> DataFrame:
-    """component, feret_diameter_max_um, solidity. A component is one group; only the ends of its lines along x reach the task."""
-    lines = components.groupBy("component", "z", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-
-    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = np.unique(np.concatenate([pdf[["z", "y", k]].to_numpy(int) for k in ("lo", "hi")]), axis=0)
-        feret, solid = meshes.hull_descriptors(ends, int(pdf["n"].sum()))
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "feret_diameter_max_um": [feret * voxel_um], "solidity": [solid]})
-
-    return lines.groupBy("component").applyInPandas(describe, "component long, feret_diameter_max_um double, solidity double")
-
-
 def nucleus_voxels(nuclei: DataFrame, *, voxel_um: float, shape: tuple[int, int, int]) -> DataFrame:
     return nuclei.withColumns({n: voxel_index(F.col(f"{n}_um"), voxel_um, s) for n, s in zip(AXES, shape, strict=True)})
 

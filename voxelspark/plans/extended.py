@@ -50,6 +50,14 @@ def growing_surface(spark, sf):
     return rounded(Q.surface_area(_towers(spark, sf), ["component"], voxel_um=V), 4)
 
 
+@query
+def cloud_hull(spark, sf):
+    """Feret diameter and solidity of the cloud of voxels that hold the nuclei of each nation's customers."""
+    at = Q.nucleus_voxels(fx.nuclei(spark, sf), voxel_um=V, shape=SHAPE).select((F.col("instance_id") - 1).alias("c_custkey"), *AXES)
+    cloud = at.join(fx.table(spark, sf, "customer"), "c_custkey").select(F.col("c_nationkey").cast("long").alias("component"), *AXES).distinct()
+    return rounded(Q.hull_shapes(cloud, voxel_um=V))
+
+
 @query
 def class_surface(spark, sf):
     return rounded(Q.surface_area(fx.voxels(spark, sf).where("label <> 0"), ["label"], voxel_um=V), 4)
@@ -167,6 +175,45 @@ def _surface(cells: str, by: str) -> str:
     return f"SELECT {by}, sum(coalesce(area, 0)) * 64 AS surface_area_um2 FROM (SELECT {by}, bit_or(bit) AS mask FROM {cells}, (VALUES {corners}) c(bit, cz, cy, cx) GROUP BY {by}, z - cz, y - cy, x - cx) LEFT JOIN areas USING (mask) GROUP BY {by}"
 
 
+def _cloud_hull() -> str:
+    """All planes through three voxels of a cloud, then all directions of the sum of its hull and an octahedron; no hull algorithm.
+
+    The middles around the voxels are voxels plus half steps, so the hull of all middles is that sum: its sides stand on the
+    sides of either and on pairs of edges of both. A voxel is in the hull image if it keeps to all of them.
+    """
+    lattice = lambda name, hi: f"(SELECT unnest(range(0, {hi})) AS {name})"
+    cross = lambda a, b: [f"{a}{i} * {b}{j} - {a}{j} * {b}{i}" for i, j in (("y", "x"), ("x", "z"), ("z", "y"))]
+    side, edge = cross("u", "v"), cross("u", "e")
+    return f"""
+WITH fx_nuclei AS ({FX["fx_nuclei"]}),
+cloud AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS component, section_index AS z, CAST(least(greatest(floor(y_um / 8), 0), 39) AS BIGINT) AS y, CAST(least(greatest(floor(x_um / 8), 0), 39) AS BIGINT) AS x FROM fx_nuclei JOIN customer ON c_custkey = instance_id - 1),
+lines AS (SELECT component, z, y, min(x) AS lo, max(x) AS hi FROM cloud GROUP BY 1, 2, 3),
+ends AS (SELECT component, z, y, lo AS x FROM lines UNION SELECT component, z, y, hi FROM lines),
+inner_ AS (SELECT DISTINCT m.* FROM ends a JOIN ends b ON a.component = b.component AND (a.z, a.y, a.x) < (b.z, b.y, b.x) JOIN ends m ON m.component = a.component AND 2 * m.z = a.z + b.z AND 2 * m.y = a.y + b.y AND 2 * m.x = a.x + b.x),
+pts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY component ORDER BY z, y, x) AS k FROM (SELECT * FROM ends EXCEPT SELECT * FROM inner_)),
+pairs AS (SELECT a.component, a.k AS i, b.k AS j, a.z, a.y, a.x, b.z - a.z AS uz, b.y - a.y AS uy, b.x - a.x AS ux FROM pts a JOIN pts b ON a.component = b.component AND a.k < b.k),
+planes AS (SELECT DISTINCT component, nz // g AS nz, ny // g AS ny, nx // g AS nx FROM (SELECT *, gcd(gcd(nz, ny), nx) AS g FROM (
+  SELECT p.component, {side[0]} AS nz, {side[1]} AS ny, {side[2]} AS nx FROM pairs p JOIN (SELECT component, i, j AS k, uz AS vz, uy AS vy, ux AS vx FROM pairs) q ON p.component = q.component AND p.i = q.i AND p.j < q.k
+  UNION ALL SELECT component, {edge[0]}, {edge[1]}, {edge[2]} FROM pairs, (VALUES (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1)) o(ez, ey, ex)
+  UNION ALL SELECT component, a, b, c FROM (SELECT DISTINCT component FROM pts), (VALUES (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1)) o(a, b, c))) WHERE g <> 0),
+twice AS MATERIALIZED (SELECT * FROM planes UNION SELECT component, -nz, -ny, -nx FROM planes),
+top AS MATERIALIZED (SELECT b.component, nz, ny, nx, max(nz * z + ny * y + nx * x) AS h FROM twice b JOIN pts USING (component) GROUP BY ALL),
+-- a direction is a side only if three points, or an edge, or one point with a side of the octahedron, reach it: the others are not needed
+reached AS (SELECT t.component, t.nz, t.ny, t.nx, any_value(h) AS h, count(*) AS n FROM top t JOIN pts p ON p.component = t.component AND t.nz * p.z + t.ny * p.y + t.nx * p.x = t.h GROUP BY ALL),
+sides AS MATERIALIZED (SELECT component, nz, ny, nx, 2 * h + greatest(abs(nz), abs(ny), abs(nx)) AS most FROM reached WHERE n >= 3 OR (abs(nz) = abs(ny) AND abs(ny) = abs(nx)) OR (n = 2 AND (abs(nz) = abs(ny) AND abs(nz) >= abs(nx) OR abs(nz) = abs(nx) AND abs(nz) >= abs(ny) OR abs(ny) = abs(nx) AND abs(ny) >= abs(nz)))),
+box AS (SELECT component, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM pts GROUP BY 1),
+cells AS (SELECT component, z, y, x FROM box, {lattice("z", 7)}, {lattice("y", 40)}, {lattice("x", 40)} WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1),
+image AS MATERIALIZED (SELECT * FROM cells c ANTI JOIN sides s ON s.component = c.component AND 2 * (s.nz * c.z + s.ny * c.y + s.nx * c.x) > s.most),
+rows_ AS (SELECT component, z, y, min(x) AS lo, max(x) AS hi FROM image GROUP BY 1, 2, 3),
+rims AS (SELECT component, z, y, lo AS x FROM rows_ UNION SELECT component, z, y, hi FROM rows_),
+rim AS (SELECT * FROM rims r WHERE NOT EXISTS (SELECT 1 FROM rims a WHERE a.component = r.component AND a.x = r.x AND a.z = r.z AND a.y = r.y - 1) OR NOT EXISTS (SELECT 1 FROM rims a WHERE a.component = r.component AND a.x = r.x AND a.z = r.z AND a.y = r.y + 1)),
+mids AS MATERIALIZED (SELECT component, 2 * z + dz AS z, 2 * y + dy AS y, 2 * x + dx AS x FROM rim, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) d(dz, dy, dx)),
+far AS (SELECT a.component, max((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM mids a JOIN mids b ON a.component = b.component AND (a.z, a.y, a.x) < (b.z, b.y, b.x) GROUP BY 1)
+SELECT component, round(sqrt(d) * 4, 6) AS feret_diameter_max_um, round(n * 1.0::DOUBLE / m, 6) AS solidity
+FROM far JOIN (SELECT component, count(*) AS n FROM cloud GROUP BY 1) USING (component) JOIN (SELECT component, count(*) AS m FROM image GROUP BY 1) USING (component)
+"""
+
+
 def extended_sql() -> dict[str, str]:
     known = oracle_sql()
     grown = f"WITH RECURSIVE {_SEEDS}"
@@ -183,6 +230,7 @@ def extended_sql() -> dict[str, str]:
         "growing_lesions": f"{grown}, b AS (SELECT component, CAST(any_value(label) AS INT) AS class_index, CAST(sum(h * w) AS BIGINT) AS n_voxels, sum(z * h * w) * 8.0 / sum(h * w) AS cz, sum({y} * h * w) * 8.0 / sum(h * w) AS cy, sum({x} * h * w) * 8.0 / sum(h * w) AS cx, min(z) * 8.0 AS z0, min(ty * 3) * 8.0 AS y0, min(tx * 3) * 8.0 AS x0, (max(z) + 1) * 8.0 AS z1, max(ty * 3 + h) * 8.0 AS y1, max(tx * 3 + w) * 8.0 AS x1 FROM bodies GROUP BY 1) SELECT row_number() OVER (ORDER BY class_index, component) AS instance_id, component, class_index, n_voxels, CAST(n_voxels * 512.0 AS DOUBLE) AS volume_um3, CASE WHEN n_voxels * 512 >= 20000 THEN 'large' ELSE 'small' END AS size_class, round(CAST(cz AS DOUBLE), 6) AS centroid_z_um, round(CAST(cy AS DOUBLE), 6) AS centroid_y_um, round(CAST(cx AS DOUBLE), 6) AS centroid_x_um, CAST(z0 AS DOUBLE) AS bbox_min_z_um, CAST(y0 AS DOUBLE) AS bbox_min_y_um, CAST(x0 AS DOUBLE) AS bbox_min_x_um, CAST(z1 AS DOUBLE) AS bbox_max_z_um, CAST(y1 AS DOUBLE) AS bbox_max_y_um, CAST(x1 AS DOUBLE) AS bbox_max_x_um FROM b WHERE n_voxels * 512 >= 6000",
         "growing_euler": f"{grown} SELECT component, CAST(sum(CASE WHEN (abs(z) % 2 + abs(y) % 2 + abs(x) % 2) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS euler_number FROM (SELECT DISTINCT component, 2 * z + i AS z, 2 * y + j AS y, 2 * x + k AS x FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) GROUP BY 1",
         "growing_surface": f"{grown}, {_AREAS} SELECT component, round(surface_area_um2, 4) AS surface_area_um2 FROM ({_surface('cells', 'component')})",
+        "cloud_hull": _cloud_hull(),
         "class_surface": f"WITH v AS ({FX['fx_voxels']}), {_AREAS} SELECT label, round(surface_area_um2, 4) AS surface_area_um2 FROM ({_surface('(SELECT * FROM v WHERE label <> 0)', 'label')})",
         "lesion_density_full": f"SELECT * FROM ({known['lesion_cell_density']}) d JOIN (SELECT id AS instance_id, * EXCLUDE (id) FROM ({known['lesion_composition']})) c USING (instance_id)",
         "sphere_density_full": f"SELECT * FROM ({known['sphere_density'].replace('<= 1024', '<= 576').replace('32 / 1000.0', '24 / 1000.0')}) d JOIN ({known['local_composition']}) c USING (id)",
