@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from voxelspark.config import check_voxel
 from voxelspark.functions.geometry import AXES, decode, eigenvalues, entropy, nearest_voxel, share, sphere, voxel_index
 from voxelspark.operators import meshes
+from voxelspark.operators.balls import ball_composition as local_composition
+from voxelspark.operators.balls import ball_counts
 from voxelspark.operators.hulls import hull_shapes
-from voxelspark.operators.spatial import distance_join, distance_transform, nearest_by_class, smooth_grid
+from voxelspark.operators.spatial import distance_transform, nearest_by_class, smooth_grid
+from voxelspark.sources.checkpoints import stored
 
 MM3 = 1e9
 
@@ -103,15 +106,6 @@ def stereological(diameter: Column, thickness_um: float, interval: int = 1) -> C
     return F.lit(float(thickness_um * interval)) / (F.lit(float(thickness_um)) + diameter)
 
 
-def local_composition(centres: DataFrame, voxels: DataFrame, classes: list[int], *, voxel_um: float, radius_um: float, id_col: str = "id") -> DataFrame:
-    """id, composition_frac_{c}: shares of the tissue voxels within the sphere around the nearest voxel; 0 without any."""
-    at = centres.select(F.col(id_col), *(nearest_voxel(F.col(f"{n}_um"), voxel_um).alias(n) for n in AXES))
-    around = at.join(F.broadcast(sphere(centres.sparkSession, radius_um / voxel_um)), F.lit(True)).select(id_col, *((F.col(n) + F.col(f"d{n}")).alias(n) for n in AXES))
-    tissue = voxels.where(F.col("label").isin(classes)).select(*AXES, "label")
-    counts = around.join(tissue, list(AXES), "left").groupBy(id_col).agg(F.count("label").alias("t"), *(F.count_if(F.col("label") == c).alias(f"n{c}") for c in classes))
-    return counts.select(id_col, *(share(F.col(f"n{c}"), F.col("t"), 0.0).alias(f"composition_frac_{c}") for c in classes))
-
-
 def lesion_cell_density(found: DataFrame, assigned: DataFrame, *, thickness_um: float, interval: int = 1, voxels: DataFrame | None = None, classes: list[int] | None = None, voxel_um: float | None = None, composition_um: float = 150.0) -> DataFrame:
     """found (lesions) with n_nuclei, the stereologically corrected number, and both per mm3. assigned: nuclei with lesion_id.
 
@@ -147,7 +141,7 @@ def sphere_density(centres: DataFrame, nuclei: DataFrame, *, radius_um: float, v
     With voxels, classes and their scale also sphere_volume_mm3 and composition_frac_{c}: the tissue in the same sphere.
     """
     p = centres.select("id", *(F.col(f"{n}_um").alias(n) for n in AXES))
-    of = distance_join(p, _points(nuclei), radius_um).groupBy(F.col("p.id").alias("id")).agg(F.count("*").alias("n_nuclei"))
+    of = ball_counts(p, _points(nuclei, F.lit(0).alias("cls")), (radius_um,), []).select("id", F.col("counts")[0].alias("n_nuclei"))
     out = centres.select("id").join(of, "id", "left").na.fill({"n_nuclei": 0}).withColumn("density_cells_per_mm3", F.col("n_nuclei") / sphere_mm3(radius_um))
     if voxels is None:
         return out
@@ -157,16 +151,12 @@ def sphere_density(centres: DataFrame, nuclei: DataFrame, *, radius_um: float, v
 def neighborhood_features(classed: DataFrame, classes: list[int], *, radii_um: tuple[float, ...] = (50, 100, 200)) -> DataFrame:
     """Per nucleus and radius: neighbours (itself not counted), density, shares by class (itself included), entropy.
 
-    One join at the largest radius serves all radii, and is summed up at once.
+    All radii are counted at once, by blocks (see `balls`).
     """
-    p = _points(classed)
-    q = _points(classed, F.col("class_index").alias("cls"))
-    counts = []
-    for r in radii_um:
-        near = F.col("d2") <= float(r) ** 2
-        counts.append(F.count_if(near).alias(f"all_{int(r)}"))
-        counts += [F.count_if(near & (F.col("q.cls") == c)).alias(f"c{c}_{int(r)}") for c in classes]
-    of = distance_join(p, q, float(max(radii_um))).groupBy(F.col("p.id").alias("instance_id")).agg(*counts)
+    q = stored(_points(classed, F.col("class_index").alias("cls")))
+    counts = ball_counts(q, q, radii_um, classes)
+    names = [f"{c}_{int(r)}" for r in radii_um for c in ("all", *(f"c{c}" for c in classes))]
+    of = counts.select(F.col("id").alias("instance_id"), *(F.col("counts")[i].alias(n) for i, n in enumerate(names)))
     cols = []
     for r in radii_um:
         k = int(r)
