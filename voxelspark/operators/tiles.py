@@ -200,7 +200,23 @@ def affine_fit(pairs: DataFrame, by: str = "section_index") -> DataFrame:
 
 def instance_features(pixels: DataFrame, *, mpp: float, by: tuple[str, ...] = ("section_index", "label")) -> DataFrame:
     """by, centroid_y, centroid_x, area_um2, eccentricity, orientation (0 for round ones) of labelled pixels (label 0 left out)."""
-    of = pixels.where("label <> 0").groupBy(*by).agg(F.avg("y").alias("centroid_y"), F.avg("x").alias("centroid_x"), (F.count("*") * mpp**2).alias("area_um2"), (F.covar_pop("y", "y") + 1 / 12).alias("a"), (F.covar_pop("x", "x") + 1 / 12).alias("c"), F.covar_pop("y", "x").alias("b"))
+    return _ellipses(pixels.where("label <> 0").groupBy(*by).agg(F.avg("y").alias("centroid_y"), F.avg("x").alias("centroid_x"), (F.count("*") * mpp**2).alias("area_um2"), (F.covar_pop("y", "y") + 1 / 12).alias("a"), (F.covar_pop("x", "x") + 1 / 12).alias("c"), F.covar_pop("y", "x").alias("b")), by)
+
+
+def run_features(runs: DataFrame, *, mpp: float, by: list[str]) -> DataFrame:
+    """What instance_features has, from runs (by, y, x0, x1, both ends included), from whole sums of their powers."""
+    n, exact = F.col("x1") - F.col("x0") + 1, lambda e: e.cast("decimal(38,0)")
+    squares = lambda x: x * (x + 1) * (2 * x + 1)  # noqa: E731  six times the sum of squares up to x
+    sums = {"n": n, "sy": n * F.col("y"), "sx2": n * (F.col("x0") + F.col("x1")), "syy": n * F.col("y") * F.col("y"), "sxx6": squares(F.col("x1")) - squares(F.col("x0") - 1), "sxy2": n * (F.col("x0") + F.col("x1")) * F.col("y")}
+    of = runs.groupBy(*by).agg(*(F.sum(exact(e)).cast("decimal(30,0)").alias(k) for k, e in sums.items()))
+    count = F.col("n").cast("double")
+    covariance = lambda e, part: F.expr(e).cast("double") / (part * count * count)
+    moments = {"a": covariance("n * syy - sy * sy", 1) + 1 / 12, "c": covariance("2 * n * sxx6 - 3 * sx2 * sx2", 12) + 1 / 12, "b": covariance("n * sxy2 - sy * sx2", 2)}
+    return _ellipses(of.select(*by, (F.col("sy").cast("double") / count).alias("centroid_y"), (F.col("sx2").cast("double") / 2 / count).alias("centroid_x"), (count * mpp**2).alias("area_um2"), *(v.alias(k) for k, v in moments.items())), by)
+
+
+def _ellipses(of: DataFrame, by: tuple[str, ...] | list[str]) -> DataFrame:
+    """The ellipses that have the moments a (y with y), b (y with x), c (x with x)."""
     root = F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, F.lit(2)) + F.col("b") * F.col("b"))
     mid = (F.col("a") + F.col("c")) / 2
     ecc = F.when(mid + root > 0, F.sqrt(F.greatest(1 - (mid - root) / (mid + root), F.lit(0.0)))).otherwise(0.0)
@@ -212,8 +228,16 @@ def instance_shapes(pixels: DataFrame, *, mpp: float, by: tuple[str, ...] = ("se
 
     The hull is that of the middles between pixels and their neighbours; solidity is the share of the pixels in it that are labelled.
     """
-    kinds = dict(pixels.dtypes)
-    rows = pixels.where("label <> 0").groupBy(*by, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    return _shapes(pixels.where("label <> 0").groupBy(*by, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")), mpp, by)
+
+
+def run_shapes(runs: DataFrame, *, mpp: float, by: tuple[str, ...]) -> DataFrame:
+    """What instance_shapes has, from runs (by, y, x0, x1, both ends included)."""
+    return _shapes(runs.groupBy(*by, "y").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n")), mpp, by)
+
+
+def _shapes(rows: DataFrame, mpp: float, by: tuple[str, ...]) -> DataFrame:
+    kinds = dict(rows.dtypes)
 
     def describe(pdf: pd.DataFrame) -> pd.DataFrame:
         y, lo, hi = (pdf[c].to_numpy(float) for c in ("y", "lo", "hi"))

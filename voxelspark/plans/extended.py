@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelspark.config import class_table
 from voxelspark.functions.geometry import AXES
-from voxelspark.operators import meshes, tiles, volume
+from voxelspark.operators import meshes, scoring, tiles, volume
 from voxelspark.operators import quantify as Q
 from voxelspark.operators.components import connected_components
 from voxelspark.plans.oracles import FX, oracle_sql, sql
@@ -137,6 +138,53 @@ def tissue_tiles(spark, sf):
     return tiles.tissue_tiles(grid, cells.where("y % 7 < 4")).select("section_index", "row", "col", F.round("share", 9).alias("share"), "wanted")
 
 
+TILE, LAP = 32, 8
+
+
+def _field(spark, sf):
+    """Blocks of the towers' pixels on white, the pixels themselves, and the sizes of their sections."""
+    at = fx.towers(spark, sf)
+    pixels = stored(at.select(F.col("z").alias("section_index"), "y", "x", (F.col("label") * 60).alias("r"), (F.col("x") % 251).alias("g"), (F.col("y") % 241).alias("b")))
+    size = pixels.agg((F.max("y") + 1).alias("height"), F.lit(192).alias("width"))
+    return stored(scoring.pixel_blocks(pixels)), pixels, fx.sections(spark, sf).select("section_index").crossJoin(F.broadcast(size))  # one row
+
+
+def _by_sums(images):
+    """Five classes at half the tile's scale: the class of a cell of 2 x 2 pixels follows from the sum of its reds."""
+    red = images[..., 0].astype(np.int64)
+    cells = red.reshape(len(red), TILE // 2, 2, TILE // 2, 2).sum((2, 4)) // 30 % 5
+    return (cells[:, None] == np.arange(5)[None, :, None, None]).astype(float)
+
+
+def _by_red(image):
+    """Two instances in a tile at most: pixels of the classes 1 and 2, and of 3 and 4."""
+    red = image[..., 0].astype(int)
+    return np.where(red == 255, 0, (red + 60) // 120)
+
+
+@query
+def predict_section(spark, sf):
+    """Labels of whole sections by overlapping tiles of a model that adds up pixels."""
+    blocks, pixels, sizes = _field(spark, sf)
+    return scoring.predict_section(blocks, pixels, sizes, _by_sums, 5, tile=TILE, overlap=LAP, logits=False)
+
+
+@query
+def detect_section(spark, sf):
+    """Instances of whole sections by tiles with context, each once, numbered in the order of tiles."""
+    blocks, _, sizes = _field(spark, sf)
+    found, _ = scoring.detect_section(blocks, sizes, _by_red, mpp=0.5, tile=TILE, overlap=LAP)
+    return rounded(found.drop("feret_diameter_um", "solidity", "orientation"), 6)
+
+
+@query
+def detect_section_mask(spark, sf):
+    """How many pixels of each instance lie within the core of its tile."""
+    blocks, _, sizes = _field(spark, sf)
+    _, mask = scoring.detect_section(blocks, sizes, _by_red, mpp=0.5, tile=TILE, overlap=LAP)
+    return mask.groupBy("section_index", "instance_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_pixels"), F.min("y").cast("long").alias("first_y"), F.max("x1").cast("long").alias("last_x"))
+
+
 @query
 def downsampled(spark, sf):
     """Pixels of 2 um at 5: block means of two, then what is left of the factor."""
@@ -214,6 +262,35 @@ FROM far JOIN (SELECT component, count(*) AS n FROM cloud GROUP BY 1) USING (com
 """
 
 
+def _tiles(stride: int, before: int, after: int) -> str:
+    """Tiles of the field: t(s, row, col, y0, x0, y1, x1)."""
+    return f"size AS (SELECT max(y) + 1 AS h FROM cells), t AS (SELECT s, row, col, greatest(row * {stride} - {before}, 0) AS y0, greatest(col * {stride} - {before}, 0) AS x0, least(row * {stride} + {after}, h) AS y1, least(col * {stride} + {after}, 192) AS x1 FROM size, (SELECT DISTINCT z AS s FROM rects), (SELECT unnest(range(0, (SELECT h FROM size) // {stride} + 1)) AS row), (SELECT unnest(range(0, {-(-192 // stride)})) AS col) WHERE row * {stride} < h)"
+
+
+def _predict() -> str:
+    """The tiles pixel by pixel: sums of 2 x 2 cells, then each pixel between the middles of four cells."""
+    half = TILE // 2
+    side = lambda a: f"(SELECT i AS {a}, least(greatest((i + 0.5) / 2 - 0.5, 0), {half - 1}) AS place FROM (SELECT unnest(range(0, {TILE})) AS i))"
+    weights = f"(SELECT {{a}}, CAST(floor(place) AS INT) AS c{{a}}, 1 - (place - floor(place)) AS w{{a}} FROM {{s}} UNION ALL SELECT {{a}}, least(CAST(floor(place) AS INT) + 1, {half - 1}), place - floor(place) FROM {{s}})"
+    wy, wx = (weights.format(a=a, s=side(a)) for a in "yx")
+    return f"""WITH RECURSIVE {_SEEDS}, {_tiles(TILE - LAP, 0, TILE)},
+share AS MATERIALIZED (SELECT t.*, count(c.y) * 1.0::DOUBLE / ((y1 - y0) * (x1 - x0)) >= 0.1::DOUBLE AS wanted FROM t LEFT JOIN cells c ON c.z = s AND c.y >= y0 AND c.y < y1 AND c.x >= x0 AND c.x < x1 GROUP BY s, row, col, y0, x0, y1, x1),
+pooled AS MATERIALIZED (SELECT s, row, col, i AS cy, j AS cx, CAST((4 * 255 + coalesce(d, 0)) // 30 % 5 AS INT) AS class FROM share CROSS JOIN (SELECT unnest(range(0, {half})) AS i) CROSS JOIN (SELECT unnest(range(0, {half})) AS j)
+  LEFT JOIN (SELECT s, row, col, (y - y0) // 2 AS i, (x - x0) // 2 AS j, sum(label * 60 - 255) AS d FROM share JOIN cells c ON c.z = s AND y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY 1, 2, 3, 4, 5) USING (s, row, col, i, j) WHERE wanted),
+said AS (SELECT p.s, t.y0 + y.y AS y, t.x0 + x.x AS x, class, wy * wx AS p FROM pooled p JOIN t USING (s, row, col) JOIN {wy} y USING (cy) JOIN {wx} x USING (cx) WHERE t.y0 + y.y < t.y1 AND t.x0 + x.x < t.x1 AND wy * wx > 0
+  UNION ALL SELECT z, y, x, 0, 1 FROM share JOIN cells c ON NOT wanted AND c.z = s AND c.y >= y0 AND c.y < y1 AND c.x >= x0 AND c.x < x1),
+best AS (SELECT s, y, x, arg_max(class, (p, -class)) AS label FROM (SELECT s, y, x, class, sum(p) AS p FROM said GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT CAST(s AS INT) AS section_index, CAST(b.y AS INT) AS y, CAST(b.x AS INT) AS x, CAST(b.label AS INT) AS label FROM best b JOIN cells c ON c.z = s AND c.y = b.y AND c.x = b.x WHERE b.label <> 0"""
+
+
+def _detect(select: str) -> str:
+    return f"""WITH RECURSIVE {_SEEDS}, {_tiles(TILE, LAP, TILE + LAP)},
+pixels AS MATERIALIZED (SELECT s, row, col, y, x, (label * 60 + 60) // 120 AS inst FROM t JOIN cells c ON c.z = s AND y >= y0 AND y < y1 AND x >= x0 AND x < x1),
+m AS (SELECT s, row, col, inst, avg(y) AS cy, avg(x) AS cx, count(*) AS n, var_pop(y) + 1.0::DOUBLE / 12 AS a, var_pop(x) + 1.0::DOUBLE / 12 AS c, covar_pop(y, x) AS b FROM pixels GROUP BY 1, 2, 3, 4),
+kept AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY row, col, inst) AS instance_id FROM m WHERE cy >= row * {TILE} AND cy < (row + 1) * {TILE} AND cx >= col * {TILE} AND cx < (col + 1) * {TILE})
+{select}"""
+
+
 def extended_sql() -> dict[str, str]:
     known = oracle_sql()
     grown = f"WITH RECURSIVE {_SEEDS}"
@@ -231,6 +308,9 @@ def extended_sql() -> dict[str, str]:
         "growing_euler": f"{grown} SELECT component, CAST(sum(CASE WHEN (abs(z) % 2 + abs(y) % 2 + abs(x) % 2) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS euler_number FROM (SELECT DISTINCT component, 2 * z + i AS z, 2 * y + j AS y, 2 * x + k AS x FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) GROUP BY 1",
         "growing_surface": f"{grown}, {_AREAS} SELECT component, round(surface_area_um2, 4) AS surface_area_um2 FROM ({_surface('cells', 'component')})",
         "cloud_hull": _cloud_hull(),
+        "predict_section": _predict(),
+        "detect_section": _detect("SELECT CAST(s AS INT) AS section_index, instance_id, round(cy, 6) AS centroid_y, round(cx, 6) AS centroid_x, round(n * 0.25::DOUBLE, 6) AS area_um2, round(sqrt(greatest(1 - ((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b)) / ((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)), 0)), 6) AS eccentricity FROM kept"),
+        "detect_section_mask": _detect(f"SELECT CAST(s AS INT) AS section_index, instance_id, count(*) AS n_pixels, min(y) AS first_y, max(x) AS last_x FROM kept JOIN pixels USING (s, row, col, inst) WHERE y >= row * {TILE} AND y < (row + 1) * {TILE} AND x >= col * {TILE} AND x < (col + 1) * {TILE} GROUP BY 1, 2"),
         "class_surface": f"WITH v AS ({FX['fx_voxels']}), {_AREAS} SELECT label, round(surface_area_um2, 4) AS surface_area_um2 FROM ({_surface('(SELECT * FROM v WHERE label <> 0)', 'label')})",
         "lesion_density_full": f"SELECT * FROM ({known['lesion_cell_density']}) d JOIN (SELECT id AS instance_id, * EXCLUDE (id) FROM ({known['lesion_composition']})) c USING (instance_id)",
         "sphere_density_full": f"SELECT * FROM ({known['sphere_density'].replace('<= 1024', '<= 576').replace('32 / 1000.0', '24 / 1000.0')}) d JOIN ({known['local_composition']}) c USING (id)",
