@@ -19,6 +19,7 @@ from voxelspark.operators import meshes
 from voxelspark.operators.balls import ball_composition as local_composition
 from voxelspark.operators.balls import ball_counts
 from voxelspark.operators.hulls import hull_shapes
+from voxelspark.operators.ranks import at_ranks, percentiles
 from voxelspark.operators.spatial import distance_transform, nearest_by_class, smooth_grid
 from voxelspark.sources.checkpoints import stored
 
@@ -166,10 +167,10 @@ def neighborhood_features(classed: DataFrame, classes: list[int], *, radii_um: t
     return of.select("instance_id", *cols)
 
 
-def nearest_class_distances(classed: DataFrame, classes: list[int], *, radius_um: float = 50.0) -> DataFrame:
+def nearest_class_distances(classed: DataFrame, classes: list[int]) -> DataFrame:
     """instance_id, nn_dist_um_class_{c}: to the nearest other nucleus of each class, null if there is none."""
     pts = _points(classed, F.col("class_index").alias("label"))
-    found = nearest_by_class(pts, classes, radius=radius_um)
+    found = nearest_by_class(pts, classes)
     of = found.groupBy("id").agg(*(F.sqrt(F.min(F.when(F.col("cls") == c, F.col("d2")))).alias(f"nn_dist_um_class_{c}") for c in classes))
     return classed.select("instance_id").join(of.withColumnRenamed("id", "instance_id"), "instance_id", "left")
 
@@ -258,27 +259,34 @@ def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataF
     return one.groupBy("g").cogroup(valued.groupBy("g")).applyInPandas(ways, "threshold double, decorrelation_um double, lesion_id long, n_surface_vertices long, source_vertex_index long, metric_at_source double")
 
 
-def profile_lesions(found: DataFrame, percentiles: tuple[float, ...] = (50, 90, 99)) -> DataFrame:
+def profile_lesions(found: DataFrame, wanted: tuple[float, ...] = (50, 90, 99)) -> DataFrame:
     """percentile, instance_id: the lesions at these ranks of volume, each once.
 
-    Volumes are counted first; only the lesions of a wanted volume are ranked, so nothing is sorted in one task but volumes.
+    Ranks are closed in on by counts (see `ranks`); nothing is sorted.
     """
-    spark = found.sparkSession
     n = found.count()
-    ranks = {min(int(n * p / 100), n - 1): float(p) for p in reversed(percentiles)} if n else {}
-    picks = spark.createDataFrame([(r, p) for r, p in ranks.items()], "rank long, percentile double")  # one for each percentile
-    counts = found.groupBy("volume_um3").agg(F.count("*").alias("n"))
-    last = counts.withColumn("last", F.sum("n").over(Window.orderBy("volume_um3")))
-    at = last.join(F.broadcast(picks), (F.col("rank") >= F.col("last") - F.col("n")) & (F.col("rank") < F.col("last"))).select("volume_um3", "percentile", (F.col("rank") - F.col("last") + F.col("n")).alias("r"))
-    ranked = found.join(F.broadcast(at.select("volume_um3").distinct()), "volume_um3").select("instance_id", "volume_um3")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("volume_um3").orderBy("instance_id")) - 1)
-    return ranked.join(F.broadcast(at), ["volume_um3", "r"]).select("percentile", "instance_id", "volume_um3")
+    # several percentiles at one rank count once, by the least of them
+    ranks = {min(int(n * p / 100), n - 1): float(p) for p in reversed(wanted)} if n else {}
+    if not ranks:
+        return found.select(F.lit(0.0).alias("percentile"), "instance_id", "volume_um3").limit(0)
+    at = at_ranks(found, [], "volume_um3", {str(p): F.lit(r) for r, p in ranks.items()})
+    ties = at.select(F.col("value").alias("volume_um3"), F.col("name").alias("percentile"), (F.col("rank") - F.col("below")).alias("r"))
+    # of lesions alike in volume the r-th by id
+    rows = found.select("instance_id", "volume_um3").join(F.broadcast(ties), "volume_um3")
+    picked = at_ranks(rows, ["percentile", "volume_um3", "r"], "instance_id", {"id": F.col("r")})
+    return picked.select(F.col("percentile").cast("double").alias("percentile"), F.col("value").alias("instance_id"), "volume_um3")
 
 
 def lesion_summary(found: DataFrame) -> DataFrame:
     """Per class: lesions, large ones, median, largest and total volume, and the median corrected density if there is one."""
-    more = [F.expr("percentile(density_corrected_cells_per_mm3, 0.5)").alias("median_density")] if "density_corrected_cells_per_mm3" in found.columns else []
-    return found.groupBy("class_index", "class_name").agg(F.count("*").alias("n_lesions"), F.count_if(F.col("size_class") == "large").alias("n_large"), F.expr("percentile(volume_um3, 0.5)").alias("median_um3"), F.max("volume_um3").alias("max_um3"), F.sum("volume_um3").alias("total_um3"), *more)
+    by = ["class_index", "class_name"]
+    out = found.groupBy(*by).agg(F.count("*").alias("n_lesions"), F.count_if(F.col("size_class") == "large").alias("n_large"), F.max("volume_um3").alias("max_um3"), F.sum("volume_um3").alias("total_um3"))
+    out = out.join(percentiles(found, by, "volume_um3", {"median_um3": 0.5}), by)
+    columns = [*by, "n_lesions", "n_large", "median_um3", "max_um3", "total_um3"]
+    if "density_corrected_cells_per_mm3" in found.columns:
+        out = out.join(percentiles(found, by, "density_corrected_cells_per_mm3", {"median_density": 0.5}), by)
+        columns.append("median_density")
+    return out.select(*columns)
 
 
 def surface_summary(profiles: DataFrame, thresholds: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
@@ -288,5 +296,6 @@ def surface_summary(profiles: DataFrame, thresholds: tuple[float, ...] = (0.25,
 
 def neighborhood_summary(features: DataFrame, classed: DataFrame, radius: int) -> DataFrame:
     """Per class of the nucleus: median neighbours and mean entropy."""
-    own = features.join(classed.select("instance_id", "class_index"), "instance_id")
-    return own.groupBy("class_index").agg(F.count("*").alias("n_nuclei"), F.expr(f"percentile(n_neighbors_r{radius}, 0.5)").alias("median_neighbors"), F.avg(f"shannon_entropy_r{radius}").alias("mean_entropy"))
+    own = stored(features.select("instance_id", f"n_neighbors_r{radius}", f"shannon_entropy_r{radius}").join(classed.select("instance_id", "class_index"), "instance_id"))
+    out = own.groupBy("class_index").agg(F.count("*").alias("n_nuclei"), F.avg(f"shannon_entropy_r{radius}").alias("mean_entropy"))
+    return out.join(percentiles(own, ["class_index"], f"n_neighbors_r{radius}", {"median_neighbors": 0.5}), "class_index").select("class_index", "n_nuclei", "median_neighbors", "mean_entropy")

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.functions.geometry import AXES, distance2
-from voxelspark.sources.checkpoints import stored
+from voxelspark.sources.checkpoints import drop_stored, stored
 
 _AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
 #: A squared distance beyond all real ones, and the width of a strip of lines.
 _FAR, _STRIP = 1 << 60, 64
+#: Points of a cell, halvings at most (points at one place stay together), and points of a chunk of such a place.
+_CELL, _DEPTH, _CHUNK = 256, 18, 2048
 
 
 def _bucketed(df: DataFrame, width: float) -> DataFrame:
@@ -35,29 +39,92 @@ def distance_join(probes: DataFrame, points: DataFrame, radius: float) -> DataFr
     return p.join(q, [f"b{n}" for n in AXES]).select("p", "q", distance2("p", "q").alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def nearest_by_class(points: DataFrame, classes: list[int], *, radius: float, id_col: str = "id", class_col: str = "label") -> DataFrame:
-    """id, class, d2: the nearest other point of each class, by joins with twice the radius for those still without one.
+def nearest_by_class(points: DataFrame, classes: list[int], *, id_col: str = "id", class_col: str = "label") -> DataFrame:
+    """id, cls, d2: the squared distance of each point to the nearest other point of each class; no row where there is none.
 
-    Ends when all are found or the radius covers the extent of the points; a class without other points gives no row.
+    Points lie in a cube that is halved level by level, until no cell has more than `_CELL` of them. From the top, cells and the
+    cells of a class are split together: for a cell, the farthest that any of its points can be from a whole cell of the class bounds its
+    nearest neighbours, and cells beyond that bound go. A class with one far nucleus is one cell at every level, whatever
+    lies between. Points only meet those of the cells that are left, in numpy, chunk by chunk.
     """
-    own = points.select(F.col(id_col).alias("id"), *AXES, F.col(class_col).alias("cls"))
+    own = stored(points.select(F.col(id_col).cast("long").alias("id"), *(F.col(n).cast("double").alias(n) for n in AXES), F.col(class_col).cast("int").alias("cls")).dropna(subset=["id", *AXES]))
     ends = own.agg(*(F.max(n).alias(f"hi_{n}") for n in AXES), *(F.min(n).alias(f"lo_{n}") for n in AXES)).first()
-    if ends is None or ends["hi_z"] is None:
-        return own.select("id", "cls", F.lit(0.0).alias("d2")).limit(0)
-    reach = math.sqrt(sum((ends[f"hi_{n}"] - ends[f"lo_{n}"]) ** 2 for n in AXES))
+    nothing = own.select("id", "cls", F.lit(0.0).alias("d2")).limit(0)
+    if ends["hi_z"] is None:
+        return nothing
+    side = max(max(ends[f"hi_{n}"] - ends[f"lo_{n}"] for n in AXES), 1e-9) * (1 + 1e-9)
+    cell = lambda level: [F.least(F.floor((F.col(n) - ends[f"lo_{n}"]) / side * 2**level), F.lit(2**level - 1)).cast("long").alias(f"b{n}") for n in AXES]
+    depth = 0
+    while depth < _DEPTH and own.groupBy(*cell(depth)).count().where(F.col("count") > _CELL).limit(1).count():
+        depth += 1
+    keys = [f"b{n}" for n in AXES]
+    box = [f(n).alias(f"{e}{n}") for e, f in (("lo", F.min), ("hi", F.max)) for n in AXES]
     targets = own.where(F.col("cls").isin(classes))
-    missing = own.select("id", *AXES, F.explode(F.array(*(F.lit(c) for c in classes))).alias("want"))
-    found = None
-    while True:
-        near = distance_join(missing, targets, radius).where((F.col("p.want") == F.col("q.cls")) & (F.col("p.id") != F.col("q.id")))
-        got = stored(near.groupBy(F.col("p.id").alias("id"), F.col("p.want").alias("cls")).agg(F.min("d2").alias("d2")))
-        found = got if found is None else found.unionByName(got)
-        if radius >= reach:
-            return found
-        missing = stored(missing.join(got.select("id", F.col("cls").alias("want")), ["id", "want"], "left_anti"))
-        if not missing.limit(1).count():
-            return found
-        radius = min(radius * 2, max(reach, radius))
+    probes_at = lambda level: own.groupBy(*cell(level)).agg(*box)
+    targets_at = lambda level: targets.groupBy("cls", *cell(level)).agg(F.count("*").alias("n"), *box)
+
+    def gap(near: bool) -> Column:
+        steps = [F.greatest(F.col(f"t_lo{n}") - F.col(f"hi{n}"), F.col(f"lo{n}") - F.col(f"t_hi{n}"), F.lit(0.0)) if near else F.greatest(F.col(f"t_hi{n}") - F.col(f"lo{n}"), F.col(f"hi{n}") - F.col(f"t_lo{n}")) for n in AXES]
+        return steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
+
+    pairs = None  # a cell, a class, and the cells of that class that may hold a nearest point
+    for level in range(depth + 1):
+        t = targets_at(level).select("cls", *(F.col(k).alias(f"t_{k}") for k in keys), "n", *(F.col(f"{e}{n}").alias(f"t_{e}{n}") for e in ("lo", "hi") for n in AXES))
+        p = probes_at(level)
+        if pairs is None:
+            met = p.join(t, F.lit(True))  # one cell with one for each class
+        else:
+            up = [F.floor(F.col(k) / 2).alias(f"u_{k}") for k in keys]
+            t_up = [F.floor(F.col(f"t_{k}") / 2).alias(f"u_t_{k}") for k in keys]
+            old = pairs.select("cls", *(F.col(k).alias(f"u_{k}") for k in keys), *(F.col(f"t_{k}").alias(f"u_t_{k}") for k in keys))
+            met = old.join(p.select("*", *up), [f"u_{k}" for k in keys]).join(t.select("*", *t_up), ["cls", *(f"u_t_{k}" for k in keys)])
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"t_{k}"))
+        # a cell's only point cannot be its own neighbour
+        far = F.when(~(same & (F.col("n") == 1)), gap(False))
+        bounded = met.withColumns({"near": gap(True), "far": far}).withColumn("most", F.min("far").over(Window.partitionBy("cls", *keys)))  # the cells left for one cell
+        before, pairs = pairs, stored(bounded.where((F.col("near") <= F.col("most")) | F.col("most").isNull()).select("cls", *keys, *(f"t_{k}" for k in keys)))
+        if before is not None:
+            drop_stored(before)
+
+    def chunks(rows: DataFrame, *by: str) -> DataFrame:
+        at = rows.select("id", "cls", *AXES, *cell(depth))
+        salts = at.groupBy(*by, *keys).agg(F.ceil(F.count("*") / _CHUNK).alias("salts"))
+        dealt = at.join(salts.where("salts > 1"), [*by, *keys], "left").withColumn("salt", F.pmod(F.xxhash64("id", *AXES), F.coalesce("salts", F.lit(1))))
+        return dealt.groupBy(*by, *keys, "salt").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list(F.array(*AXES))).alias("at"))  # _CHUNK points
+
+    q = chunks(targets, "cls").select("cls", *(F.col(k).alias(f"t_{k}") for k in keys), F.col("ids").alias("t_ids"), F.col("at").alias("t_at"))
+    mine = chunks(own)
+    met = pairs.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = met.join(q, ["cls", *(f"t_{k}" for k in keys)]).join(mine, keys).sortWithinPartitions(*keys, "salt", "cls")
+    named = rows.select(F.concat_ws(",", *keys, "salt", "cls").alias("chunk"), "cls", "ids", "at", "t_ids", "t_at")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state = None, None
+
+        def done() -> pa.RecordBatch:
+            ids, cls, best = state
+            has = np.isfinite(best)
+            return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(np.full(int(has.sum()), cls), pa.int32()), pa.array(best[has])], names=["id", "cls", "d2"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, at, t_ids, t_at = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "at", "t_ids", "t_at"))
+                if batch.column("chunk")[k].as_py() != name:
+                    if name is not None:
+                        yield done()
+                    name, state = batch.column("chunk")[k].as_py(), [ids, batch.column("cls")[k].as_py(), np.full(len(ids), np.inf)]
+                at, t_at = at.reshape(-1, 3), t_at.reshape(-1, 3)
+                for i in range(0, len(ids), 256):
+                    step = at[i : i + 256, None] - t_at
+                    d2 = step[..., 0] * step[..., 0] + step[..., 1] * step[..., 1] + step[..., 2] * step[..., 2]
+                    d2[ids[i : i + 256, None] == t_ids] = np.inf
+                    np.minimum(state[2][i : i + 256], d2.min(1), out=state[2][i : i + 256])
+        if name is not None:
+            yield done()
+
+    return named.mapInArrow(nearest, "id long, cls int, d2 double").groupBy("id", "cls").agg(F.min("d2").alias("d2"))
 
 
 def distance_transform(cells: DataFrame, targets: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.operators import meshes
+from voxelspark.operators.morphology import opening
 
 
 def tile_grid(sizes: DataFrame, *, tile: int, overlap: int = 0, stride_is_tile: bool = True) -> DataFrame:
@@ -176,8 +177,13 @@ def fill_unscanned(r: Column, g: Column, b: Column) -> list[Column]:
     return [F.when(black, 255).otherwise(c) for c in (r, g, b)]
 
 
-def tissue_bbox(tissue: DataFrame, *, height: int, width: int, min_sections: int = 2, pad_frac: float = 0.02) -> DataFrame:
-    """y0, x0, y1, x1 around the pixels that are tissue in enough sections, padded and clamped; the whole frame without any."""
+def tissue_bbox(tissue: DataFrame, *, height: int, width: int, min_sections: int = 2, pad_frac: float = 0.02, open_steps: int = 0) -> DataFrame:
+    """y0, x0, y1, x1 around the pixels that are tissue in enough sections, padded and clamped; the whole frame without any.
+
+    open_steps: each section's tissue is opened by so many steps first, so that specks do not count (two, where images are masked).
+    """
+    if open_steps:
+        tissue = opening(tissue, open_steps)
     often = tissue.groupBy("y", "x").agg(F.countDistinct("section_index").alias("n")).where(F.col("n") >= min_sections)
     pad = {"y": int(pad_frac * height) + 2, "x": int(pad_frac * width) + 2}
     lo = lambda c: F.coalesce(F.greatest(F.min(c) - pad[c], F.lit(0)), F.lit(0))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from voxelspark.config import class_table
 from voxelspark.functions.geometry import AXES
-from voxelspark.operators import meshes, scoring, tiles, volume
+from voxelspark.operators import meshes, morphology, scoring, tiles, volume
 from voxelspark.operators import quantify as Q
 from voxelspark.operators.components import connected_components
+from voxelspark.operators.ranks import percentiles
 from voxelspark.plans.oracles import FX, oracle_sql, sql
 from voxelspark.plans.queries import CLASSES, SHAPE, V, _classed, _lesions, _transforms, query, rounded
 from voxelspark.sources import fixtures as fx
@@ -185,6 +186,26 @@ def detect_section_mask(spark, sf):
     return mask.groupBy("section_index", "instance_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_pixels"), F.min("y").cast("long").alias("first_y"), F.max("x1").cast("long").alias("last_x"))
 
 
+@query
+def opened_tissue(spark, sf):
+    """The towers' pixels without specks: what a diamond of two steps covers."""
+    return morphology.opening(fx.towers(spark, sf).withColumnRenamed("z", "section_index"), 2)
+
+
+@query
+def opened_bbox(spark, sf):
+    """The box around the opened tissue of at least two sections, for each field of 192 x 192 pixels the same frame."""
+    at = fx.towers(spark, sf).where("label < 3").select(F.col("z").alias("section_index"), (F.col("y") % 192).alias("y"), "x")
+    return tiles.tissue_bbox(at, height=192, width=192, min_sections=2, open_steps=2)
+
+
+@query
+def lesion_percentiles(spark, sf):
+    """Quartiles of the volumes of each class's bodies, by refinement."""
+    sizes = _towers(spark, sf).groupBy(F.col("label").alias("class_index"), "component").agg((F.count("*") * V**3).alias("volume_um3"))
+    return rounded(percentiles(sizes, ["class_index"], "volume_um3", {"q25": 0.25, "median": 0.5, "q75": 0.75, "p99": 0.99}))
+
+
 @query
 def downsampled(spark, sf):
     """Pixels of 2 um at 5: block means of two, then what is left of the factor."""
@@ -291,6 +312,12 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY row, col, inst) AS
 {select}"""
 
 
+def _opened(pixels: str) -> str:
+    """Pixels whose whole diamond is there, and all that such diamonds cover."""
+    diamond = "(SELECT * FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE abs(dy) + abs(dx) <= 2)"
+    return f"SELECT DISTINCT s, y + dy AS y, x + dx AS x FROM (SELECT s, y, x FROM (SELECT s, y + dy AS y, x + dx AS x, count(*) AS n FROM (SELECT DISTINCT s, y, x FROM ({pixels})), {diamond} d GROUP BY 1, 2, 3) WHERE n = 13), {diamond} d"
+
+
 def extended_sql() -> dict[str, str]:
     known = oracle_sql()
     grown = f"WITH RECURSIVE {_SEEDS}"
@@ -308,6 +335,9 @@ def extended_sql() -> dict[str, str]:
         "growing_euler": f"{grown} SELECT component, CAST(sum(CASE WHEN (abs(z) % 2 + abs(y) % 2 + abs(x) % 2) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS euler_number FROM (SELECT DISTINCT component, 2 * z + i AS z, 2 * y + j AS y, 2 * x + k AS x FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) GROUP BY 1",
         "growing_surface": f"{grown}, {_AREAS} SELECT component, round(surface_area_um2, 4) AS surface_area_um2 FROM ({_surface('cells', 'component')})",
         "cloud_hull": _cloud_hull(),
+        "opened_tissue": f"{grown} SELECT CAST(s AS INT) AS section_index, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM ({_opened('SELECT z AS s, y, x FROM cells')})",
+        "opened_bbox": f"{grown} SELECT CAST(coalesce(greatest(min(y) - 5, 0), 0) AS INT) AS y0, CAST(coalesce(greatest(min(x) - 5, 0), 0) AS INT) AS x0, CAST(coalesce(least(max(y) + 6, 192), 192) AS INT) AS y1, CAST(coalesce(least(max(x) + 6, 192), 192) AS INT) AS x1 FROM (SELECT y, x FROM ({_opened('SELECT z AS s, y % 192 AS y, x FROM cells WHERE label < 3')}) GROUP BY 1, 2 HAVING count(DISTINCT s) >= 2)",
+        "lesion_percentiles": f"{grown} SELECT CAST(label AS INT) AS class_index, " + ", ".join(f"quantile_cont(v, {q}) AS {n}" for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("p99", 0.99))) + " FROM (SELECT label, component, sum(h * w) * 512.0::DOUBLE AS v FROM bodies GROUP BY 1, 2) GROUP BY 1",
         "predict_section": _predict(),
         "detect_section": _detect("SELECT CAST(s AS INT) AS section_index, instance_id, round(cy, 6) AS centroid_y, round(cx, 6) AS centroid_x, round(n * 0.25::DOUBLE, 6) AS area_um2, round(sqrt(greatest(1 - ((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b)) / ((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)), 0)), 6) AS eccentricity FROM kept"),
         "detect_section_mask": _detect(f"SELECT CAST(s AS INT) AS section_index, instance_id, count(*) AS n_pixels, min(y) AS first_y, max(x) AS last_x FROM kept JOIN pixels USING (s, row, col, inst) WHERE y >= row * {TILE} AND y < (row + 1) * {TILE} AND x >= col * {TILE} AND x < (col + 1) * {TILE} GROUP BY 1, 2"),

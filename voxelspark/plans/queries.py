@@ -164,7 +164,7 @@ def neighborhood_features(spark, sf):
 
 @query
 def nn_distance(spark, sf):
-    return rounded(Q.nearest_class_distances(_classed(spark, sf), CLASSES, radius_um=16.0))
+    return rounded(Q.nearest_class_distances(_classed(spark, sf), CLASSES))
 
 
 @query
