@@ -138,6 +138,69 @@ def test_staged_run(spark, tmp_path):
     assert not sinks.exists(spark, str(tmp_path / "new"))
 
 
+def _sparse(todo):
+    """Nuclei in section 1 only."""
+    return _detect(todo).where("section_index = 1")
+
+
+def test_sections_where_nothing_is_found_are_finished(spark, tmp_path):
+    folder, path = str(tmp_path / "run"), str(tmp_path / "manifest")
+    with pytest.raises(FileNotFoundError, match="register"):
+        stages.sections_stage(spark, folder, _segment, _sparse)
+    with pytest.raises(FileNotFoundError, match="register"):
+        stages.volume_stage(spark, folder, size=(8, 8))
+    manifest.write_manifest(spark.createDataFrame([(k, f"s{k}.tif", f"/d/s{k}.tif") for k in range(3)], "section_index int, filename string, path string"), path)
+    stages.register_stage(spark, folder, path, seg_mpp=8.0, registration_mpp=8.0, non_rigid=True)
+    assert sinks.read_metadata(spark, folder)["non_rigid"] is True
+    assert stages.sections_stage(spark, folder, _segment, _sparse) == 3 and stages.sections_stage(spark, folder, _segment, _sparse) == 0
+    built = volume.build_from_run(spark, folder, size=(8, 8), target_um=8.0)
+    assert built.nuclei.select("section_index").distinct().collect() == [(1,)] and built.voxels.count() == 3 * 64
+    # nothing anywhere: an empty table with the columns that the model gave
+    sinks.write_sections(_detect(spark.range(0).select(F.col("id").cast("int").alias("section_index"))), f"{folder}/none", sections=spark.range(3).select(F.col("id").cast("int").alias("section_index")))
+    none = sinks.read_sections(spark, f"{folder}/none")
+    assert none.count() == 0 and {"section_index", "feret_diameter_um"} <= set(none.columns)
+    assert sinks.sections_written(spark, f"{folder}/none").count() == 3
+    spark.range(1).write.parquet(f"{folder}/volume/voxels")
+    with pytest.raises(FileExistsError):
+        stages.register_stage(spark, folder, path)
+
+
+def test_replacing_survives_a_stop(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    assert sinks.replace(spark.read.parquet(path).where("id > 0"), path).count() == 2 and not sinks.exists(spark, f"{path}.old")
+    sinks._rename(spark, path, f"{path}.old")  # stopped between the two renames
+    assert sinks.heal(spark, path) and spark.read.parquet(path).count() == 2 and not sinks.heal(spark, path)
+
+
+def test_manifests_with_wrong_columns_are_refused(spark, tmp_path):
+    listed = spark.createDataFrame([(k, f"s{k}.tif", f"/d/s{k}.tif") for k in range(3)], "section_index int, filename string, path string")
+    table = lambda name, *values: spark.createDataFrame(list(enumerate(values)), f"section_index int, {name} int")
+    with pytest.raises(ValueError, match="2 of 3 sections"):
+        manifest.write_manifest(listed, str(tmp_path / "a"), section_number=table("section_number", 4, 5))
+    with pytest.raises(ValueError, match="2 rows"):
+        manifest.write_manifest(listed, str(tmp_path / "a"), thickness_um=spark.createDataFrame([(1, 4), (1, 5)], "section_index int, thickness_um int"))
+    with pytest.raises(ValueError, match="1 of no section"):
+        manifest.write_manifest(listed, str(tmp_path / "a"), thickness_um=table("thickness_um", 4, 4, 4, 4))
+    assert not sinks.exists(spark, str(tmp_path / "a"))
+    with pytest.raises(Exception, match="section_number"):
+        manifest.write_manifest(listed, str(tmp_path / "b"), section_number=table("section_number", 1, 5, 3))
+    with pytest.raises(ValueError, match="needs sections"):
+        manifest.write_manifest(listed.limit(0), str(tmp_path / "c"))
+    slides = spark.createDataFrame([("0001",), ("x/0002.png",), ("0009",), ("2",), ("s0001.png",), (None,)], "name string")
+    assert sorted(tuple(r) for r in manifest.slides_by_section(slides, listed).collect()) == [(1, "0001"), (2, "x/0002.png")]
+
+
+def test_counts_without_nuclei_are_refused(spark):
+    one = spark.createDataFrame([(8.0,)], "feret_diameter_um double")
+    assert Q.corrected_count(one, thickness_um=4.0, interval=2) == pytest.approx(8 / 12)
+    for bad in (one.limit(0), one.withColumnRenamed("feret_diameter_um", "d")):
+        with pytest.raises(ValueError):
+            Q.corrected_count(bad)
+    with pytest.raises(ValueError, match="at least 1"):
+        Q.corrected_count(one, interval=0)
+
+
 def test_command_line(monkeypatch):
     monkeypatch.setenv("VOXELSPARK_VOXEL_UM", "  ")
     assert stages.parser().parse_args([]).voxel_um is None

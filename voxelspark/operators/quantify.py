@@ -107,6 +107,16 @@ def stereological(diameter: Column, thickness_um: float, interval: int = 1) -> C
     return F.lit(float(thickness_um * interval)) / (F.lit(float(thickness_um)) + diameter)
 
 
+def corrected_count(nuclei: DataFrame, *, thickness_um: float = 4.0, interval: int = 1) -> float:
+    """The corrected number of nuclei; without any, or without their diameters, there is none to correct and this raises."""
+    if "feret_diameter_um" not in nuclei.columns:
+        raise ValueError(f"nuclei need a feret_diameter_um, not only {nuclei.columns}")
+    n, total = nuclei.agg(F.count("feret_diameter_um"), F.sum(stereological(F.col("feret_diameter_um").cast("double"), thickness_um, interval))).first()
+    if not n:
+        raise ValueError("no nuclei to count")
+    return float(total)
+
+
 def lesion_cell_density(found: DataFrame, assigned: DataFrame, *, thickness_um: float, interval: int = 1, voxels: DataFrame | None = None, classes: list[int] | None = None, voxel_um: float | None = None, composition_um: float = 150.0) -> DataFrame:
     """found (lesions) with n_nuclei, the stereologically corrected number, and both per mm3. assigned: nuclei with lesion_id.
 

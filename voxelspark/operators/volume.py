@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.config import VOLUME_VOXEL_UM
 from voxelspark.operators.spatial import gaussian_weights
-from voxelspark.sources import manifest, sinks
+from voxelspark.sources import label_png, manifest, sinks
 
 
 def _all():
@@ -149,15 +149,16 @@ class Volume:
     gaps: list[int]
 
 
-def build_volume(sections: DataFrame, labels: DataFrame, *, size: tuple[int, int], section_mpp: float, nuclei: DataFrame | None = None, transforms: DataFrame | None = None, target_um: float | None = None, thickness_um: float | None = None, interval: int | None = None, level0_mpp: float | None = None, registration_mpp: float | None = None, smooth_sigma: float = 0.0, order_col: str = "centroid_y") -> Volume:
+def build_volume(sections: DataFrame, labels: DataFrame, *, size: tuple[int, int], section_mpp: float, nuclei: DataFrame | None = None, transforms: DataFrame | None = None, target_um: float | None = None, thickness_um: float | None = None, interval: int | None = None, level0_mpp: float | None = None, registration_mpp: float | None = None, smooth_sigma: float = 0.0, order_col: str = "centroid_y", present: DataFrame | None = None) -> Volume:
     """Stack the label rows (section_index, y, x, label; of `size` pixels at section_mpp) of all sections, nearest section for each plane.
 
     sections: section_index, section_number (null: no numbers), and optionally thickness_um. With thickness and interval the
     spacing is theirs; else by the thickness of each section, if all have one; else a voxel each, with a warning. Raises if a section
     has no labels, if section numbers do not rise, or if a section's own thickness is not the spacing. Gaps are named in a warning.
+    present: the sections (section_index) that have a label map, if one without any label row (all space) is to count.
     """
     voxel_um, spacing = resolve_voxel(target_um, thickness_um, interval)
-    require_sections(sections, labels)
+    require_sections(sections, labels if present is None else present)
     facts = sections if "thickness_um" in sections.columns else sections.withColumn("thickness_um", F.lit(None).cast("double"))
     n, own, odd, numbered = facts.agg(F.count("*"), F.count("thickness_um"), F.count_if(F.abs(F.col("thickness_um") - F.lit(spacing)) > 1e-9), F.count("section_number")).first()
     if numbered and (numbered < n or check_numbers(facts).limit(1).count()):
@@ -186,7 +187,7 @@ def build_volume(sections: DataFrame, labels: DataFrame, *, size: tuple[int, int
 
 
 def build_from_run(spark: SparkSession, folder: str, *, size: tuple[int, int], manifest_path: str | None = None, target_um: float | None = None, thickness_um: float | None = None, interval: int | None = None, with_nuclei: bool = True, smooth_sigma: float = 0.0) -> Volume:
-    """The volume of a run's folder: `labels` and `nuclei` by section, `transforms`, and its recorded metadata.
+    """The volume of a run's folder: `labels` (or `label_maps` of PNG files) and `nuclei` by section, `transforms`, and its recorded metadata.
 
     A recorded thickness counts only with a recorded interval, and only if neither is given. Sections without labels or, unless
     with_nuclei is False, without nuclei are all named in one error.
@@ -202,13 +203,19 @@ def build_from_run(spark: SparkSession, folder: str, *, size: tuple[int, int], m
     listed = manifest.load_manifest(spark, path)
     numbers = manifest.section_numbers(listed) if listed.where("section_number is not null").limit(1).count() else listed.select("section_index", F.lit(None).cast("int").alias("section_number"))
     sections = listed.select("section_index").join(numbers, "section_index").join(manifest.thickness(listed), "section_index")
+    maps = f"{folder}/label_maps"
+    present = None
+    as_files = sinks.exists(spark, maps) and not sinks.exists(spark, f"{folder}/labels")
     for part in ("labels", "nuclei") if with_nuclei else ("labels",):
-        gone = [r[0] for r in sections.join(sinks.sections_written(spark, f"{folder}/{part}"), "section_index", "left_anti").select("section_index").orderBy("section_index").collect()]
+        there = label_png.sections_in(spark, maps) if as_files and part == "labels" else sinks.sections_written(spark, f"{folder}/{part}")
+        present = there if part == "labels" else present
+        gone = [r[0] for r in sections.join(there, "section_index", "left_anti").select("section_index").orderBy("section_index").collect()]
         if gone:
             raise ValueError(f"{len(gone)} sections have no {part} in {folder}: {gone}")
-    read = lambda part: spark.read.parquet(f"{folder}/{part}").withColumn("section_index", F.col("section_index").cast("int"))
-    transforms = read("transforms") if sinks.exists(spark, f"{folder}/transforms") else None
-    return build_volume(sections, read("labels"), size=size, section_mpp=facts.get("seg_mpp", 0.5), nuclei=read("nuclei") if with_nuclei else None, transforms=transforms, target_um=target_um, thickness_um=thickness_um, interval=interval, level0_mpp=facts.get("level0_mpp"), registration_mpp=facts.get("registration_mpp", 8.0), smooth_sigma=smooth_sigma)
+    read = lambda part: sinks.read_sections(spark, f"{folder}/{part}")
+    transforms = spark.read.parquet(f"{folder}/transforms").withColumn("section_index", F.col("section_index").cast("int")) if sinks.exists(spark, f"{folder}/transforms") else None
+    labels = label_png.pixels_of(label_png.read_runs(spark, maps)) if as_files else read("labels")
+    return build_volume(sections, labels, size=size, section_mpp=facts.get("seg_mpp", 0.5), nuclei=read("nuclei") if with_nuclei else None, transforms=transforms, target_um=target_um, thickness_um=thickness_um, interval=interval, level0_mpp=facts.get("level0_mpp"), registration_mpp=facts.get("registration_mpp", 8.0), smooth_sigma=smooth_sigma, present=present)
 
 
 def smooth_transforms(transforms: DataFrame, *, sigma: float, columns: list[str]) -> DataFrame:

@@ -17,14 +17,33 @@ from voxelspark.config import RUN_VOXEL_UM
 from voxelspark.operators import volume
 from voxelspark.plans.run import Step, run_quantification
 from voxelspark.sources import manifest, sinks
+from voxelspark.sources.checkpoints import drop_stored, stored
 
 Model = Callable[[DataFrame], DataFrame]
 STAGES = ("register", "sections", "volume")
 
 
-def register_stage(spark: SparkSession, folder: str, manifest_path: str, transforms: DataFrame | None = None, **facts) -> None:
-    """Check the manifest, store the sections' affines and what later stages need to know (see sinks.METADATA_SCHEMA)."""
+def _no_volume(spark: SparkSession, folder: str) -> None:
+    """Refuse a folder with a volume before any work: it would be in the way at the end."""
+    if sinks.exists(spark, f"{folder}/volume"):
+        raise FileExistsError(f"{folder}/volume is there already; move it or take another folder")
+
+
+def _facts(spark: SparkSession, folder: str) -> dict:
+    facts = sinks.read_metadata(spark, folder)
+    if "manifest_csv" not in facts:
+        raise FileNotFoundError(f"no record of a run in {folder}: run the register stage there first")
+    return facts
+
+
+def register_stage(spark: SparkSession, folder: str, manifest_path: str, transforms: DataFrame | None = None, *, overwrite: bool = False, **facts) -> None:
+    """Check the manifest, store the sections' affines and what later stages need to know (see sinks.METADATA_SCHEMA).
+
+    A folder that holds a volume is refused, unless it is to be overwritten.
+    """
     volume.resolve_voxel(None, facts.get("section_thickness_um"), facts.get("sampling_interval"))
+    if not overwrite:
+        _no_volume(spark, folder)
     if not manifest.load_manifest(spark, manifest_path).limit(1).count():
         raise ValueError(f"no sections in {manifest_path}")
     if transforms is not None:
@@ -34,7 +53,7 @@ def register_stage(spark: SparkSession, folder: str, manifest_path: str, transfo
 
 def sections_stage(spark: SparkSession, folder: str, segment: Model, detect: Model | None = None, *, task: int = 0, n_tasks: int = 1) -> int:
     """Segment the task's sections that have no labels yet, and detect nuclei in those that have none. Returns how many were done."""
-    listed = manifest.load_manifest(spark, sinks.read_metadata(spark, folder)["manifest_csv"])
+    listed = manifest.load_manifest(spark, _facts(spark, folder)["manifest_csv"])
     mine, done = manifest.task_sections(listed, task, n_tasks), 0
     for part, model in (("labels", segment), ("nuclei", detect)):
         if model is None:
@@ -42,7 +61,9 @@ def sections_stage(spark: SparkSession, folder: str, segment: Model, detect: Mod
         todo = mine.join(sinks.sections_written(spark, f"{folder}/{part}"), "section_index", "left_anti")
         n = todo.count()
         if n:
-            sinks.write_sections(model(todo), f"{folder}/{part}")
+            todo = stored(todo.select(*listed.columns))  # the same sections before and after the write
+            sinks.write_sections(model(todo), f"{folder}/{part}", sections=todo)
+            drop_stored(todo)
         done = max(done, n)
     return done
 
@@ -53,9 +74,9 @@ def volume_stage(spark: SparkSession, folder: str, *, size: tuple[int, int], sha
     The voxel is that of the run (8 um) unless the section spacing or the caller says otherwise. An existing volume is not overwritten.
     """
     target = f"{folder}/volume"
-    if sinks.exists(spark, target) and not overwrite:
-        raise FileExistsError(f"{target} is there already")
-    facts = sinks.read_metadata(spark, folder)
+    if not overwrite:
+        _no_volume(spark, folder)
+    facts = _facts(spark, folder)
     spaced = {"section_thickness_um", "sampling_interval"} <= set(facts)
     built = volume.build_from_run(spark, folder, size=size, target_um=voxel_um if voxel_um or spaced else RUN_VOXEL_UM, with_nuclei=with_nuclei)
     for name, df in (("voxels", built.voxels), ("planes", built.planes), ("nuclei", built.nuclei)):
@@ -73,38 +94,38 @@ def run_pipeline(spark: SparkSession, folder: str, manifest_path: str, segment:
     """All three stages. What can be refused is refused before any work."""
     facts = facts or {}
     volume.resolve_voxel(voxel_um, facts.get("section_thickness_um"), facts.get("sampling_interval"))
-    if sinks.exists(spark, f"{folder}/volume") and not overwrite:
-        raise FileExistsError(f"{folder}/volume is there already")
-    register_stage(spark, folder, manifest_path, transforms, **facts)
+    if not overwrite:
+        _no_volume(spark, folder)
+    register_stage(spark, folder, manifest_path, transforms, overwrite=overwrite, **facts)
     sections_stage(spark, folder, segment, detect)
     return volume_stage(spark, folder, size=size, voxel_um=voxel_um, with_nuclei=detect is not None, overwrite=overwrite, **options)
 
 
-def env_default(name: str, kind: Callable = str):
-    """The environment's value, blank or missing: None."""
-    value = os.environ.get(name, "").strip()
-    return kind(value) if value else None
+#: Options that a variable of the environment sets where the command line does not.
+VARIABLES = {"manifest": "VOXELSPARK_MANIFEST", "output": "VOXELSPARK_OUTPUT", "segment": "VOXELSPARK_SEGMENT", "detect": "VOXELSPARK_DETECT", "voxel_um": "VOXELSPARK_VOXEL_UM", "section_thickness_um": "VOXELSPARK_THICKNESS_UM", "sampling_interval": "VOXELSPARK_INTERVAL"}
 
 
 def parser() -> argparse.ArgumentParser:
+    """The command line; what VARIABLES hold, unless blank, are its defaults, read as if given there."""
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     p.add_argument("--stage", choices=("all", *STAGES), default="all")
-    p.add_argument("--manifest", default=env_default("VOXELSPARK_MANIFEST"))
-    p.add_argument("--output", default=env_default("VOXELSPARK_OUTPUT"))
-    p.add_argument("--segment", help="module:function", default=env_default("VOXELSPARK_SEGMENT"))
-    p.add_argument("--detect", help="module:function", default=env_default("VOXELSPARK_DETECT"))
+    p.add_argument("--manifest")
+    p.add_argument("--output")
+    p.add_argument("--segment", help="module:function")
+    p.add_argument("--detect", help="module:function")
     p.add_argument("--height", type=int)
     p.add_argument("--width", type=int)
     p.add_argument("--seg-mpp", type=float, default=0.5)
     p.add_argument("--level0-mpp", type=float)
     p.add_argument("--reg-mpp", type=float, default=8.0)
-    p.add_argument("--voxel-um", type=float, default=env_default("VOXELSPARK_VOXEL_UM", float))
-    p.add_argument("--section-thickness-um", type=float, default=env_default("VOXELSPARK_THICKNESS_UM", float))
-    p.add_argument("--sampling-interval", type=int, default=env_default("VOXELSPARK_INTERVAL", int))
+    p.add_argument("--voxel-um", type=float)
+    p.add_argument("--section-thickness-um", type=float)
+    p.add_argument("--sampling-interval", type=int)
     p.add_argument("--tissue-type", default="HGSC")
     p.add_argument("--task-index", type=int, default=0)
     p.add_argument("--n-tasks", type=int, default=1)
     p.add_argument("--overwrite", action="store_true")
+    p.set_defaults(**{option: os.environ[name].strip() for option, name in VARIABLES.items() if os.environ.get(name, "").strip()})
     return p
 
 
@@ -124,13 +145,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     spark = spark or SparkSession.builder.getOrCreate()
     facts = {"seg_mpp": a.seg_mpp, "registration_mpp": a.reg_mpp, "level0_mpp": a.level0_mpp, "section_thickness_um": a.section_thickness_um, "sampling_interval": a.sampling_interval, "tissue_type": a.tissue_type}
     if a.stage == "register":
-        return register_stage(spark, a.output, a.manifest, **facts)
+        return register_stage(spark, a.output, a.manifest, overwrite=a.overwrite, **facts)
     if a.stage == "sections":
         print(f"{sections_stage(spark, a.output, model(a.segment), model(a.detect), task=a.task_index, n_tasks=a.n_tasks)} sections")
         return None
     size, organ = (a.height, a.width), {"organ": a.tissue_type}
     if a.stage == "volume":
-        steps = volume_stage(spark, a.output, size=size, voxel_um=a.voxel_um, with_nuclei=sinks.exists(spark, f"{a.output}/nuclei"), overwrite=a.overwrite, **organ)
+        steps = volume_stage(spark, a.output, size=size, voxel_um=a.voxel_um, with_nuclei=bool(sinks.sections_written(spark, f"{a.output}/nuclei").limit(1).count()), overwrite=a.overwrite, **organ)
     else:
         steps = run_pipeline(spark, a.output, a.manifest, model(a.segment), model(a.detect), size=size, voxel_um=a.voxel_um, overwrite=a.overwrite, facts=facts, **organ)
     for s in steps:

@@ -33,10 +33,35 @@ def list_slides(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str, *, thickness_um: DataFrame | None = None, section_number: DataFrame | None = None) -> None:
-    """The manifest as one CSV file, with the columns of tables by section_index that are given. One row for each section."""
-    for table in (thickness_um, section_number):
-        manifest = manifest if table is None else manifest.join(table, "section_index", "left")
+    """The manifest as one CSV file, with the columns of tables by section_index that are given. One row for each section.
+
+    A table with more than one row for a section, or with a section that is not listed, is refused before anything is written, and so
+    are section numbers that leave a section out. Section numbers are read back and checked. No sections are refused as well.
+    """
+    n = manifest.count()
+    if not n:
+        raise ValueError("a manifest needs sections")
+    for name, table in (("thickness_um", thickness_um), ("section_number", section_number)):
+        if table is None:
+            continue
+        rows, known = table.count(), manifest.join(table.where(F.col(name).isNotNull()).select("section_index").distinct(), "section_index").count()
+        strange = table.join(manifest, "section_index", "left_anti").count()
+        if rows != table.select("section_index").distinct().count() or strange or (name == "section_number" and known < n):
+            raise ValueError(f"{name} has {rows} rows, {strange} of no section, and values for {known} of {n} sections")
+        manifest = manifest.join(table, "section_index", "left")
     manifest.coalesce(1).sortWithinPartitions("section_index").write.mode("overwrite").option("header", True).csv(path)
+    if section_number is not None:
+        section_numbers(load_manifest(manifest.sparkSession, path)).write.format("noop").mode("overwrite").save()
+
+
+def slides_by_section(slides: DataFrame, sections: DataFrame) -> DataFrame:
+    """slides (name, ...) with their section_index: those named as a section's four digits, with or without .png, folders aside.
+
+    Names that belong to no section of `sections` are left out.
+    """
+    index = F.expr("try_cast(regexp_extract(name, '(?:^|/)([0-9]{4,})(?:[.]png)?$', 1) as int)")
+    known = slides.withColumn("section_index", index).where(F.regexp_extract("name", "(?:^|/)([0-9]{4,})(?:[.]png)?$", 1) == F.format_string("%04d", index))
+    return known.join(sections.select("section_index").distinct(), "section_index")
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:

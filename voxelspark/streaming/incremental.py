@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from voxelspark.sources import sinks
+
 LABEL_ROWS = "section_index int, y int, x int, label int"
 
 
 def ingest_sections(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Read what is new in source (Parquet of label rows) and replace those sections in target. Ends when all is read.
 
-    A section is one partition and is overwritten as a whole, so a batch that runs twice leaves the same rows.
+    A section is one partition. What a batch says about a pixel replaces what is there (label 0 clears it), the section's other pixels stay,
+    so a section may come in several files, and a batch that runs twice leaves the same rows.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.where("label <> 0").dropDuplicates(["section_index", "y", "x"])
+        session = batch.sparkSession
+        said = batch.groupBy("section_index", "y", "x").agg(F.max("label").alias("label")).withColumn("new", F.lit(1))
+        if sinks.exists(session, target):
+            kept = session.read.schema(LABEL_ROWS).parquet(target).join(F.broadcast(batch.select("section_index").distinct()), "section_index", "left_semi")  # one row for each section
+            said = said.unionByName(kept.select("section_index", "y", "x", "label", F.lit(0).alias("new")))
+        rows = said.groupBy("section_index", "y", "x").agg(F.max_by("label", "new").alias("label")).where("label <> 0")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("section_index").parquet(target)
 
     stream = spark.readStream.schema(LABEL_ROWS).parquet(source)
