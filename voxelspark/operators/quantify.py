@@ -8,8 +8,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from voxelspark.operators.balls import ball_composition as local_composition
 from voxelspark.operators.balls import ball_counts
 from voxelspark.operators.hulls import hull_shapes
 from voxelspark.operators.ranks import at_ranks, percentiles
+from voxelspark.operators.surfaces import place, shortest_ways, surface_edges
 from voxelspark.operators.spatial import distance_transform, nearest_by_class, smooth_grid
 from voxelspark.sources.checkpoints import stored
 
@@ -232,41 +231,38 @@ def radial_profile(components: DataFrame, found: DataFrame, voxels: DataFrame, c
     return rows.select("shell_index", "r_lo_um", "r_hi_um", "band", "n_voxels", "n_nuclei", *(share(F.col(f"n{c}"), tissue).alias(f"composition_frac_{c}") for c in classes), share(F.col("n_nuclei"), F.col("n_voxels") * (voxel_um**3 / MM3)).alias("density_cells_per_mm3"))
 
 
-def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataFrame, lesion_id: int, *, voxel_um: float, metric_radius_um: float = 100.0, thresholds: tuple[float, ...] = (0.25, 0.5, 1.0), metric: Callable[[DataFrame], DataFrame] | None = None, source_vertex: int | None = None) -> DataFrame:
+def surface_decorrelation(components: DataFrame, found: DataFrame, nuclei: DataFrame, lesion_id: int, *, voxel_um: float, metric_radius_um: float = 100.0, thresholds: tuple[float, ...] = (0.25, 0.5, 1.0), metric: Callable[[DataFrame], DataFrame] | None = None, source_vertex: int | None = None, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """threshold, decorrelation_um, lesion_id, n_surface_vertices, source_vertex_index, metric_at_source.
 
     The shortest way over the surface from the source, by default the vertex with the highest value, to one whose value has
     changed by the threshold; null if none has. The value is the cell density within metric_radius_um, or what `metric` makes of
-    the vertices (id, z_um, y_um, x_um): id, m. The vertices of one lesion's surface are one group.
+    the vertices (id, z_um, y_um, x_um): id, m. Vertices count in raster order. With the volume's `shape` the surface is open where the
+    lesion touches the border. See `surfaces` for how ways are found.
     """
     if not thresholds or min(thresholds) <= 0:
         raise ValueError("thresholds must be positive")
     one = components.join(found.where(F.col("instance_id") == lesion_id).select("component"), "component").select(F.lit(1).alias("g"), *AXES)
-
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, _ = meshes.mesh(pdf[list(AXES)].to_numpy(int))
-        return pd.DataFrame({"id": np.arange(len(v)), **{f"{n}_um": v[:, i] * voxel_um for i, n in enumerate(AXES)}})
-
-    vertices = one.groupBy("g").applyInPandas(corners, "id long, z_um double, y_um double, x_um double")
+    edges = stored(surface_edges(cell_masks(one, ["g"]).drop("g"), shape=shape))
+    vertices = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    vertices = stored(vertices.select("id", *((v * voxel_um).alias(f"{n}_um") for n, v in zip(AXES, place(F.col("id")), strict=True))))
     valued = metric(vertices) if metric else sphere_density(vertices, nuclei, radius_um=metric_radius_um).select("id", F.col("density_cells_per_mm3").alias("m"))
-    valued = valued.select(F.lit(1).alias("g"), "id", F.col("m").cast("double").alias("m"))
-
-    def ways(cells: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        v, e = meshes.mesh(cells[list(AXES)].to_numpy(int))
-        m = values.sort_values("id")["m"].to_numpy()
-        source = int(m.argmax()) if source_vertex is None else source_vertex
-        if not 0 <= source < len(v):
-            raise ValueError(f"no vertex {source} among {len(v)}")
-        geo = meshes.geodesic(v * voxel_um, e, source)
-        m0, spread = m[source], float(m.max() - m.min())
-        change = np.abs(m - m0) / abs(m0) if m0 else (np.abs(m - m0) / spread if spread else np.ones(len(m)))
-        rows = []
-        for t in thresholds:
-            far = geo[(change >= t) & np.isfinite(geo)]
-            rows.append((float(t), float(far.min()) if len(far) else None, lesion_id, len(v), source, float(m0)))
-        return pd.DataFrame(rows, columns=["threshold", "decorrelation_um", "lesion_id", "n_surface_vertices", "source_vertex_index", "metric_at_source"])
-
-    return one.groupBy("g").cogroup(valued.groupBy("g")).applyInPandas(ways, "threshold double, decorrelation_um double, lesion_id long, n_surface_vertices long, source_vertex_index long, metric_at_source double")
+    valued = stored(valued.select("id", F.col("m").cast("double").alias("m")))
+    n, low, high, first = valued.agg(F.count("*"), F.min("m"), F.max("m"), F.max_by("id", F.struct("m", -F.col("id")))).first()
+    source = first
+    if source_vertex is not None:
+        at = at_ranks(valued, [], "id", {"source": F.lit(source_vertex)}).first() if 0 <= source_vertex < n else None
+        if at is None:
+            raise ValueError(f"no vertex {source_vertex} among {n}")
+        source = at["value"]
+    if source is None:
+        raise KeyError(f"lesion {lesion_id} has no surface")
+    m0, index = valued.agg(F.max(F.when(F.col("id") == source, F.col("m"))), F.count_if(F.col("id") < source)).first()
+    change = F.abs(F.col("m") - m0) / abs(m0) if m0 else (F.abs(F.col("m") - m0) / (high - low) if high > low else F.lit(1.0))
+    ways = shortest_ways(edges, source).join(valued, F.col("v") == F.col("id")).select((F.col("d") * voxel_um).alias("d"), change.alias("change"))
+    least = ways.agg(*(F.min(F.when(F.col("change") >= t, F.col("d"))).alias(f"t{i}") for i, t in enumerate(thresholds)))
+    rows = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("decorrelation_um")) for i, t in enumerate(thresholds)))
+    facts = {"lesion_id": lesion_id, "n_surface_vertices": n, "source_vertex_index": index}
+    return least.select(F.explode(rows).alias("r")).select("r.*", *(F.lit(v).cast("long").alias(k) for k, v in facts.items()), F.lit(float(m0)).alias("metric_at_source"))
 
 
 def profile_lesions(found: DataFrame, wanted: tuple[float, ...] = (50, 90, 99)) -> DataFrame:

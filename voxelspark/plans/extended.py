@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from voxelspark.config import class_table
 from voxelspark.functions.geometry import AXES
-from voxelspark.operators import meshes, morphology, scoring, tiles, volume
+from voxelspark.operators import meshes, morphology, scoring, spatial, tiles, volume
 from voxelspark.operators import quantify as Q
 from voxelspark.operators.components import connected_components
 from voxelspark.operators.ranks import percentiles
-from voxelspark.plans.oracles import FX, oracle_sql, sql
+from voxelspark.plans.oracles import FX, gradient_sql, oracle_sql, sql
 from voxelspark.plans.queries import CLASSES, SHAPE, V, _classed, _lesions, _transforms, query, rounded
 from voxelspark.sources import fixtures as fx
-from voxelspark.sources import manifest, sinks
+from voxelspark.sources import label_png, manifest, sinks
 from voxelspark.sources.checkpoints import shared_dir, stored
 
 
@@ -206,6 +206,66 @@ def lesion_percentiles(spark, sf):
     return rounded(percentiles(sizes, ["class_index"], "volume_um3", {"q25": 0.25, "median": 0.5, "q75": 0.75, "p99": 0.99}))
 
 
+@query
+def surface_ways(spark, sf):
+    """Decorrelation over the surfaces of the first lesion of each size, in a volume whose border leaves them open."""
+    parts, found = _lesions(spark, sf)
+    out = None
+    for lesion in (1, 2):
+        one = Q.surface_decorrelation(parts, found, fx.nuclei(spark, sf), lesion, voxel_um=V, metric_radius_um=60.0, thresholds=(0.1, 0.25, 0.5), shape=SHAPE)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 6)
+
+
+@query
+def gradient_rows(spark, sf):
+    """The density gradient of every voxel that has one."""
+    field = Q.density_grid(fx.nuclei(spark, sf), voxel_um=V, shape=SHAPE, bandwidth_um=8.0)
+    out = spatial.gradient_magnitude(field, SHAPE, V).select(*AXES, F.round(F.col("gradient") * 1e6, 6).alias("gradient"))
+    return out.where("gradient <> 0")
+
+
+@query
+def pair_rows(spark, sf):
+    """All pairs of points within a distance, row by row."""
+    p = fx.points(spark, sf)
+    return spatial.distance_join(p, p, 50.0).select(F.col("p.id").alias("id"), F.col("q.id").alias("other"), F.round("d2", 3).alias("d2"))
+
+
+@query
+def nuclei_z(spark, sf):
+    """The plane of every nucleus."""
+    placed = volume.section_z(fx.sections(spark, sf), spacing_um=8.0)
+    return volume.place_nuclei(fx.nuclei(spark, sf), placed).select("instance_id", "section_index", "z_um")
+
+
+@query
+def label_maps(spark, sf):
+    """The towers written as PNG label maps, one for each section, and read back in bands."""
+    at = fx.towers(spark, sf).select(F.col("z").alias("section_index"), "y", "x", "label")
+    sizes = at.groupBy("section_index").agg((F.max("y") + 1).alias("height"), F.lit(192).alias("width"))
+    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    label_png.write_runs(label_png.pixel_runs(at), sizes, path)
+    return label_png.pixels_of(label_png.read_runs(spark, path))
+
+
+@query
+def instance_shapes(spark, sf):
+    """Feret diameter and solidity of each order's rectangle of pixels, section by section."""
+    o = F.col("l_orderkey")
+    rects = fx.table(spark, sf, "lineitem").groupBy(o.alias("label"), (F.col("l_linenumber") - 1).cast("int").alias("section_index")).agg(F.max(F.col("l_quantity").cast("long") % 3).alias("h"), F.max(F.col("l_partkey") % 3).alias("w"))
+    pixels = rects.select("section_index", "label", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h"))).alias("y")).select("section_index", "label", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w"))).alias("x"))
+    return rounded(tiles.instance_shapes(pixels.where("label <> 0"), mpp=0.5), 6)
+
+
+@query
+def section_slides(spark, sf):
+    """The section of each slide by its name."""
+    k = F.col("s_suppkey")
+    slides = fx.table(spark, sf, "supplier").select(F.when(k % 3 == 0, F.format_string("%04d.png", k)).when(k % 3 == 1, F.format_string("run/%04d", k)).otherwise(F.format_string("s%04d", k)).alias("name"))
+    return manifest.slides_by_section(slides, fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("section_index"))).select("name", "section_index")
+
+
 @query
 def downsampled(spark, sf):
     """Pixels of 2 um at 5: block means of two, then what is left of the factor."""
@@ -318,6 +378,32 @@ def _opened(pixels: str) -> str:
     return f"SELECT DISTINCT s, y + dy AS y, x + dx AS x FROM (SELECT s, y, x FROM (SELECT s, y + dy AS y, x + dx AS x, count(*) AS n FROM (SELECT DISTINCT s, y, x FROM ({pixels})), {diamond} d GROUP BY 1, 2, 3) WHERE n = 13), {diamond} d"
 
 
+def _ways(lesion: int, rounds: int = 30) -> str:
+    """Bellman-Ford over the surface of a box: in a cell the midpoints of the edges that leave the body are neighbours if they share a side.
+
+    Where four of them form a quadrangle, the first in raster order also meets the one opposite. Places are in half steps.
+    """
+    corner = "(SELECT unnest(range(0, 2)) AS {a})"
+    corners = ", ".join(corner.format(a=a) for a in ("i", "j", "k"))
+    inside = lambda z, y, x: f"({z} >= lz AND {z} < hz AND {y} >= ly AND {y} < hy AND {x} >= lx AND {x} < hx)"
+    steps = ", ".join(f"w{r + 1} AS MATERIALIZED (SELECT v, min(d) AS d FROM (SELECT v, d FROM w{r} UNION ALL SELECT e.b, w.d + e.w FROM w{r} w JOIN e ON e.a = w.v) GROUP BY 1)" for r in range(rounds))
+    shared = " OR ".join(f"(p.{a} % 2 = 0 AND p.{a} = q.{a} AND (p.{a} = 2 * p.c{a} OR p.{a} = 2 * p.c{a} + 2))" for a in "zyx")
+    density = repr(Q.sphere_mm3(60.0)) + "::DOUBLE"
+    return f"""(WITH box AS (SELECT * FROM fx_lesions WHERE instance_id = {lesion}),
+cells AS (SELECT cz, cy, cx, box.* FROM box, (SELECT unnest(range(0, 6)) AS cz), (SELECT unnest(range(0, 39)) AS cy), (SELECT unnest(range(0, 39)) AS cx) WHERE cz BETWEEN lz - 1 AND hz - 1 AND cy BETWEEN ly - 1 AND hy - 1 AND cx BETWEEN lx - 1 AND hx - 1),
+mids AS MATERIALIZED (SELECT cz, cy, cx, 2 * cz + 2 * i + dz AS z, 2 * cy + 2 * j + dy AS y, 2 * cx + 2 * k + dx AS x FROM cells, {corners}, (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1)) d(dz, dy, dx)
+  WHERE i + dz < 2 AND j + dy < 2 AND k + dx < 2 AND {inside("cz + i", "cy + j", "cx + k")} <> {inside("cz + i + dz", "cy + j + dy", "cx + k + dx")}),
+pairs AS MATERIALIZED (SELECT p.cz, p.cy, p.cx, (p.z, p.y, p.x) AS a, (q.z, q.y, q.x) AS b, sqrt(CAST((p.z - q.z) ** 2 + (p.y - q.y) ** 2 + (p.x - q.x) ** 2 AS DOUBLE)) / 2 AS w, {shared} AS near
+  FROM mids p JOIN mids q ON p.cz = q.cz AND p.cy = q.cy AND p.cx = q.cx AND (p.z, p.y, p.x) < (q.z, q.y, q.x)),
+half AS (SELECT a, b, w FROM pairs WHERE near UNION SELECT a, b, w FROM (SELECT *, min(a) OVER (PARTITION BY cz, cy, cx) AS first FROM pairs) WHERE NOT near AND a = first),
+e AS MATERIALIZED (SELECT a, b, w FROM half UNION SELECT b, a, w FROM half),
+valued AS MATERIALIZED (SELECT v, coalesce(n, 0) / {density} AS m FROM (SELECT DISTINCT a AS v FROM e) LEFT JOIN (SELECT e.v, count(*) AS n FROM (SELECT DISTINCT a AS v FROM e) e JOIN fx_nuclei p ON pow(e.v[1] * 4 - z_um, 2) + pow(e.v[2] * 4 - y_um, 2) + pow(e.v[3] * 4 - x_um, 2) <= 3600 GROUP BY 1) USING (v)),
+source AS (SELECT v, m FROM valued ORDER BY m DESC, v LIMIT 1),
+w0 AS (SELECT v, 0.0::DOUBLE AS d FROM source), {steps},
+seen AS (SELECT d * 8 AS d, abs(x.m - s.m) / abs(s.m) AS change FROM w{rounds} w JOIN valued x ON x.v = w.v, source s)
+SELECT t AS threshold, round((SELECT min(d) FROM seen WHERE change >= t), 6) AS decorrelation_um, CAST({lesion} AS BIGINT) AS lesion_id, (SELECT count(*) FROM valued) AS n_surface_vertices, (SELECT count(*) FROM valued x, source s WHERE x.v < s.v) AS source_vertex_index, round((SELECT m FROM source), 6) AS metric_at_source FROM (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) t(t))"""
+
+
 def extended_sql() -> dict[str, str]:
     known = oracle_sql()
     grown = f"WITH RECURSIVE {_SEEDS}"
@@ -335,6 +421,13 @@ def extended_sql() -> dict[str, str]:
         "growing_euler": f"{grown} SELECT component, CAST(sum(CASE WHEN (abs(z) % 2 + abs(y) % 2 + abs(x) % 2) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS euler_number FROM (SELECT DISTINCT component, 2 * z + i AS z, 2 * y + j AS y, 2 * x + k AS x FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) GROUP BY 1",
         "growing_surface": f"{grown}, {_AREAS} SELECT component, round(surface_area_um2, 4) AS surface_area_um2 FROM ({_surface('cells', 'component')})",
         "cloud_hull": _cloud_hull(),
+        "surface_ways": sql(f"{_ways(1)} UNION ALL {_ways(2)}", "fx_lesions", "fx_nuclei"),
+        "gradient_rows": gradient_sql(" SELECT z, y, x, round(sqrt(dwz * dwz + dwy * dwy + dwx * dwx) * 1e6, 6) AS gradient FROM s WHERE round(sqrt(dwz * dwz + dwy * dwy + dwx * dwx) * 1e6, 6) <> 0"),
+        "pair_rows": sql("SELECT p.id, q.id AS other, round(pow(p.z - q.z, 2) + pow(p.y - q.y, 2) + pow(p.x - q.x, 2), 3) AS d2 FROM fx_points p JOIN fx_points q ON pow(p.z - q.z, 2) + pow(p.y - q.y, 2) + pow(p.x - q.x, 2) <= 2500", "fx_points"),
+        "nuclei_z": sql("SELECT n.instance_id, n.section_index, CAST((s.section_number - 1) * 8 AS DOUBLE) AS z_um FROM fx_nuclei n JOIN fx_sections s ON s.section_index = n.section_index", "fx_nuclei", "fx_sections"),
+        "label_maps": f"{grown} SELECT CAST(z AS INT) AS section_index, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(label AS INT) AS label FROM cells",
+        "instance_shapes": f"WITH {_RECTS} SELECT CAST(z AS INT) AS section_index, ty * 64 + tx AS label, round(0.5::DOUBLE * sqrt(greatest(h * h + (w - 1) * (w - 1), w * w + (h - 1) * (h - 1))), 6) AS feret_diameter_um, 1.0::DOUBLE AS solidity FROM rects WHERE ty * 64 + tx <> 0",
+        "section_slides": "SELECT CASE s_suppkey % 3 WHEN 0 THEN format('{:04d}.png', s_suppkey) ELSE format('run/{:04d}', s_suppkey) END AS name, CAST(s_suppkey AS INT) AS section_index FROM supplier WHERE s_suppkey % 3 <> 2 AND s_suppkey IN (SELECT c_custkey FROM customer)",
         "opened_tissue": f"{grown} SELECT CAST(s AS INT) AS section_index, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM ({_opened('SELECT z AS s, y, x FROM cells')})",
         "opened_bbox": f"{grown} SELECT CAST(coalesce(greatest(min(y) - 5, 0), 0) AS INT) AS y0, CAST(coalesce(greatest(min(x) - 5, 0), 0) AS INT) AS x0, CAST(coalesce(least(max(y) + 6, 192), 192) AS INT) AS y1, CAST(coalesce(least(max(x) + 6, 192), 192) AS INT) AS x1 FROM (SELECT y, x FROM ({_opened('SELECT z AS s, y % 192 AS y, x FROM cells WHERE label < 3')}) GROUP BY 1, 2 HAVING count(DISTINCT s) >= 2)",
         "lesion_percentiles": f"{grown} SELECT CAST(label AS INT) AS class_index, " + ", ".join(f"quantile_cont(v, {q}) AS {n}" for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("p99", 0.99))) + " FROM (SELECT label, component, sum(h * w) * 512.0::DOUBLE AS v FROM bodies GROUP BY 1, 2) GROUP BY 1",

@@ -91,6 +91,11 @@ def _composition(centres: str, cells: str, r2: float, views: tuple[str, ...]) ->
 _EVEN = "CAST(round_even({}, 0) AS INT)"
 
 
+def gradient_sql(select: str) -> str:
+    """What `select` takes from s(z, y, x, dwz, dwy, dwx), the parts of the gradient of the smoothed density."""
+    return _kde(", f AS (SELECT g.z, g.y, g.x, coalesce(v, 0) / 512 AS v FROM (SELECT z, y, x FROM (SELECT unnest(range(0, 7)) AS z), (SELECT unnest(range(0, 40)) AS y), (SELECT unnest(range(0, 40)) AS x)) g LEFT JOIN gx ON gx.z = g.z AND gx.y = g.y AND gx.x = g.x), s AS (SELECT z, y, x, " + ", ".join(f"coalesce((lead(v) OVER {a} - lag(v) OVER {a}) / 16, (lead(v) OVER {a} - v) / 8, (v - lag(v) OVER {a}) / 8) AS d{a}" for a in ("wz", "wy", "wx")) + " FROM f WINDOW wz AS (PARTITION BY y, x ORDER BY z), wy AS (PARTITION BY z, x ORDER BY y), wx AS (PARTITION BY z, y ORDER BY x))" + select)
+
+
 def oracle_sql() -> dict[str, str]:
     per = "ORDER BY section_index"
     out = {
@@ -117,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "nn_distance": sql("SELECT p.instance_id, " + ", ".join(f"round(sqrt(min(pow(p.z_um - q.z_um, 2) + pow(p.y_um - q.y_um, 2) + pow(p.x_um - q.x_um, 2)) FILTER (q.class_index = {c})), 6) AS nn_dist_um_class_{c}" for c in (1, 2, 3, 4)) + " FROM fx_classed p LEFT JOIN fx_classed q ON q.instance_id <> p.instance_id GROUP BY 1", "fx_classed"),
         "density_histogram": sql("SELECT CAST(least(floor(z_um / 8), 6) AS INT) AS z, CAST(least(floor(y_um / 8), 39) AS INT) AS y, CAST(least(floor(x_um / 8), 39) AS INT) AS x, count(*) AS n FROM fx_nuclei WHERE z_um BETWEEN 0 AND 56 AND y_um BETWEEN 0 AND 320 AND x_um BETWEEN 0 AND 320 GROUP BY 1, 2, 3", "fx_nuclei"),
         "density_kde": _kde("SELECT z, y, x, round(v / 512 * 1e6, 4) AS value FROM gx"),
-        "density_gradient": _kde(", f AS (SELECT g.z, g.y, g.x, coalesce(v, 0) / 512 AS v FROM (SELECT z, y, x FROM (SELECT unnest(range(0, 7)) AS z), (SELECT unnest(range(0, 40)) AS y), (SELECT unnest(range(0, 40)) AS x)) g LEFT JOIN gx ON gx.z = g.z AND gx.y = g.y AND gx.x = g.x), s AS (SELECT z, " + ", ".join(f"coalesce((lead(v) OVER {a} - lag(v) OVER {a}) / 16, (lead(v) OVER {a} - v) / 8, (v - lag(v) OVER {a}) / 8) AS d{a}" for a in ("wz", "wy", "wx")) + " FROM f WINDOW wz AS (PARTITION BY y, x ORDER BY z), wy AS (PARTITION BY z, x ORDER BY y), wx AS (PARTITION BY z, y ORDER BY x)) SELECT z, round(sum(sqrt(dwz * dwz + dwy * dwy + dwx * dwx)) * 1e6, 3) AS sum_gradient, round(max(sqrt(dwz * dwz + dwy * dwy + dwx * dwx)) * 1e6, 3) AS max_gradient FROM s GROUP BY 1"),
+        "density_gradient": gradient_sql(" SELECT z, round(sum(sqrt(dwz * dwz + dwy * dwy + dwx * dwx)) * 1e6, 3) AS sum_gradient, round(max(sqrt(dwz * dwz + dwy * dwy + dwx * dwx)) * 1e6, 3) AS max_gradient FROM s GROUP BY 1"),
         "radial_profile": _profile(),
         "profile_lesions": sql("SELECT CAST(p AS DOUBLE) AS percentile, instance_id, CAST(volume_um3 AS DOUBLE) AS volume_um3 FROM (SELECT min(p) AS p, rank FROM (SELECT p, least(CAST(floor((SELECT count(*) FROM fx_lesions) * p / 100.0) AS INT), (SELECT count(*) FROM fx_lesions) - 1) AS rank FROM (VALUES (50), (90), (99)) t(p)) GROUP BY 2) JOIN (SELECT instance_id, volume_um3, row_number() OVER (ORDER BY volume_um3, instance_id) - 1 AS rank FROM fx_lesions) USING (rank)", "fx_lesions"),
         "top10_lesions": sql("SELECT instance_id, class_name, CAST(volume_um3 AS DOUBLE) AS volume_um3 FROM fx_lesions ORDER BY volume_um3 DESC, instance_id LIMIT 10", "fx_lesions"),
