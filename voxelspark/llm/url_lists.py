@@ -1,12 +1,12 @@
 """URL filter by dated lists: entries become validity intervals, and an as-of join judges each capture at its fetch time.
 
 DataFrame functions only. A capture is looked up under every domain suffix of its host (two labels or more), alone and with
-each of the first `SEGMENTS` leading parts of its path; the longest entry active at fetch time decides. An entry with a longer path
-raises, as it could not be found. The captures of one host can be a third
-of all: their rows are salted, and each interval is repeated once for each salt, so the join has no hot key.
+each leading part of its path, as many as the longest path of an entry has segments; the longest entry active at fetch time
+decides. The captures of one host can be a third of all: their rows are salted, and each interval is repeated once for each salt, so the join has no hot key.
 
 Nulls: a null or unusable URL (no scheme and host, or a host over 253 characters) matches nothing; a null fetch time
-matches nothing. Entries with a null pattern, action or date are skipped. Several entries for one pattern and day: an add
+matches nothing. A dot at the end of a host does not count. Entries with a null pattern, action or date, or with an action other than add and
+remove (in any case), are skipped. Several entries for one pattern and day: an add
 wins over a remove. Captures alike in id, URL and time come out as one row, with their number in `copies`. An empty list
 blocks nothing; no captures give no rows. Other columns are not read.
 """
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^?#]*)"
-#: The longest path of an entry, in segments: a URL has so many keys for each of its domains, and one.
-SEGMENTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -29,10 +27,10 @@ def host_of(url: Column) -> Column:
     return F.when((F.length(host) > 253) | host.isNull(), "").otherwise(host)
 
 
-def keys_of(url: Column) -> Column:
-    """The patterns that a URL can match: its host and every parent domain of two labels or more, alone and with each leading part of its path."""
-    host = host_of(url)
-    segments = F.slice(F.filter(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), lambda s: s != ""), 1, SEGMENTS)
+def keys_of(url: Column, depth: int) -> Column:
+    """The patterns that a URL can match: its host and every parent domain of two labels or more, alone and with each leading part of its path of up to `depth` segments."""
+    host = F.rtrim(host_of(url), F.lit("."))
+    segments = F.slice(F.filter(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), lambda s: s != ""), 1, depth)
     parts = F.split(host, r"\.")
     # a host of one label has no suffix but itself
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
@@ -40,11 +38,20 @@ def keys_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda d: F.transform(paths, lambda p: F.concat(d, p)))))
 
 
+def plain(pattern: Column) -> Column:
+    """A pattern in lower case, without slashes at its end or dots at the end of its host."""
+    parts = F.split(F.lower(F.rtrim(pattern, F.lit("/"))), "/")
+    return F.array_join(F.concat(F.array(F.rtrim(parts[0], F.lit("."))), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))), "/")
+
+
+def deepest(entries: DataFrame, pattern: str = "pattern") -> int:
+    """The most path segments of an entry."""
+    return entries.agg(F.max(F.size(F.split(plain(F.col(pattern)), "/")) - 1)).first()[0] or 0
+
+
 def validity(entries: DataFrame, *, pattern: str = "pattern", action: str = "action", at: str = "at") -> DataFrame:
     """pattern, valid_from, valid_to (null: still active): one row for each time that a pattern was listed."""
-    path = F.size(F.split(F.rtrim(F.col(pattern), F.lit("/")), "/")) - 1
-    named = F.when(path > SEGMENTS, F.raise_error(F.format_string(f"a path of more than {SEGMENTS} segments: %s", F.col(pattern))).cast("string")).otherwise(F.lower(F.rtrim(F.col(pattern), F.lit("/"))))
-    known = entries.select(named.alias("pattern"), F.col(action).alias("action"), F.col(at).alias("at")).dropna()
+    known = entries.select(plain(F.col(pattern)).alias("pattern"), F.lower(F.trim(action)).alias("action"), F.col(at).alias("at")).dropna().where("action in ('add', 'remove')")
     by_day = known.groupBy("pattern", "at").agg(F.min("action").alias("action"))
     order = Window.partitionBy("pattern").orderBy("at")
     changes = by_day.withColumn("was", F.lag("action").over(order)).where((F.col("was").isNull() & (F.col("action") == "add")) | (F.col("was") != F.col("action")))
@@ -55,7 +62,7 @@ def validity(entries: DataFrame, *, pattern: str = "pattern", action: str = "act
 def judge(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched", salts: int = 16) -> DataFrame:
     """id, url, fetched, host, blocked, pattern, listed_since, copies for each capture."""
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("fetched"))
-    found = own.select("*", F.posexplode_outer(keys_of(F.col("url"))).alias("k", "pattern"))
+    found = own.select("*", F.posexplode_outer(keys_of(F.col("url"), deepest(entries))).alias("k", "pattern"))
     found = found.withColumn("salt", F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(salts)).cast("int"))
     spans = validity(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     in_force = (F.col("f.fetched") >= F.col("s.valid_from")) & (F.col("s.valid_to").isNull() | (F.col("f.fetched") < F.col("s.valid_to")))
