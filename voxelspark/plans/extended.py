@@ -337,9 +337,17 @@ rows_ AS (SELECT component, z, y, min(x) AS lo, max(x) AS hi FROM image GROUP BY
 rims AS (SELECT component, z, y, lo AS x FROM rows_ UNION SELECT component, z, y, hi FROM rows_),
 rim AS (SELECT * FROM rims r WHERE NOT EXISTS (SELECT 1 FROM rims a WHERE a.component = r.component AND a.x = r.x AND a.z = r.z AND a.y = r.y - 1) OR NOT EXISTS (SELECT 1 FROM rims a WHERE a.component = r.component AND a.x = r.x AND a.z = r.z AND a.y = r.y + 1)),
 mids AS MATERIALIZED (SELECT component, 2 * z + dz AS z, 2 * y + dy AS y, 2 * x + dx AS x FROM rim, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) d(dz, dy, dx)),
+flat AS MATERIALIZED (SELECT DISTINCT a.component FROM top a JOIN top b ON a.component = b.component AND b.nz = -a.nz AND b.ny = -a.ny AND b.nx = -a.nx WHERE a.h + b.h = 0),
+-- in a plane: the hull of the corners is that of the voxels plus a cube, whose volume is 1, the widths, and the areas of the three shadows
+shadow AS MATERIALIZED (SELECT DISTINCT component, i, a, b FROM (SELECT component, 0 AS i, y AS a, x AS b FROM pts UNION ALL SELECT component, 1, z, x FROM pts UNION ALL SELECT component, 2, z, y FROM pts) SEMI JOIN flat USING (component)),
+turns AS (SELECT p.component, p.i, p.a AS pa, p.b AS pb, q.a AS qa, q.b AS qb, min((q.a - p.a) * (r.b - p.b) - (q.b - p.b) * (r.a - p.a)) AS side, count(*) FILTER ((q.a - p.a) * (r.b - p.b) = (q.b - p.b) * (r.a - p.a) AND ((r.a - p.a) * (q.a - p.a) + (r.b - p.b) * (q.b - p.b) < 0 OR (r.a - q.a) * (p.a - q.a) + (r.b - q.b) * (p.b - q.b) < 0)) AS beyond
+  FROM shadow p JOIN shadow q ON p.component = q.component AND p.i = q.i AND (p.a, p.b) <> (q.a, q.b) JOIN shadow r ON r.component = p.component AND r.i = p.i GROUP BY ALL),
+areas AS (SELECT component, sum(pa * qb - pb * qa) / 2 AS area FROM turns WHERE side >= 0 AND beyond = 0 GROUP BY 1),
+plane AS (SELECT component, max((abs(p.z - q.z) + 1) ** 2 + (abs(p.y - q.y) + 1) ** 2 + (abs(p.x - q.x) + 1) ** 2) AS d, 1 + max(p.z) - min(p.z) + max(p.y) - min(p.y) + max(p.x) - min(p.x) AS rest FROM pts p JOIN pts q USING (component) SEMI JOIN flat USING (component) GROUP BY 1),
 far AS (SELECT a.component, max((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM mids a JOIN mids b ON a.component = b.component AND (a.z, a.y, a.x) < (b.z, b.y, b.x) GROUP BY 1)
 SELECT component, round(sqrt(d) * 4, 6) AS feret_diameter_max_um, round(n * 1.0::DOUBLE / m, 6) AS solidity
-FROM far JOIN (SELECT component, count(*) AS n FROM cloud GROUP BY 1) USING (component) JOIN (SELECT component, count(*) AS m FROM image GROUP BY 1) USING (component)
+FROM far JOIN (SELECT component, count(*) AS n FROM cloud GROUP BY 1) USING (component) JOIN (SELECT component, count(*) AS m FROM image GROUP BY 1) USING (component) ANTI JOIN flat USING (component)
+UNION ALL SELECT component, round(sqrt(d) * 8, 6), round(n / (rest + coalesce(area, 0.0))::DOUBLE, 6) FROM plane JOIN (SELECT component, count(*) AS n FROM cloud GROUP BY 1) USING (component) LEFT JOIN areas USING (component)
 """
 
 
