@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,21 +245,32 @@ def run_shapes(runs: DataFrame, *, mpp: float, by: tuple[str, ...]) -> DataFrame
 
 
 def _shapes(rows: DataFrame, mpp: float, by: tuple[str, ...]) -> DataFrame:
-    kinds = dict(rows.dtypes)
-
-    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, lo, hi = (pdf[c].to_numpy(float) for c in ("y", "lo", "hi"))
-        p = np.concatenate([np.column_stack((y + dy, x + dx)) for x in (lo, hi) for dy, dx in ((-0.5, 0), (0.5, 0), (0, -0.5), (0, 0.5))])
-        ring = meshes.outline(np.unique(p, axis=0))
-        side = np.roll(ring, -1, axis=0) - ring
-        inside = 0
-        for row in range(int(y.min()), int(y.max()) + 1):
-            x = np.arange(lo.min(), hi.max() + 1)
-            cross = side[:, :1] * (x[None] - ring[:, 1:]) - side[:, 1:] * (row - ring[:, :1])
-            inside += int((cross >= -1e-9).all(axis=0).sum())
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "feret_diameter_um": [meshes.widest(ring) * mpp], "solidity": [pdf["n"].sum() / inside]})
-
-    return rows.groupBy(*by).applyInPandas(describe, ", ".join(f"{c} {kinds[c]}" for c in by) + ", feret_diameter_um double, solidity double")
+    whole = rows.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.flatten(F.collect_list(F.array(*(F.col(c).cast("long") for c in ("y", "lo", "hi"))))).alias("ends"))  # an instance's rows
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*by).schema)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, n = batch.column("ends"), batch.column("n").to_numpy()
+            flat, at = ends.values.to_numpy(zero_copy_only=False).reshape(-1, 3).astype(float), ends.offsets.to_numpy() // 3
+            found = [_shape(flat[at[k] : at[k + 1]], int(n[k])) for k in range(batch.num_rows)]
+            feret, solid = (pa.array([f[i] for f in found], pa.float64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pc.multiply(feret, mpp), solid], names=[*by, "feret_diameter_um", "solidity"])
+
+    return whole.mapInArrow(describe, f"{fields}, feret_diameter_um double, solidity double")
+
+
+def _shape(rows: np.ndarray, n: int) -> tuple[float, float]:
+    """(Feret diameter, solidity) of n pixels by their rows (y, first x, last x)."""
+    y, lo, hi = rows.T
+    p = np.concatenate([np.column_stack((y + dy, x + dx)) for x in (lo, hi) for dy, dx in ((-0.5, 0), (0.5, 0), (0, -0.5), (0, 0.5))])
+    ring = meshes.outline(np.unique(p, axis=0))
+    side = np.roll(ring, -1, axis=0) - ring
+    x, inside = np.arange(lo.min(), hi.max() + 1), 0
+    for top in range(int(y.min()), int(y.max()) + 1, 64):  # some rows at a time
+        row = np.arange(top, min(top + 64, int(y.max()) + 1))
+        cross = side[:, 0, None, None] * (x - ring[:, 1, None, None]) - side[:, 1, None, None] * (row[:, None] - ring[:, 0, None, None])
+        inside += int((cross >= -1e-9).all(axis=0).sum())
+    return meshes.widest(ring), n / inside
 
 
 def warp_points(points: DataFrame, warp: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
