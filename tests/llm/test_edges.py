@@ -199,6 +199,22 @@ def test_hamming(spark, broadcast_rows):
     assert hamming.top_k(df.limit(0), df).count() == 0 and hamming.top_k(df, df.limit(0)).count() == 0
 
 
+def test_hamming_meets_less_than_a_scan(spark):
+    """Exact on 20,000 codes, with fewer rows met for each query than a plain scan has."""
+    rng = np.random.default_rng(4)
+    bits = rng.random((20_000, 64)) < 0.5
+    groups = bits[rng.integers(0, 500, 20_000)] ^ (rng.random((20_000, 64)) < 0.03)
+    for code, share in ((bits, 0.5), (groups, 0.02)):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(np.where(code, 1.0, -1.0).tolist())], "vec_id long, embedding array<double>")
+        met = []
+        got = hamming.top_k(df, df.where("vec_id % 1000 = 0"), k=10, met_rows=met).toPandas().sort_values(["query_id", "rank"])
+        for q in range(0, 20_000, 1000):
+            d = (code != code[q]).sum(1)
+            mine = got[got["query_id"] == q]
+            assert list(zip(mine["distance"], mine["neighbour_id"], strict=True)) == sorted((int(d[j]), j) for j in range(20_000) if j != q)[:10]
+        assert met[0][0] == 20 and sum(n for _, n in met) < share * 20 * 20_000
+
+
 def test_hamming_of_other_lengths(spark):
     """Numbers beyond the 64th count; NaN, null and missing ones are not positive; fewer than k others give fewer rows."""
     rng = np.random.default_rng(3)

@@ -1,11 +1,14 @@
 """Exact top-k neighbours of binary codes by incremental multi-index hashing.
 
 A code is cut into segments of `WIDTH` bits. If two codes are within s * (r + 1) - 1 bits of each other, some of their s
-segments are within r bits. The index has one row for each code and segment. In round r every open query probes all values
-within r bits of its own in each segment (or all that the index has, if these are fewer); the join meets the codes that have them, and whole distances are verified in it. Of
-these the round keeps those beyond the reach of the rounds before and within its own, s * (r + 1) - 1, of which none can be
-missing. A query closes once it has its k neighbours: no nearer code can be left. So most rounds have few queries, and nothing
-is compared twice: a pair counts in its first segment within r bits only.
+segments are within r bits. The index has one row for each code and segment. In round r every open query probes, in each
+segment, the values that are exactly r bits from its own, and the join meets the codes that have them. So no round repeats
+another's probes, and a pair is compared once in all: in its first segment of those that differ least. Each query keeps the
+k + 1 nearest codes met so far. After round r none within s * (r + 1) - 1 bits can be missing, so a query closes once it
+has its k neighbours among those; what it met beyond that reach waits for the rounds that cover it.
+
+How much of the index is met depends on how far the k-th neighbour is: a segment's round r meets comb(16, r) / 65,536 of random
+codes. `met_rows` tells how many rows a search met, round by round.
 
 Rows with equal codes are searched once: the index holds distinct codes with their k + 1 least ids (no answer needs more), and
 the queries are distinct codes too, so copies cost nothing. The index is broadcast while it has at most `broadcast_rows` rows;
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.shared import drop_stored, stored
@@ -45,12 +48,15 @@ def _segment(longs: list[Column], s: int) -> Column:
 
 
 def _masks(r: int) -> Column:
-    """All values of `WIDTH` bits with at most r of them set."""
-    return F.expr(f"array({', '.join(str(m) for m in range(1 << WIDTH) if m.bit_count() <= r)})")
+    """All values of `WIDTH` bits with exactly r of them set."""
+    return F.expr(f"array({', '.join(str(m) for m in range(1 << WIDTH) if m.bit_count() == r)})")
+
 
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, probes_per_task: int = 1_000_000, met_rows: list[tuple[int, int]] | None = None) -> DataFrame:
+    """query_id, neighbour_id, distance, rank (from 1): the k nearest other rows of `vectors` for every row of `queries`.
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, probes_per_task: int = 1_000_000) -> DataFrame:
-    """query_id, neighbour_id, distance, rank (from 1): the k nearest other rows of `vectors` for every row of `queries`."""
+    A list given as `met_rows` gets the number of open queries and of rows that their probes met for each round.
+    """
     longest = F.max(F.size(vector_col)).alias("n")
     most = vectors.select(longest).union(queries.select(longest)).agg(F.max("n")).first()[0] or 1
     longs, segments = max(1, -(-most // 64)), 64 // WIDTH * max(1, -(-most // 64))
@@ -67,32 +73,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     index = F.broadcast(index) if small else stored(index)
     apart = [F.col("code")[w].bitwiseXOR(F.col("near")[w]) for w in range(longs)]
     distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0])).cast("int")
-    first = Window.partitionBy("code").orderBy("distance", "id")
-    open_queries, rings = stored(asked.select("code", F.lit(0).cast("long").alias("have")).distinct()), []
+    differ = [F.bit_count(_segment(apart, s)) for s in range(segments)]
+    nearest, of = Window.partitionBy("code").orderBy("distance", "id"), Window.partitionBy("code")
+    kept = found = vectors.sparkSession.createDataFrame([], "code array<long>, near array<long>, id long, n int, distance int")
+    open_queries = stored(asked.select("code").distinct())
     for r in range(WIDTH + 1):
-        n_open, n_masks = open_queries.count(), sum(comb(WIDTH, n) for n in range(r + 1))
-        if not n_open:
+        n_open, n_masks, reach = open_queries.count(), comb(WIDTH, r), segments * (r + 1) - 1
+        if not n_open or not n_codes:
             break
         # few queries make many probes: as many tasks as there are `probes_per_task` of them
-        spread = -(-n_open * segments * min(n_masks, n_codes) // probes_per_task)
+        spread = -(-n_open * segments * n_masks // probes_per_task)
         asking = open_queries.repartition(max(1, min(n_open, spread)), "code").select("code", cut).select("code", "s.segment", F.col("s.value").alias("own"))
-        its_first = F.coalesce(*(F.when(F.bit_count(_segment(apart, s)) <= r, F.lit(s)) for s in range(segments))) == F.col("segment")
-        if small and n_codes <= n_masks:
-            # fewer codes than values within r bits: the values that the index has are compared instead
-            met = asking.join(index, "segment").where(F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) <= r)
-        else:
-            probes = asking.select("code", "segment", "own", F.explode(_masks(r)).alias("mask"))
-            met = probes.select("code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).join(index, ["segment", "value"])
-        met = met.where(distance.between(segments * r, segments * (r + 1) - 1) & its_first)
-        ring = met.select("code", "near", "id", "n", distance.alias("distance")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-        rings.append(stored(ring.select("code", "near", "n", "distance")))
-        now = rings[-1].groupBy("code").agg(F.sum("n").alias("now"))
-        left = open_queries.join(now, "code", "left").select("code", (F.col("have") + F.coalesce("now", F.lit(0))).alias("have")).where(F.col("have") < enough)
-        before, open_queries = open_queries, stored(left)
+        probes = asking.select("code", "segment", "own", F.explode(_masks(r)).alias("mask")).select("code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        met = probes.join(index, ["segment", "value"])
+        if met_rows is not None:
+            seen = Observation()
+            met = met.observe(seen, F.count("*").alias("rows"))
+        # not met by an earlier round, nor in an earlier segment of this one
+        once = (F.least(*differ) == r) & (F.coalesce(*(F.when(d == r, F.lit(s)) for s, d in enumerate(differ))) == F.col("segment"))
+        best = kept.unionByName(met.where(once).select("code", "near", "id", "n", distance.alias("distance"))).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
+        covered = F.sum(F.when(F.col("distance") <= reach, F.col("n")).otherwise(0)).over(of) >= enough
+        ring = stored(best.select("code", "near", "id", "n", "distance", covered.alias("closed")))
+        if met_rows is not None:
+            met_rows.append((n_open, seen.get["rows"]))
+        found, kept = found.unionByName(ring.where("closed").drop("closed")), ring.where("not closed").drop("closed")
+        before, open_queries = open_queries, stored(open_queries.join(ring.where("closed").select("code").distinct(), "code", "left_anti"))
         drop_stored(before)
-    found = vectors.sparkSession.createDataFrame([], "code array<long>, near array<long>, distance int")
-    for ring in rings:
-        found = found.unionByName(ring.drop("n"))
+    found = found.select("code", "near", "distance")
     ids = found.join(codes.select(F.col("code").alias("near"), "ids"), "near").select("code", "distance", F.explode("ids").alias("neighbour_id"))
     mine = asked.join(ids, "code").where(F.col("id") != F.col("neighbour_id")).select(F.col("id").alias("query_id"), "neighbour_id", "distance")
     return mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
