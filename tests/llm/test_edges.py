@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm import brute
-from voxelspark.llm import chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, url_lists, warc
+from voxelspark.llm import chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, shared, url_lists, warc
 from voxelspark.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -180,6 +180,17 @@ def test_positions_are_few_and_shared(spark):
     assert {r["fingerprint"] for r in found if r["doc"] == 1} & {r["fingerprint"] for r in found if r["doc"] == 2}
 
 
+def test_salted_join(spark):
+    """A key with two thirds of the rows is split, no row is lost or doubled, keys of one side only go."""
+    keys = [0] * 600 + list(range(1, 201)) * 2
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    keyed = rows.where("k <> 7").groupBy("k").agg(F.count("*").alias("n")).union(spark.createDataFrame([(999, 3)], "k long, n long"))
+    got = shared.salted_join(rows, keyed, ["k"], F.col("id"), "n", 1000)
+    assert got.columns == ["k", "id"]
+    assert sorted((r.id, r.k) for r in got.collect()) == [(i, k) for i, k in enumerate(keys) if k != 7]
+    assert shared.salted_join(rows.limit(0), keyed.limit(0), ["k"], F.col("id"), "n", 0).count() == 0
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 10_000])
 def test_hamming(spark, broadcast_rows):
     rng = np.random.default_rng(2)

@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.bytewords import mix, shingle_sets
-from voxelspark.llm.shared import bounded, drop_stored, stored
+from voxelspark.llm.shared import bounded, drop_stored, salted_join, stored
 from voxelspark.operators.components import edge_components as components
 
 #: Sets with a Jaccard of 0.8 that differ share four shingles at least, so combinations of three are always there.
 LONGEST = 3
 #: Random orders in which the nodes of a bucket are compared with those before them, and with how many.
 ORDERS, NEAR = 4, 8
+#: About how many nodes of a bucket are put in one such order.
+STRETCH = 4096
 #: Bound of the shingles that are put last as frequent (16 bytes each). Those beyond it are ordered as rare ones are.
 MOST_FREQUENT = 1 << 19
 _FILTER = 22
@@ -259,7 +261,10 @@ class JaccardJoin:
 
     def _neighbours(self, live: DataFrame) -> DataFrame:
         """All unconnected pairs of small buckets, and of larger ones up to two for each node with those near it in a random order."""
-        order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(ORDERS))), "node").rowsBetween(-NEAR, -1)
+        # a random order may be cut at random: a large bucket is dealt to several tasks
+        turn = F.pmod("token", F.lit(ORDERS))
+        part = F.pmod(F.xxhash64(turn, "node"), F.ceil(F.col("size") / STRETCH))
+        order = Window.partitionBy("token", part).orderBy(F.xxhash64("node", turn), "node").rowsBetween(-NEAR, -1)
         near = live.where(F.col("size") > 2 * NEAR).withColumn("before", F.collect_list(F.struct("node", "n", "label", "pos", "bits")).over(order))
         total = "(o.n + n)"
         far = " + ".join(f"bit_count(o.bits[{k}] ^ bits[{k}])" for k in range(BITS))
@@ -302,7 +307,10 @@ class JaccardJoin:
         labels = components(links)
         first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
         tokens = nodes.select("node", F.posexplode(first).alias("pos", "token"))
-        posts = stored(tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").drop("size"))
+        sizes = stored(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"))
+        n_posts = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        posts = stored(salted_join(tokens, sizes, ["token"], F.col("node"), "size", n_posts))
+        drop_stored(sizes)
         for pairs in (self._neighbours, lambda live: self._open_pairs(live, nodes)):
             live = self._labelled(posts, nodes, labels)
             if live.limit(1).count():

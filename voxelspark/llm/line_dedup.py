@@ -14,8 +14,8 @@ DataFrame functions only.
 A line goes if and only if it lies in a run of over `words` words that also begins at an earlier place.
 
 A window has at most `words` + 1 lines. The first place of an extension is a minimum, so it is aggregated before the shuffle, and
-no two copies are paired with each other: a passage in a third of the documents costs one row for each copy. Both joins are
-salted, so copies of one line are dealt to `salts` tasks.
+no two copies are paired with each other: a passage in a third of the documents costs one row for each copy. Both joins deal
+a fingerprint or extension that has more positions than a task's even share to as many tasks as it needs, and leave the others whole.
 
 Nulls: a null text stays null. Rows alike in id and text are one document and come out alike. Null ids come first. Texts
 without lines of words stay as they are; a document may lose all its lines and then has an empty text. Empty tables give
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelspark.llm.shared import stored
+from voxelspark.llm.shared import salted_join, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,23 +49,17 @@ def positions(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", text_
     return each.groupBy("doc", "text_hash", F.col("w.least.pos").alias("place"), F.col("w.least.h").alias("fingerprint")).agg(F.collect_set(F.struct("w.first", "w.last", "w.content")).alias("windows"))
 
 
-def _salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """The inner join on keys that are unique in `right`, with each key of `left` dealt to several tasks."""
-    many = left.withColumn("_salt", F.pmod(F.xxhash64("doc", "place"), F.lit(salts)))
-    few = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return many.join(few, [*keys, "_salt"]).drop("_salt")
-
-
-def repeated_runs(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", text_col: str = "text", salts: int = 8) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, text_hash, runs (array of first and last line, in order): the lines to delete of every document that has any."""
     selected = stored(positions(docs, words=words, id_col=id_col, text_col=text_col))
-    shared = selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    met = _salted(selected, shared, ["fingerprint"], salts)
+    of_copy = F.struct("doc", "text_hash", "place")
+    shared = stored(selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"))
+    met = salted_join(selected, shared, ["fingerprint"], of_copy, "n", selected.count())
     met = stored(met.select("doc", "text_hash", "place", "fingerprint", F.explode("windows").alias("w")).select("doc", "text_hash", "place", "fingerprint", "w.*"))
     at = F.struct("doc", "text_hash", "first")
     extension = ["fingerprint", "content"]
-    origins = met.groupBy(*extension).agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1").select(*extension, "origin")
-    later = _salted(met, origins, extension, salts).where(at != F.col("origin")).select("doc", "text_hash", "first", "last")
+    origins = stored(met.groupBy(*extension).agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1"))
+    later = salted_join(met, origins, extension, of_copy, "n", met.count()).where(at != F.col("origin")).select("doc", "text_hash", "first", "last")
     of = Window.partitionBy("doc", "text_hash").orderBy("first", "last")
     reach = F.max("last").over(of.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))
