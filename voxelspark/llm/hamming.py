@@ -4,7 +4,7 @@ A code is cut into segments of `WIDTH` bits. If two codes are within s * (r + 1)
 segments are within r bits. The index has one row for each code and segment. In round r every open query probes, in each
 segment, the values that are exactly r bits from its own, and the join meets the codes that have them. So no round repeats
 another's probes, and a pair is compared once in all: in its first segment of those that differ least. Each query keeps the
-k + 1 nearest codes met so far. After round r none within s * (r + 1) - 1 bits can be missing, so a query closes once it
+k + 1 nearest codes met so far, and once it has them what is farther than the last is dropped where it is met. After round r none within s * (r + 1) - 1 bits can be missing, so a query closes once it
 has its k neighbours among those; what it met beyond that reach waits for the rounds that cover it.
 
 How much of the index is met depends on how far the k-th neighbour is: a segment's round r meets comb(16, r) / 65,536 of random
@@ -76,28 +76,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     differ = [F.bit_count(_segment(apart, s)) for s in range(segments)]
     nearest, of = Window.partitionBy("code").orderBy("distance", "id"), Window.partitionBy("code")
     kept = found = vectors.sparkSession.createDataFrame([], "code array<long>, near array<long>, id long, n int, distance int")
-    open_queries = stored(asked.select("code").distinct())
+    open_queries = stored(asked.select("code", F.lit(64 * longs).alias("bound")).distinct())
     for r in range(WIDTH + 1):
         n_open, n_masks, reach = open_queries.count(), comb(WIDTH, r), segments * (r + 1) - 1
         if not n_open or not n_codes:
             break
         # few queries make many probes: as many tasks as there are `probes_per_task` of them
         spread = -(-n_open * segments * n_masks // probes_per_task)
-        asking = open_queries.repartition(max(1, min(n_open, spread)), "code").select("code", cut).select("code", "s.segment", F.col("s.value").alias("own"))
-        probes = asking.select("code", "segment", "own", F.explode(_masks(r)).alias("mask")).select("code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        asking = open_queries.repartition(max(1, min(n_open, spread)), "code").select("code", "bound", cut).select("code", "bound", "s.segment", F.col("s.value").alias("own"))
+        probes = asking.select("code", "bound", "segment", "own", F.explode(_masks(r)).alias("mask")).select("code", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(index, ["segment", "value"])
         if met_rows is not None:
             seen = Observation()
             met = met.observe(seen, F.count("*").alias("rows"))
         # not met by an earlier round, nor in an earlier segment of this one
         once = (F.least(*differ) == r) & (F.coalesce(*(F.when(d == r, F.lit(s)) for s, d in enumerate(differ))) == F.col("segment"))
-        best = kept.unionByName(met.where(once).select("code", "near", "id", "n", distance.alias("distance"))).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
+        best = kept.unionByName(met.where((distance <= F.col("bound")) & once).select("code", "near", "id", "n", distance.alias("distance"))).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
         covered = F.sum(F.when(F.col("distance") <= reach, F.col("n")).otherwise(0)).over(of) >= enough
         ring = stored(best.select("code", "near", "id", "n", "distance", covered.alias("closed")))
         if met_rows is not None:
             met_rows.append((n_open, seen.get["rows"]))
         found, kept = found.unionByName(ring.where("closed").drop("closed")), ring.where("not closed").drop("closed")
-        before, open_queries = open_queries, stored(open_queries.join(ring.where("closed").select("code").distinct(), "code", "left_anti"))
+        far = F.when(F.sum("n") >= enough, F.max("distance")).alias("far")
+        state = ring.groupBy("code").agg(F.max("closed").alias("closed"), far)
+        left = open_queries.join(state, "code", "left").where(~F.coalesce("closed", F.lit(False))).select("code", F.coalesce("far", "bound").alias("bound"))
+        before, open_queries = open_queries, stored(left)
         drop_stored(before)
     found = found.select("code", "near", "distance")
     ids = found.join(codes.select(F.col("code").alias("near"), "ids"), "near").select("code", "distance", F.explode("ids").alias("neighbour_id"))
