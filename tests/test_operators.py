@@ -47,6 +47,28 @@ def test_euler(spark, points, euler):
     assert Q.euler_number(cells(spark, points), ["label"]).first()["euler_number"] == euler
 
 
+def test_sums_over_cells_meet_at_borders_of_blocks(spark):
+    r = np.random.default_rng(11)
+    pts = np.unique(np.column_stack((r.integers(61, 67, 900), r.integers(-3, 3, 900), r.integers(60, 66, 900))), axis=0)
+    rows = spark.createDataFrame([(*map(int, p), k % 2) for k, p in enumerate(pts)], "z int, y int, x int, label int")
+    masks = Q.cell_masks(rows, ["label"]).toPandas()
+    for label in (0, 1):
+        own = pts[label::2]
+        parts = {tuple(2 * p + (i, j, k)) for p in own for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)}
+        euler = sum(1 if sum(v % 2 for v in p) % 2 else -1 for p in parts)
+        area = sum(meshes.cell_area(m) for m in masks[masks["label"] == label]["mask"])
+        assert Q.euler_number(rows, ["label"]).where(f"label = {label}").first()["euler_number"] == euler
+        assert Q.surface_area(rows, ["label"], voxel_um=1.0).where(f"label = {label}").first()["surface_area_um2"] == pytest.approx(area)
+
+
+@pytest.mark.parametrize("f", [lambda c: Q.euler_number(c, ["label"]), lambda c: Q.surface_area(c, ["label"], voxel_um=1.0)])
+def test_no_voxel_is_repeated_for_its_cells(spark, f):
+    """A solid block of 30 x 30 x 30 voxels: what is shuffled are rows of voxels, not 8 or 27 parts of each."""
+    block = spark.range(27000).selectExpr("cast(id div 900 as int) z", "cast(id div 30 % 30 as int) y", "cast(id % 30 as int) x", "1 label")
+    plan = f(block)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "bit_or" in plan
+
+
 def test_shapes_of_cubes_and_rods(spark):
     parts = connected_components(cells(spark, cube(4)))
     row = Q.lesions(parts, class_table(spark), voxel_um=2.0, min_volume_um3=0, size_threshold_um3=512).first()
