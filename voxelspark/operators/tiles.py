@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.operators import meshes
-from voxelspark.operators.morphology import opening
+from voxelspark.operators.morphology import bit_rows, opening
 
 
 def tile_grid(sizes: DataFrame, *, tile: int, overlap: int = 0, stride_is_tile: bool = True) -> DataFrame:
@@ -42,18 +42,21 @@ def owned(detections: DataFrame, *, tile: int) -> DataFrame:
 def tissue_tiles(grid: DataFrame, tissue: DataFrame, *, least: float = 0.1) -> DataFrame:
     """grid (section_index, y0, x0, y1, x1) with `share`, the part of each tile that is tissue, and `wanted`: at least `least` of it.
 
-    Tissue pixels are counted by cells of 64 first; whole cells join tiles, and only the pixels of cells on a border are looked at.
+    Tissue is rows of bitmaps, counted by cells of 64 first; whole cells join tiles, and only the rows of cells on a border are looked at.
     """
     cell = 64
-    own = tissue.select("section_index", "y", "x").distinct().withColumns({"cy": F.floor(F.col("y") / cell), "cx": F.floor(F.col("x") / cell)})
+    own = bit_rows(tissue.select("section_index", "y", "x")).withColumn("cy", F.floor(F.col("y") / cell)).withColumnRenamed("word", "cx")
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell))
     cover = grid.select("section_index", "y0", "x0", "y1", "x1", F.explode(span("y0", "y1")).alias("cy")).select("*", F.explode(span("x0", "x1")).alias("cx"))
     whole = (F.col("cy") * cell >= F.col("y0")) & ((F.col("cy") + 1) * cell <= F.col("y1")) & (F.col("cx") * cell >= F.col("x0")) & ((F.col("cx") + 1) * cell <= F.col("x1"))
     keys, box = ["section_index", "cy", "cx"], ["section_index", "y0", "x0", "y1", "x1"]
-    counts = own.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = own.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("n"))
     full = cover.where(whole).join(counts, keys).select(*box, "n")
-    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    rim = cover.where(~whole).join(own, keys).where(inside).groupBy(*box).agg(F.count("*").alias("n"))
+    lo, hi = (F.col(c).cast("int") for c in ("lo", "hi"))
+    mask = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), cell - (hi - lo)), lo)
+    bounds = {"lo": F.greatest(F.col("x0") - F.col("cx") * cell, F.lit(0)), "hi": F.least(F.col("x1") - F.col("cx") * cell, F.lit(cell))}
+    met = cover.where(~whole).withColumns(bounds).where("lo < hi").join(own, keys).where("y >= y0 and y < y1")
+    rim = met.groupBy(*box).agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(mask))).alias("n"))
     total = full.unionByName(rim).groupBy(*box).agg(F.sum("n").alias("n"))
     share = F.coalesce("n", F.lit(0)) / ((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
     return grid.join(total, box, "left").withColumn("share", share).withColumn("wanted", F.col("share") >= least).drop("n")
