@@ -408,6 +408,31 @@ def test_jaccard_on_clusters(spark, bucket):
     assert got == brute.groups(docs)
 
 
+def test_jaccard_lists_a_pair_once_however_much_it_shares(spark, monkeypatch):
+    """Long texts that share a passage meet in the first of its shingles alone, and wide bitmaps tell those apart that do not link."""
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 1 << 40, n))
+    docs = []
+    for _ in range(6):
+        passage = word(700)
+        docs += [(len(docs) + k, f"{passage} {word(700)}") for k in range(6)]  # a third in common: no link
+        first = f"{passage} {word(700)}"
+        docs += [(len(docs), first), (len(docs) + 1, f"{first} {word(140)}"), (len(docs) + 2, f"{word(140)} {first} {word(140)}")]
+    listed, plain = [], jaccard.JaccardJoin._listed
+
+    def counted(self, live, k=1):
+        pairs = plain(self, live, k)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard.JaccardJoin, "_listed", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_groups(df).collect()}
+    assert got == brute.groups(docs)
+    # of 36 pairs of each passage at most the three near ones; every one of their shared shingles listed them all before
+    assert sum(listed) <= 6 * 3
+
+
 def test_url_lists_of_any_depth(spark):
     """Twelve segments, actions in capitals, unknown actions, hosts that end in a dot."""
     deep = "/".join(f"s{i}" for i in range(12))

@@ -10,7 +10,7 @@ put in one order, rare before frequent, they share at least k among the first n
 3. The nodes are sorted by their min-hashes, in three orders, and compared with the node before. That joins groups of near copies
    with three comparisons for each copy, however large the group; the sort splits by range, so no group meets in one task.
 4. Rare shingles are indexed singly: nodes that share a shingle of their 1-prefixes are a bucket. Only buckets that hold several
-   groups matter. Small ones are compared wholly, larger ones first with those near in a few random orders.
+   groups matter, and of those of the same nodes the first. Small ones are compared wholly, larger ones first with those near in a few random orders.
 5. Pairs are still open only between nodes of larger buckets that no links connect yet. They are listed, but in a bucket
    of over `bucket` nodes its shingle counts as frequent: the nodes are indexed by combinations of it with each later
    shingle of their 2-prefixes, and combinations that are still too frequent by three shingles of their 3-prefixes. A
@@ -197,10 +197,7 @@ class JaccardJoin:
         Wide bitmaps rule out most that do not. The nearest pair of each node goes first; of the others only those still apart.
         """
         a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
-        half = "if(size(w_{0}) > size(w_{1}), zip_with(slice(w_{0}, 1, size(w_{1})), slice(w_{0}, size(w_{1}) + 1, size(w_{1})), (x, y) -> x ^ y), w_{0})"
-        far = F.expr(f"aggregate(zip_with({half.format('a', 'b')}, {half.format('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-        total = F.col("n_a") + F.col("n_b")
-        # sizes that may link differ by less than two, so one bitmap is at most twice as long
+        far, total = self._far("w_a", "w_b"), F.col("n_a") + F.col("n_b")
         near = pairs.join(a, "a").join(b, "b").where(self._sized(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))).withColumn("far", far)
         near = stored(near.where((100 + self.percent) * (total - F.col("far")) >= 2 * self.percent * total).select("a", "b", (F.col("far") / total).alias("far")))
         best = near.select(F.explode(F.array("a", "b")).alias("node"), F.struct("far", "a", "b").alias("p")).groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
@@ -235,6 +232,11 @@ class JaccardJoin:
         far = sum((F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(1, BITS)), F.bit_count(F.col(f"{a}bits")[0].bitwiseXOR(F.col(f"{b}bits")[0])))
         return (100 + self.percent) * (total - far) >= 2 * self.percent * total
 
+    def _far(self, a: str, b: str):
+        """In how many bits two wide bitmaps differ. Sizes that may link differ by less than two, so one is at most twice as long."""
+        half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+        return F.expr(f"aggregate(zip_with({half.format(a, b)}, {half.format(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+
     def _sized(self, small, large):
         return 100 * small >= self.percent * large
 
@@ -243,20 +245,33 @@ class JaccardJoin:
         return (100 + self.percent) * (F.least(n - pos, n2 - pos2) + k - 1) >= self.percent * (n + n2)
 
     def _labelled(self, posts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """token, size, node, n, pos, label, bits: the posts of buckets that hold nodes of several groups."""
+        """token, size, node, n, pos, label, bits, wide: the posts of buckets that hold nodes of several groups.
+
+        wide has a bit for each shingle or more, null for sets of which the small bitmap has as many.
+        """
         named = posts.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        return stored(self._open(named).join(nodes.select("node", "n", "bits"), "node"))
+        wide = F.expr(f"if(n < {64 * BITS}, null, zip_with(slice(wide, 1, size(wide) div 2), slice(wide, size(wide) div 2 + 1, size(wide) div 2), (x, y) -> x ^ y))").alias("wide")
+        return stored(self._open(named).join(nodes.select("node", "n", "bits", wide), "node"))
 
     def _open(self, named: DataFrame) -> DataFrame:
-        of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "size")
-        return named.join(of, "token")
+        """The posts of buckets that hold nodes of several groups; of buckets of the same nodes only the first, as two nodes' pair belongs to the first they share.
+
+        The same nodes are told by two 64-bit sums of their signatures, beside their number and groups.
+        """
+        alike = F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
+        of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("pos").alias("pos"), *alike).where("lo <> hi")
+        first = of.groupBy("size", "lo", "hi", "x", "y").agg(F.min(F.struct("pos", "token")).alias("t")).select("t.token", "size")
+        return named.join(first, "token")
 
     def _listed(self, live: DataFrame, k: int = 1) -> DataFrame:
         """All pairs of unconnected nodes of each bucket that sizes, places and bitmaps allow to link."""
-        a, b = (live.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "label", "pos", "bits"))) for x in "ab")
+        a, b = (live.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "label", "pos", "bits", "wide"))) for x in "ab")
         first = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
         can = first & (F.col("a_label") != F.col("b_label")) & self._sized(F.col("a_n"), F.col("b_n")) & self._room(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"), k)
-        pairs = a.join(b.withColumnRenamed("token", "b_token"), (F.col("token") == F.col("b_token")) & can & self._near("a_", "b_"))
+        # the small bitmap says nothing of long sets
+        total = F.col("a_n") + F.col("b_n")
+        wide = F.col("a_wide").isNull() | F.col("b_wide").isNull() | ((100 + self.percent) * (total - self._far("a_wide", "b_wide")) >= 2 * self.percent * total)
+        pairs = a.join(b.withColumnRenamed("token", "b_token"), (F.col("token") == F.col("b_token")) & can & self._near("a_", "b_") & wide)
         return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
     def _neighbours(self, live: DataFrame) -> DataFrame:
@@ -283,8 +298,8 @@ class JaccardJoin:
             else:
                 longer = large.withColumnRenamed("token", "parent").join(nodes.select("node", "prefix"), "node")
                 end = F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + k + 1)
-                later = longer.select("parent", "node", "n", "label", "bits", "pos", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2")).where("pos2 > pos")
-                finer = stored(self._open(later.select("parent", F.xxhash64("parent", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label", "bits")))
+                later = longer.select("parent", "node", "n", "label", "bits", "wide", "pos", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2")).where("pos2 > pos")
+                finer = stored(self._open(later.select("parent", F.xxhash64("parent", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label", "bits", "wide")))
                 # a dense bucket, whose nodes share many shingles, makes more pairs by combinations than without
                 finer_cost = finer.groupBy("parent").agg(F.sum("size").alias("cost")).withColumnRenamed("parent", "token")
                 plain = large.select("token", "size").distinct().join(finer_cost, "token", "left").where(F.coalesce("cost", F.lit(0)) >= F.col("size") * F.col("size"))
