@@ -433,6 +433,23 @@ def test_jaccard_lists_a_pair_once_however_much_it_shares(spark, monkeypatch):
     assert sum(listed) <= 6 * 3
 
 
+def test_few_links_take_few_tasks(spark):
+    """Rounds of the components are not dealt to as many tasks as the session has partitions."""
+    from voxelspark.operators.components import edge_components
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        labels = edge_components(spark.createDataFrame([(k, k + 1) for k in range(0, 400) if k % 10 != 9], "a long, b long"))
+        assert {x["id"]: x["label"] for x in labels.collect()} == {k: k - k % 10 for k in range(400)}
+        assert len(labels.inputFiles()) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_url_lists_of_any_depth(spark):
     """Twelve segments, actions in capitals, unknown actions, hosts that end in a dot."""
     deep = "/".join(f"s{i}" for i in range(12))

@@ -191,8 +191,8 @@ class JaccardJoin:
             out = pairs if out is None else out.union(pairs)
         return out.distinct()
 
-    def _linked(self, pairs: DataFrame, nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
-        """Enough of the pairs that link for all of them to be connected, with the links that are known already.
+    def _linked(self, pairs: DataFrame, nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+        """id, label of the groups that the pairs that link make, with the groups that are known already.
 
         Wide bitmaps rule out most that do not. The nearest pair of each node goes first; of the others only those still apart.
         """
@@ -201,16 +201,28 @@ class JaccardJoin:
         near = pairs.join(a, "a").join(b, "b").where(self._sized(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))).withColumn("far", far)
         near = stored(near.where((100 + self.percent) * (total - F.col("far")) >= 2 * self.percent * total).select("a", "b", (F.col("far") / total).alias("far")))
         best = near.select(F.explode(F.array("a", "b")).alias("node"), F.struct("far", "a", "b").alias("p")).groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-        found = self._verified(best, nodes)
-        known = found if links is None else links.union(found)
-        label = components(known)
-        of = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
+        labels = self._merged(labels, self._verified(best, nodes))
+        of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
         rest = near.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
         rest = stored(rest)
         if rest.limit(1).count():
-            known = known.union(self._verified(rest, nodes))
+            labels = self._merged(labels, self._verified(rest, nodes))
         drop_stored(near, rest)
-        return known
+        return labels
+
+    def _merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """id, label with more links: they are followed from group to group, not from node to node again."""
+        if labels is None:
+            return components(links)
+        of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
+        between = stored(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).where("a <> b"))
+        if not between.limit(1).count():
+            return labels
+        to = components(between)
+        moved = labels.join(to.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        merged = stored(moved.union(to.join(labels, "id", "left_anti").select("id", "label")))
+        drop_stored(between)
+        return merged
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets. Only the text of one row for each node in some pair is read to the join."""
@@ -244,24 +256,25 @@ class JaccardJoin:
         """Whether enough shingles can be common if the k-th common one stands at these positions (from 0) of both orders."""
         return (100 + self.percent) * (F.least(n - pos, n2 - pos2) + k - 1) >= self.percent * (n + n2)
 
-    def _labelled(self, posts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """token, size, node, n, pos, label, bits, wide: the posts of buckets that hold nodes of several groups.
+    def _labelled(self, posts: DataFrame, nodes: DataFrame, labels: DataFrame, over: int) -> DataFrame:
+        """token, size, node, n, pos, label, bits, wide: the posts of buckets of more than `over` nodes, of several groups.
 
         wide has a bit for each shingle or more, null for sets of which the small bitmap has as many.
         """
         named = posts.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         wide = F.expr(f"if(n < {64 * BITS}, null, zip_with(slice(wide, 1, size(wide) div 2), slice(wide, size(wide) div 2 + 1, size(wide) div 2), (x, y) -> x ^ y))").alias("wide")
-        return stored(self._open(named).join(nodes.select("node", "n", "bits", wide), "node"))
+        return stored(named.join(self._open(named, "token").where(F.col("size") > over), "token").join(nodes.select("node", "n", "bits", wide), "node"))
 
-    def _open(self, named: DataFrame) -> DataFrame:
-        """The posts of buckets that hold nodes of several groups; of buckets of the same nodes only the first, as two nodes' pair belongs to the first they share.
+    def _open(self, named: DataFrame, *keys: str) -> DataFrame:
+        """keys, size of the buckets that hold nodes of several groups; of buckets of the same nodes only the first, as two nodes' pair belongs to the first they share.
 
-        The same nodes are told by two 64-bit sums of their signatures, beside their number and groups.
+        All but the last key are common to buckets of the same nodes. These are told by two 64-bit sums of their signatures, beside their
+        number and groups.
         """
         alike = F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
-        of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("pos").alias("pos"), *alike).where("lo <> hi")
-        first = of.groupBy("size", "lo", "hi", "x", "y").agg(F.min(F.struct("pos", "token")).alias("t")).select("t.token", "size")
-        return named.join(first, "token")
+        of = named.groupBy(*keys).agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("pos").alias("pos"), *alike).where("lo <> hi")
+        first = of.groupBy(*keys[:-1], "size", "lo", "hi", "x", "y").agg(F.min(F.struct("pos", keys[-1])).alias("t"))
+        return first.select(*keys[:-1], f"t.{keys[-1]}", "size")
 
     def _listed(self, live: DataFrame, k: int = 1) -> DataFrame:
         """All pairs of unconnected nodes of each bucket that sizes, places and bitmaps allow to link."""
@@ -290,7 +303,7 @@ class JaccardJoin:
 
     def _open_pairs(self, live: DataFrame, nodes: DataFrame) -> DataFrame:
         """All pairs of nodes in one bucket that no links connect."""
-        out, live = None, live.where(F.col("size") > 2 * NEAR)  # the others have been listed
+        out = None
         for k in range(1, LONGEST + 1):
             large, listed = live.where(F.col("size") > self.bucket), live.where(F.col("size") <= self.bucket)
             if k == LONGEST or not large.limit(1).count():
@@ -298,14 +311,16 @@ class JaccardJoin:
             else:
                 longer = large.withColumnRenamed("token", "parent").join(nodes.select("node", "prefix"), "node")
                 end = F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + k + 1)
-                later = longer.select("parent", "node", "n", "label", "bits", "wide", "pos", F.posexplode(F.slice("prefix", 1, end)).alias("pos2", "token2")).where("pos2 > pos")
-                finer = stored(self._open(later.select("parent", F.xxhash64("parent", "token2").alias("token"), "node", "n", F.col("pos2").alias("pos"), "label", "bits", "wide")))
-                # a dense bucket, whose nodes share many shingles, makes more pairs by combinations than without
-                finer_cost = finer.groupBy("parent").agg(F.sum("size").alias("cost")).withColumnRenamed("parent", "token")
-                plain = large.select("token", "size").distinct().join(finer_cost, "token", "left").where(F.coalesce("cost", F.lit(0)) >= F.col("size") * F.col("size"))
-                plain = stored(plain.select("token"))
+                first = F.col("pos").alias("pos1")
+                later = longer.select("parent", "node", "n", "label", "bits", "wide", first, F.posexplode(F.slice("prefix", 1, end)).alias("pos", "token")).where("pos > pos1").drop("pos1")
+                # a dense bucket, whose nodes share many shingles, makes more pairs by combinations than without; counts tell before any is made
+                split = stored(self._open(later, "parent", "token"))
+                cost = split.groupBy(F.col("parent").alias("token")).agg(F.sum(F.col("size") * F.col("size")).alias("cost"))
+                plain = stored(large.select("token", "size").distinct().join(cost, "token", "left").where(F.coalesce("cost", F.lit(0)) >= F.col("size") * F.col("size")).select("token"))
                 listed = listed.unionByName(large.join(plain, "token", "left_semi"))
-                large = stored(finer.join(plain.withColumnRenamed("token", "parent"), "parent", "left_anti").drop("parent"))
+                finer = split.join(plain.withColumnRenamed("token", "parent"), "parent", "left_anti")
+                large = stored(later.join(finer, ["parent", "token"]).withColumn("token", F.xxhash64("parent", "token")).drop("parent"))
+                drop_stored(split)
             pairs = self._listed(listed, k)
             out = pairs if out is None else out.union(pairs)
             if large is None:
@@ -318,19 +333,18 @@ class JaccardJoin:
         sketches = self.sketches()
         some = sketches.where("n > 0")
         nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "mins", "bits", "wide"))))
-        links = self._linked(self._adjacent_pairs(nodes), nodes)
-        labels = components(links)
+        labels = self._linked(self._adjacent_pairs(nodes), nodes)
         first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
         tokens = nodes.select("node", F.posexplode(first).alias("pos", "token"))
         sizes = stored(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"))
         n_posts = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         posts = stored(salted_join(tokens, sizes, ["token"], F.col("node"), "size", n_posts))
         drop_stored(sizes)
-        for pairs in (self._neighbours, lambda live: self._open_pairs(live, nodes)):
-            live = self._labelled(posts, nodes, labels)
+        # small buckets are listed wholly by the first
+        for over, pairs in ((1, self._neighbours), (2 * NEAR, lambda live: self._open_pairs(live, nodes))):
+            live = self._labelled(posts, nodes, labels, over)
             if live.limit(1).count():
-                links = self._linked(pairs(live), nodes, links)
-                labels = components(links)
+                labels = self._linked(pairs(live), nodes, labels)
             drop_stored(live)
         drop_stored(posts)
         named = nodes.select("node", "doc_id").join(labels, nodes["node"] == labels["id"], "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
