@@ -433,6 +433,31 @@ def test_jaccard_lists_a_pair_once_however_much_it_shares(spark, monkeypatch):
     assert sum(listed) <= 6 * 3
 
 
+def test_jaccard_makes_no_combinations_of_dense_buckets(spark, monkeypatch):
+    """Far copies of one text share many shingles: combinations would make more pairs than their buckets, so none is made."""
+    r = random.Random(8)
+    base, docs = words(77, 100), []
+    for k in range(60):
+        w = list(base)
+        for i in r.sample(range(100), 3):
+            w[i] = f"x{k}y{i}"
+        docs.append((k, " ".join(w)))
+    made, plain = [], jaccard.stored
+
+    def counted(df):
+        out = plain(df)
+        if {"token", "node", "wide"} <= set(out.columns):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_groups(df, bucket=4).collect()}
+    assert got == brute.groups(docs)
+    # the posts of two passes, then what combinations make
+    assert len(made) > 2 and made[1] > 100 and max(made[2:]) < made[1]
+
+
 def test_few_links_take_few_tasks(spark):
     """Rounds of the components are not dealt to as many tasks as the session has partitions."""
     from voxelspark.operators.components import edge_components

@@ -196,10 +196,13 @@ class JaccardJoin:
 
         Wide bitmaps rule out most that do not. The nearest pair of each node goes first; of the others only those still apart.
         """
-        a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
+        pairs = stored(pairs)
+        held = self._of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes.select("node", "n", "wide"))
+        a, b = (held.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
         far, total = self._far("w_a", "w_b"), F.col("n_a") + F.col("n_b")
         near = pairs.join(a, "a").join(b, "b").where(self._sized(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))).withColumn("far", far)
         near = stored(near.where((100 + self.percent) * (total - F.col("far")) >= 2 * self.percent * total).select("a", "b", (F.col("far") / total).alias("far")))
+        drop_stored(pairs, held)
         best = near.select(F.explode(F.array("a", "b")).alias("node"), F.struct("far", "a", "b").alias("p")).groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
         labels = self._merged(labels, self._verified(best, nodes))
         of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
@@ -210,6 +213,13 @@ class JaccardJoin:
         drop_stored(near, rest)
         return labels
 
+    def _of(self, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The rows of `nodes` for the nodes wanted. Their ids are stored first, so Spark knows if they are few, and need not shuffle all nodes."""
+        ids = stored(wanted.distinct())
+        out = stored(nodes.join(ids, "node", "left_semi"))
+        drop_stored(ids)
+        return out
+
     def _merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """id, label with more links: they are followed from group to group, not from node to node again."""
         if labels is None:
@@ -309,7 +319,8 @@ class JaccardJoin:
             if k == LONGEST or not large.limit(1).count():
                 listed, large = live, None
             else:
-                longer = large.withColumnRenamed("token", "parent").join(nodes.select("node", "prefix"), "node")
+                held = self._of(large.select("node"), nodes.select("node", "prefix"))
+                longer = large.withColumnRenamed("token", "parent").join(held, "node")
                 end = F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + k + 1)
                 first = F.col("pos").alias("pos1")
                 later = longer.select("parent", "node", "n", "label", "bits", "wide", first, F.posexplode(F.slice("prefix", 1, end)).alias("pos", "token")).where("pos > pos1").drop("pos1")
@@ -320,7 +331,7 @@ class JaccardJoin:
                 listed = listed.unionByName(large.join(plain, "token", "left_semi"))
                 finer = split.join(plain.withColumnRenamed("token", "parent"), "parent", "left_anti")
                 large = stored(later.join(finer, ["parent", "token"]).withColumn("token", F.xxhash64("parent", "token")).drop("parent"))
-                drop_stored(split)
+                drop_stored(split, held)
             pairs = self._listed(listed, k)
             out = pairs if out is None else out.union(pairs)
             if large is None:
