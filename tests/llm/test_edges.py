@@ -475,6 +475,47 @@ def test_few_links_take_few_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_batches_of_texts_are_small(spark):
+    """A worker keeps what its largest batch took, so no batch has more than a few slices of text."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        texts = shared.bounded(spark.range(0, 2000, 1, 1).select(F.repeat(F.concat(F.lit("word "), "id"), 1000).alias("text")))
+
+        def sizes(batches):
+            for batch in batches:
+                yield batch.from_pydict({"rows": [batch.num_rows], "mb": [batch.nbytes / (1 << 20)]})
+
+        got = texts.mapInArrow(sizes, "rows long, mb double").collect()
+        assert sum(x["rows"] for x in got) == 2000 and max(x["mb"] for x in got) < 2.5
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_frequent_shingles_are_counted_across_batches(monkeypatch):
+    """Small batches hide no frequent shingle: a text in one row of each of many batches."""
+    import pyarrow as pa
+
+    text = " ".join(words(5, 30))
+    batches = [pa.RecordBatch.from_pydict({"text": [text, f"{k} a b c d", None, ""]}) for k in range(10)]
+    total = lambda: sum((b.column("n").to_pylist() for b in jaccard._common(5)(iter(batches))), [])
+    assert total() == [10] * 26
+    monkeypatch.setattr(jaccard, "COUNTED", 100)  # counted among four or five texts at once
+    assert sum(total()) == 260 - 26 * 2 and list(jaccard._common(5)(iter([]))) == []
+
+
+def test_packing_makes_no_second_set_of_workers(spark, monkeypatch):
+    """Rows of Python would be pickled by workers of their own, which stay for as long as the executor does."""
+    from pyspark import SparkContext
+
+    pieces = spark.sql("select id as doc_id, 0 as piece, 0L as start, 1 + id % 7 as length, id as ids_crc32 from range(50)")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows of Python"))
+    got = packing.pack(pieces, capacity=16).collect()
+    assert len(got) == 50 and sum(x["length"] for x in got) == sum(1 + k % 7 for k in range(50))
+    assert packing.pack(pieces.limit(0), capacity=16).collect() == []
+
+
 def test_url_lists_of_any_depth(spark):
     """Twelve segments, actions in capitals, unknown actions, hosts that end in a dot."""
     deep = "/".join(f"s{i}" for i in range(12))

@@ -3,7 +3,7 @@
 Two sets of m and n shingles with Jaccard of at least t share ceil(t * (m + n) / (1 + t)) of them. If all shingles are
 put in one order, rare before frequent, they share at least k among the first n - ceil(t * n) + k of each: its k-prefix.
 
-1. Frequent shingles are found by counts in each batch (a heuristic: the order may be any, results never depend on it).
+1. Frequent shingles are found by counts over a million shingles at once (a heuristic: the order may be any, results never depend on it).
 2. One pass makes each text's set, its 64-bit signature, its 3-prefix, three min-hashes and a bitmap with one bit for each class
    of shingles: whether the set holds an odd number of them. Two bitmaps differ in no more bits than the sets do in shingles,
    so they rule out nearly all pairs that do not link, before a pair is made. Texts with equal sets become one node.
@@ -48,6 +48,8 @@ ORDERS, NEAR = 4, 8
 STRETCH = 4096
 #: Bound of the shingles that are put last as frequent (16 bytes each). Those beyond it are ordered as rare ones are.
 MOST_FREQUENT = 1 << 19
+#: Shingles among which frequent ones are counted at once, however small the batches are.
+COUNTED = 1 << 20
 _FILTER = 22
 #: Min-hashes of a set, and longs of its small bitmap. The wide one has two bits for each shingle or more, and a power of two of longs.
 MINS, BITS = 3, 4
@@ -59,14 +61,24 @@ def _ceil(percent: int, n):
 
 
 def _common(n: int):
-    """Counts of the shingles that several texts of a batch hold."""
+    """Counts of the shingles that several texts hold, among as many texts of a task as have `COUNTED` shingles."""
+
+    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+        often = count >= 3
+        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
         for batch in batches:
-            sets = [s for _, s in shingle_sets(batch.column(0), n)]
-            tokens, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = count >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["token", "n"])
+            for _, s in shingle_sets(batch.column(0), n):
+                sets.append(s)
+                held += len(s)
+                if held >= COUNTED:
+                    yield counts(sets)
+                    sets, held = [], 0
+        if sets:
+            yield counts(sets)
 
     return run
 

@@ -262,8 +262,9 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, rows_per_salt: int = 10_000
     """
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}
     spark = pieces.sparkSession
-    # at most `capacity` rows
-    salts = F.broadcast(spark.createDataFrame([(k, -(-n // rows_per_salt)) for k, n in histogram.items()], "length long, _salts long"))
+    # at most `capacity` rows; as an Arrow table, as rows of Python go through workers of their own, which stay beside the others
+    salts = pa.table({"length": pa.array(histogram.keys(), pa.int64()), "_salts": pa.array([-(-n // rows_per_salt) for n in histogram.values()], pa.int64())})
+    salts = F.broadcast(spark.createDataFrame(salts))
     salted = pieces.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts"))).drop("_salts")
     groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
