@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -505,6 +507,49 @@ def test_frequent_shingles_are_counted_across_batches(monkeypatch):
     assert sum(total()) == 260 - 26 * 2 and list(jaccard._common(5)(iter([]))) == []
 
 
+def _shuffle_files(spark):
+    """Shuffle files of this process, once those that are being deleted are gone."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x) for x in disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = files()
+    while True:
+        time.sleep(1)
+        now = files()
+        if now == before:
+            return now
+        before = now
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    said = spark.conf.get(key)
+    out = shared.stored(spark.range(1000).repartition(5, "id"))
+    assert _shuffle_files(spark) <= before and spark.conf.get(key) == said
+    assert out.count() == 1000
+
+
+def test_near_groups_and_line_dedup_keep_small_tables_only(spark, odd):
+    """Sketches, nodes and windows take about as much as the texts; once a result needs them no more they go."""
+    held = lambda: {str(p.parent) for p in Path(shared.shared_dir(spark).removeprefix("file:")).glob("table-*/_SUCCESS")}
+    before = held()
+    out = jaccard.near_groups(odd), line_dedup.dedup_lines(odd)
+    left = [set(spark.read.parquet(t).columns) for t in held() - before]
+    assert all(len(df.collect()) == odd.count() for df in out)
+    assert left and not any(c & {"prefix", "wide", "shingles", "windows", "content"} for c in left)
+
+
+def test_pipeline_keeps_one_stage(spark, odd, monkeypatch, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    gone = []
+    same = lambda name: (name, lambda s, docs, d: docs.where(F.lit(True)))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [same("a"), same("b"), same("c")])
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df: gone.append(shared.stored(df)) or gone[-1])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == odd.count()
+    assert [Path(df._stored_path.removeprefix("file:")).exists() for df in gone] == [False, False, True]
+
+
 def test_packing_makes_no_second_set_of_workers(spark, monkeypatch):
     """Rows of Python would be pickled by workers of their own, which stay for as long as the executor does."""
     from pyspark import SparkContext

@@ -356,6 +356,9 @@ class JaccardJoin:
         sketches = self.sketches()
         some = sketches.where("n > 0")
         nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "mins", "bits", "wide"))))
+        # sketches take half as much as the texts; of each row only its node is still asked for
+        rows = stored(sketches.select("doc_id", "n", "node"))
+        drop_stored(sketches)
         labels = self._linked(self._adjacent_pairs(nodes), nodes)
         first = F.slice("prefix", 1, F.least(F.size("prefix"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100)).cast("int") + 1))
         tokens = nodes.select("node", F.posexplode(first).alias("pos", "token"))
@@ -372,8 +375,9 @@ class JaccardJoin:
         drop_stored(posts)
         named = nodes.select("node", "doc_id").join(labels, nodes["node"] == labels["id"], "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
         names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(names, "label").select("node", "component_id")
-        out = sketches.select("doc_id", "n", "node").join(named, "node", "left")
+        named = stored(named.join(names, "label").select("node", "component_id"))
+        drop_stored(nodes)
+        out = rows.join(named, "node", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelspark.llm.shared import salted_join, stored
+from voxelspark.llm.shared import drop_stored, salted_join, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,6 +56,7 @@ def repeated_runs(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", t
     shared = stored(selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"))
     met = salted_join(selected, shared, ["fingerprint"], of_copy, "n", selected.count())
     met = stored(met.select("doc", "text_hash", "place", "fingerprint", F.explode("windows").alias("w")).select("doc", "text_hash", "place", "fingerprint", "w.*"))
+    drop_stored(selected, shared)
     at = F.struct("doc", "text_hash", "first")
     extension = ["fingerprint", "content"]
     origins = stored(met.groupBy(*extension).agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1"))
@@ -64,7 +65,9 @@ def repeated_runs(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", t
     reach = F.max("last").over(of.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(of.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc", "text_hash", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    found = stored(runs.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")))
+    drop_stored(met, origins)
+    return found
 
 
 def dedup_lines(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_lines") -> DataFrame:
