@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.broadcasts import broadcast_rows
 from tests.conftest import SF
 from tests.llm import brute
 from voxelspark.llm import chat, decontaminate, hamming, jaccard, langid, line_dedup, packing, quality, shared, url_lists, warc
@@ -228,6 +229,20 @@ def test_hamming_meets_less_than_a_scan(spark):
         assert met[0][0] == 20 and sum(n for _, n in met) < share * 20 * 20_000
 
 
+@pytest.mark.parametrize("hashed", [1_000_000, 0])
+def test_hamming_broadcasts_no_probes(spark, monkeypatch, hashed):
+    monkeypatch.setattr(hamming, "HASHED", hashed)
+    r = np.random.default_rng(5)
+    vectors = r.standard_normal((400, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = []
+    sent = broadcast_rows(spark, lambda: got.extend(hamming.top_k(df, df.where("vec_id % 20 = 0"), k=3, broadcast_rows=0).collect()))
+    assert max(sent, default=0) <= 1600, max(sent)  # the index; round 4 has 145,600 probes
+    far = ((vectors > 0)[:, None] != (vectors > 0)[None]).sum(2)
+    expected = {(q, n) for q in range(0, 400, 20) for n in sorted((i for i in range(400) if i != q), key=lambda i: (far[q, i], i))[:3]}
+    assert {(x["query_id"], x["neighbour_id"]) for x in got} == expected
+
+
 def test_hamming_of_other_lengths(spark):
     """Numbers beyond the 64th count; NaN, null and missing ones are not positive; fewer than k others give fewer rows."""
     rng = np.random.default_rng(3)

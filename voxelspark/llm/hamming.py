@@ -11,8 +11,8 @@ How much of the index is met depends on how far the k-th neighbour is: a segment
 codes. `met_rows` tells how many rows a search met, round by round.
 
 Rows with equal codes are searched once: the index holds distinct codes with their k + 1 least ids (no answer needs more), and
-the queries are distinct codes too, so copies cost nothing. The index is broadcast while it has at most `broadcast_rows` rows;
-beyond that, probes and index are shuffled by segment and value.
+the queries are distinct codes too, so copies cost nothing. The index is broadcast while it has at most `broadcast_rows` rows
+(960,000 did not fit a driver's heap of 750 MB); beyond that, probes and index are shuffled by segment and value.
 
 Nulls: a null vector, or one without numbers, has no code, is no neighbour and gets no row. Null numbers and NaN count as
 not positive, and so do the numbers that a vector lacks against the longest one: all numbers count, whatever the length. Ties go
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from voxelspark.llm.shared import drop_stored, stored
 
 WIDTH = 16
+#: Rows of the index that a task holds in a hash table (some 100 bytes each). With more of them both sides are sorted, which spills.
+HASHED = 1_000_000
 
 
 def sign_code(vector: Column, longs: int = 1) -> Column:
@@ -52,7 +54,7 @@ def _masks(r: int) -> Column:
     return F.expr(f"array({', '.join(str(m) for m in range(1 << WIDTH) if m.bit_count() == r)})")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 1_000_000, probes_per_task: int = 1_000_000, met_rows: list[tuple[int, int]] | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 200_000, probes_per_task: int = 1_000_000, met_rows: list[tuple[int, int]] | None = None) -> DataFrame:
     """query_id, neighbour_id, distance, rank (from 1): the k nearest other rows of `vectors` for every row of `queries`.
 
     A list given as `met_rows` gets the number of open queries and of rows that their probes met for each round.
@@ -70,7 +72,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     index = codes.select(F.col("code").alias("near"), F.col("ids")[0].alias("id"), F.size("ids").alias("n"), cut).select("near", "id", "n", "s.segment", "s.value")
     n_codes, n_ids = codes.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     small, enough = n_codes * segments <= broadcast_rows, min(k + 1, n_ids)
-    index = F.broadcast(index) if small else stored(index)
+    if small:
+        index = F.broadcast(index)
+    else:
+        # probes are made of few rows, so Spark takes them for few themselves: without a hint the driver collects and broadcasts them
+        index = stored(index)
+        fullest = index.groupBy("segment", "value").count().agg(F.max("count")).first()[0]
+        a_task = fullest + n_codes * segments // int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        index = index.hint("shuffle_hash" if a_task <= HASHED else "merge")
     apart = [F.col("code")[w].bitwiseXOR(F.col("near")[w]) for w in range(longs)]
     distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0])).cast("int")
     differ = [F.bit_count(_segment(apart, s)) for s in range(segments)]
