@@ -7,11 +7,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from voxelspark.config import class_table, tissue_classes
 from voxelspark.operators import meshes, tiles, volume
+from voxelspark.operators.cells import sums_of_cells
 from voxelspark.operators import quantify as Q
-from voxelspark.operators.components import connected_components
+from voxelspark.operators.components import CHUNK, connected_components
 from voxelspark.operators.spatial import distance_join, distance_transform
+from voxelspark.plans import extended
 from voxelspark.sources import manifest
 from voxelspark.streaming.incremental import ingest_sections
 
@@ -113,6 +116,33 @@ def test_volumetrics_and_density_of_halves(spark):
     assert np.allclose(shares, 1)
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_sizes_of_components_are_listed_or_summed(spark, partitions):
+    """Lists are in order of seed; without them no row and no aggregate holds all sizes of a class."""
+    rows = [(label, 100 * k - label, k * label % 7 + 1) for label in (1, 2, 4) for k in range(40)]
+    parts = spark.createDataFrame(rows, "label int, component long, n int").repartition(partitions, "n").select("label", "component", F.explode(F.sequence(F.lit(1), "n")).alias("x"))
+    vox = spark.createDataFrame([(0, 0, 0, 1)], "z int, y int, x int, label int")
+    listed = {r["class_index"]: r["component_sizes_um3"] for r in Q.volumetrics(vox, class_table(spark), voxel_um=2.0, components=parts).collect()}
+    assert listed == {c: [8.0 * n for label, _, n in sorted(rows) if label == c] for c in listed} and len(listed[2]) == 40 and listed[3] == []
+    short = Q.volumetrics(vox, class_table(spark), voxel_um=2.0, components=parts, lists=False)
+    assert {r["class_index"]: (r["n_components"], r["largest_um3"]) for r in short.collect()} == {c: (len(v), max(v, default=None)) for c, v in listed.items()}
+    assert "collect_list(struct(component" not in short._jdf.queryExecution().toString()
+
+
+def test_growing_volumetrics_lists_no_sizes(spark):
+    plan = extended.growing_volumetrics(spark, SF)._jdf.queryExecution().toString()
+    assert "component_sizes_um3" not in plan and "largest_um3" in plan
+
+
+def test_cells_are_measured_by_so_many_voxels_at_once(spark):
+    """24 solid blocks have 23,040 rows, which are few, but 1,428,480 voxels."""
+    n = 16 * 60 * 62
+    at = spark.range(24 * n).select((F.col("id") % n).alias("k"), F.floor(F.col("id") / n).alias("g")).select("g", (F.floor(F.col("k") / 3720) + 1).alias("z"), (F.floor(F.col("k") / 62) % 60 + 1).alias("y"), (F.col("k") % 62 + 1).alias("x"))
+    at_once = lambda words, group, groups: [np.full(groups, np.bitwise_count(words[:, 0]).sum())]
+    most = sums_of_cells(at, ["g"], ["n"], at_once).agg(F.max("n"), F.count("*")).first()
+    assert n <= most[0] <= CHUNK and most[1] == 24
+
+
 def test_distances(spark):
     p = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(20)], "id int, z double, y double, x double")
     assert distance_join(p, p, 2.0).count() == 20 + 2 * 19 + 2 * 18
